@@ -49,17 +49,17 @@ def to_results(outcomes: DataFrame) -> DataFrame:
     failed_http = status != 200
     unparsable = ~empty & ~c("__json")
     category = F.coalesce(c("error_category"), S.error_category(status))
-    error = (
-        F.when(no_answer, _error(F.lit("SERVER_ERROR"), F.lit("inference returned no response")))
-        .when(transport, _error("error_category", "error_message"))
-        .when(dropped, _error(F.lit("batch_expired"), F.lit(V.BATCH_ERROR_MESSAGE["batch_expired"])))
-        .when(~failed_http & unparsable, _error(F.lit("PARSE_ERROR"), F.lit("response body could not be parsed")))
-    )
+    cases = [
+        (no_answer, F.lit("SERVER_ERROR"), F.lit("inference returned no response")),
+        (transport, c("error_category"), c("error_message")),
+        (dropped, F.lit("batch_expired"), F.lit(V.BATCH_ERROR_MESSAGE["batch_expired"])),
+        (~failed_http & unparsable, F.lit("PARSE_ERROR"), F.lit("response body could not be parsed")),
+    ]
     http_body = (
         F.when(empty, F.lit("{}")).when(c("__json"), c("body")).otherwise(_wrapped("body", S.error_type(category)))
     )
     body = F.when(failed_http, http_body).when(~empty, c("body"))
-    return _finish(decoded, error, _response(status, "request_id", body))
+    return _finish(decoded, cases, body)
 
 
 def to_async_results(messages: DataFrame) -> DataFrame:
@@ -68,35 +68,50 @@ def to_async_results(messages: DataFrame) -> DataFrame:
     code = F.coalesce(c("error_code"), F.lit(""))
     text = F.coalesce(c("error_message"), F.lit(""))
     raw_status = F.coalesce(c("status_code").cast("int"), F.lit(0))
-    status = F.when(raw_status == 0, F.lit(200)).otherwise(raw_status)
+    status = c("__status")
     good = status.between(200, 299)
     empty = F.coalesce(c("payload"), F.lit("")) == ""
-    decoded = messages.withColumn("__json", is_json_object("payload"))
+    decoded = messages.withColumns(
+        {
+            "__json": is_json_object("payload"),
+            "__status": F.when(raw_status == 0, F.lit(200)).otherwise(raw_status),
+        }
+    )
     failed = (raw_status == 0) & ((code != "") | (text != ""))
-    error = (
-        F.when(
+    cases = [
+        (
             failed,
-            _error(
-                F.when(code == "", F.lit("server_error")).otherwise(code),
-                F.when(text == "", F.lit("async request failed")).otherwise(text),
-            ),
-        )
-        .when(empty & good, _error(F.lit("server_error"), F.lit("async response has no body")))
-        .when(~empty & ~c("__json") & good, _error(F.lit("parse_error"), F.lit("response body could not be parsed")))
-    )
+            F.when(code == "", F.lit("server_error")).otherwise(code),
+            F.when(text == "", F.lit("async request failed")).otherwise(text),
+        ),
+        (empty & good, F.lit("server_error"), F.lit("async response has no body")),
+        (~empty & ~c("__json") & good, F.lit("parse_error"), F.lit("response body could not be parsed")),
+    ]
     body = F.when(empty, F.lit("{}")).when(c("__json"), c("payload")).otherwise(_wrapped("payload"))
-    return _finish(decoded, error, _response(status, "request_id", body))
+    return _finish(decoded, cases, body)
 
 
-def _finish(df: DataFrame, error: Column, response: Column) -> DataFrame:
-    """Response and error exclude each other; other columns that results carry are kept."""
+def _first_case(cases: list[tuple[Column, Column, Column]], part: int) -> Column:
+    expr = F
+    for case in cases:
+        expr = expr.when(case[0], case[part])
+    return expr
+
+
+def _finish(df: DataFrame, cases: list[tuple[Column, Column, Column]], body: Column) -> DataFrame:
+    """The first case that holds gives the error; without one the row has a response.
+
+    Code, message and body are computed as flat columns first and packed afterwards, so a
+    reader of one field does not drag the expressions of all others along.
+    """
     kept = [c for c in ("job_id", "request_id", "custom_id", "route_key", "endpoint", "ts") if c in df.columns]
     flag = F.coalesce("had_capacity_retry", F.lit(False)) if "had_capacity_retry" in df.columns else F.lit(False)
-    staged = df.withColumns({"error": error, "__response": response})
+    staged = df.withColumns({"__code": _first_case(cases, 1), "__text": _first_case(cases, 2), "__body": body})
+    failed = F.col("__code").isNotNull()
     return staged.select(
         *kept,
-        F.when(F.col("error").isNull(), F.col("__response")).alias("response"),
-        "error",
+        F.when(~failed, _response("__status", "request_id", F.col("__body"))).alias("response"),
+        F.when(failed, _error("__code", "__text")).alias("error"),
         flag.alias("had_capacity_retry"),
     )
 
@@ -223,8 +238,9 @@ def errors_by_model(results: DataFrame, rejected: DataFrame | None = None) -> Da
 
 def failure_codes(results: DataFrame) -> DataFrame:
     """Failures by code."""
-    coded = results.select(failure_code().alias("code"))
-    return coded.groupBy("code").agg(F.count(F.lit(1)).alias("failures")).filter("code IS NOT NULL")
+    coded = results.select(failure_code().alias("code"), (~is_success()).alias("__bad"))
+    # Successes form one extra group that is dropped by its count, after the aggregation.
+    return coded.groupBy("code").agg(F.count_if("__bad").alias("failures")).filter("failures > 0")
 
 
 def same_members(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
