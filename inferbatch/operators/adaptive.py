@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..session import materialize
 from .order import RANGE, with_range
 
 SUCCESS = "success"
@@ -234,6 +235,8 @@ def aimd_trace(
     (endpoint, limit, run) carries the state of an earlier stretch over.
     """
     start_limit, start_run = limits.start
+    # Four passes read the signals; write the narrow rows once instead of rebuilding results.
+    sig = materialize(sig, "signals")
     cut = with_range(sig, ["endpoint"], order, ranges, min_rows)
     kept = sig.columns
     placed_by = ["endpoint", RANGE]

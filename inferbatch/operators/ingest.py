@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import values as V
+from ..session import lookup_table
 from .order import running_sums
 
 FILE = "file_id"
@@ -131,30 +132,32 @@ def duplicate_ids(df: DataFrame) -> DataFrame:
 def mark_duplicates(df: DataFrame) -> DataFrame:
     """Add `is_repeat`: the custom id already occurred on an earlier line of the file.
 
-    Only ids that repeat are joined back. The aggregation combines before its shuffle and
-    the join is one that AQE splits, so one id used by a third of all lines is harmless.
+    Only ids that repeat are joined back, as a checked broadcast where they are few. The
+    aggregation combines before its shuffle, so one id used by a third of all lines is
+    harmless.
     """
-    first = repeated_ids(df).select(FILE, "custom_id", "first_line")
+    first = lookup_table(repeated_ids(df).select(FILE, "custom_id", "first_line"), "repeated")
     joined = df.join(first, [FILE, "custom_id"], "left")
     return joined.select(*df.columns, F.coalesce(F.col(LINE) > F.col("first_line"), F.lit(False)).alias("is_repeat"))
 
 
-def check_lines(df: DataFrame) -> DataFrame:
+def check_lines(df: DataFrame, validated: bool = False) -> DataFrame:
     """Validation and duplicate check together: `error_rule`, `error_msg` per line.
 
     A repeat only counts against lines that pass the other rules, and only such lines are
-    remembered as first uses.
+    remembered as first uses. `validated` says the rules have been applied already.
     """
-    checked = validate_requests(df)
+    checked = df if validated else validate_requests(df)
+    kept = [c for c in checked.columns if c not in ("error_rule", "error_msg")]
     valid = checked.filter("error_rule IS NULL")
-    first = repeated_ids(valid).select(FILE, "custom_id", "first_line")
+    first = lookup_table(repeated_ids(valid).select(FILE, "custom_id", "first_line"), "repeated")
     joined = checked.join(first, [FILE, "custom_id"], "left")
     repeat = F.col("error_rule").isNull() & F.coalesce(F.col(LINE) > F.col("first_line"), F.lit(False))
     message = F.concat(
         F.lit("line "), F.col(LINE).cast("string"), F.lit(': duplicate custom_id "'), F.col("custom_id"), F.lit('"')
     )
     return joined.select(
-        *df.columns,
+        *kept,
         F.when(repeat, F.lit("duplicate")).otherwise(F.col("error_rule")).alias("error_rule"),
         F.when(repeat, message).otherwise(F.col("error_msg")).alias("error_msg"),
     )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import values as V
+from ..session import small_side
 from .jobs import STATE, deadline_passed, is_expired, is_terminal
-from .plan import small_side
 
 
 def orphans(jobs: DataFrame, live: DataFrame | None) -> DataFrame:

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import values as V
-from ..session import materialize
+from ..session import lookup_table, materialize, small_side
 from . import ingest
 from .order import number_rows
 
-# A gateway table is configuration. Above this many rows it is joined by shuffle instead.
-BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    """Broadcast a configuration table after checking its size, else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def route(df: DataFrame, gateways: DataFrame, method: str = "model", use_global: bool = False) -> DataFrame:
     """Add `route_key` and `gateway` (NULL when the key has none).
 
@@ -118,15 +111,30 @@ def build_headers(df: DataFrame, now: int, fairness: bool = False) -> DataFrame:
     )
 
 
+PROMPT_KEY = "prompt_key"
+
+
+def prompt_key(prompt: str = "system_prompt") -> Column:
+    """Digest of a prompt, NULL when there is none."""
+    return F.when(F.coalesce(F.col(prompt), F.lit("")) != "", F.sha2(prompt, 256))
+
+
+def prompt_hashes(keyed: DataFrame, prompt: str = "system_prompt") -> DataFrame:
+    """(prompt_key, __h): the prefix hash of every distinct prompt, written once."""
+    distinct = keyed.filter(F.col(PROMPT_KEY).isNotNull()).groupBy(PROMPT_KEY).agg(F.any_value(prompt).alias("__p"))
+    return lookup_table(distinct.select(PROMPT_KEY, S.fnv1a32("__p").alias("__h")), "prompts")
+
+
 def with_prefix_hash(df: DataFrame, prompt: str = "system_prompt") -> DataFrame:
     """Add `prefix_hash` of the system prompt.
 
     Prompts repeat by design, so the byte-wise hash runs once per distinct prompt and is
-    joined back; a NULL or empty prompt has the no-prompt value.
+    joined back. Rows meet it through a digest of their prompt: prompts can be long, and the
+    rows then travel without them when the caller drops the column. A NULL or empty prompt
+    has the no-prompt value.
     """
-    filled = F.coalesce(F.col(prompt), F.lit("")) != ""
-    hashed = df.filter(filled).select(prompt).distinct().withColumn("__h", S.fnv1a32(prompt))
-    joined = df.join(hashed, prompt, "left")
+    keyed = df if PROMPT_KEY in df.columns else df.withColumn(PROMPT_KEY, prompt_key(prompt))
+    joined = keyed.join(prompt_hashes(keyed, prompt), PROMPT_KEY, "left")
     return joined.select(*df.columns, F.coalesce("__h", F.lit(V.NO_PREFIX_HASH).cast("long")).alias("prefix_hash"))
 
 
@@ -184,39 +192,56 @@ def count_disorder(plan: DataFrame) -> DataFrame:
     )
 
 
-def build_plan(
-    lines: DataFrame, gateways: DataFrame, method: str = "model", use_global: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Plan entries and rejected requests of raw lines (job_id, file_id, line_no, value, byte_len).
+@dataclass(frozen=True)
+class Plan:
+    """A plan's entries without bodies, the rejected requests, and the lines that hold the bodies."""
+
+    entries: DataFrame
+    rejected: DataFrame
+    lines: DataFrame
+
+    def with_bodies(self) -> DataFrame:
+        """Entries with the text of their line (`value`), the one join that moves bodies."""
+        bodies = self.lines.select("file_id", "line_no", "value")
+        return self.entries.join(bodies, ["file_id", "line_no"])
+
+
+def build_plan(lines: DataFrame, gateways: DataFrame, method: str = "model", use_global: bool = False) -> Plan:
+    """Plan raw lines (job_id, file_id, line_no, value, byte_len and, if known, byte_offset).
 
     Files with a bad or repeated line are left out whole. Rejected lines still advance the
     byte offset of the lines behind them.
+
+    Decoding the JSON is the dear step, so its columns are written once next to the text.
+    Every later step reads a few narrow columns of that table; request bodies are moved only
+    when the plan is executed.
     """
-    # Decoding the JSON is the dear step and four later ones read its columns: write it once.
-    decoded = materialize(ingest.decode_requests(lines), "decoded")
-    checked = ingest.check_lines(decoded)
-    bad_files = checked.filter("error_rule IS NOT NULL").select("file_id").distinct()
-    good = checked.join(bad_files, "file_id", "left_anti")
-    placed = good if "byte_offset" in good.columns else ingest.with_offsets(good)
+    decoded = ingest.decode_requests(lines).withColumn(PROMPT_KEY, prompt_key())
+    stored = materialize(ingest.validate_requests(decoded), "decoded")
+    narrow = stored.drop("value", "system_prompt")
+    bad_lines = ingest.check_lines(narrow, validated=True).filter("error_rule IS NOT NULL")
+    bad_files = lookup_table(bad_lines.select("file_id").distinct(), "bad-files")
+    good = narrow.join(bad_files, "file_id", "left_anti")
+    placed = good if "byte_offset" in lines.columns else ingest.with_offsets(good)
     known, rejected = reject_unrouted(route(placed, gateways, method, use_global))
-    hashed = with_prefix_hash(known)
-    names = safe_names(hashed).select("job_id", "model", "safe_name")
+    prompts = stored.select(PROMPT_KEY, "system_prompt")
+    hashed = known.join(prompt_hashes(prompts), PROMPT_KEY, "left").withColumn(
+        "prefix_hash", F.coalesce("__h", F.lit(V.NO_PREFIX_HASH).cast("long"))
+    )
+    names = lookup_table(safe_names(known).select("job_id", "model", "safe_name"), "names")
     entries = plan_position(hashed).join(names, ["job_id", "model"], "left")
-    return (
-        entries.select(
-            "job_id",
-            "file_id",
-            "line_no",
-            "custom_id",
-            "url",
-            "model",
-            "safe_name",
-            "route_key",
-            "prefix_hash",
-            "byte_offset",
-            F.col("byte_len").cast("int").alias("byte_len"),
-            "position",
-            "value",
-        ),
-        rejected,
+    chosen = entries.select(
+        "job_id",
+        "file_id",
+        "line_no",
+        "custom_id",
+        "url",
+        "model",
+        "safe_name",
+        "route_key",
+        "prefix_hash",
+        "byte_offset",
+        F.col("byte_len").cast("int").alias("byte_len"),
+        "position",
     )
+    return Plan(materialize(chosen, "plan"), rejected, stored)

@@ -315,7 +315,7 @@ def safe_names_collide(spark, d):
 )
 def build_plan(spark, d):
     lines = src.request_lines(views.clean_requests(spark, d))
-    entries, _ = plan.build_plan(with_lengths(lines), gateways(spark))
+    entries = plan.build_plan(with_lengths(lines), gateways(spark)).entries
     return entries.select("job_id", "model", "position", "custom_id", "prefix_hash", "line_no")
 
 
@@ -359,7 +359,7 @@ def plan_position(spark, d):
 def write_plan(spark, d):
     """Write the plan and check on the way back that every file is in order."""
     lines = src.request_lines(views.clean_requests(spark, d))
-    entries, _ = plan.build_plan(with_lengths(lines), gateways(spark))
+    entries = plan.build_plan(with_lengths(lines), gateways(spark)).entries
     path = scratch_path(spark, "plan")
     src.write_plan(entries, path)
     back = spark.read.schema(entries.schema).parquet(path)

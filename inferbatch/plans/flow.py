@@ -19,16 +19,19 @@ from ..session import materialize
 class JobRun:
     """Tables a finished run leaves behind."""
 
-    plan: DataFrame
-    rejected: DataFrame
+    plan: planning.Plan
     results: DataFrame
 
+    @property
+    def rejected(self) -> DataFrame:
+        return self.plan.rejected
 
-def requests_of_plan(plan: DataFrame) -> DataFrame:
-    """Plan entries with their derived request id and the user prompt the client reads."""
+
+def requests_of_plan(plan: planning.Plan) -> DataFrame:
+    """Plan entries with their derived request id, body and the user prompt the client reads."""
     prompts = F.from_json("value", "body STRUCT<messages: ARRAY<STRUCT<role: STRING, content: STRING>>>")
     user = F.get(F.filter(prompts["body"]["messages"], lambda m: m["role"] == "user"), F.lit(0))["content"]
-    return plan.withColumns({"request_id": S.request_id("job_id", "line_no"), "user_prompt": user})
+    return plan.with_bodies().withColumns({"request_id": S.request_id("job_id", "line_no"), "user_prompt": user})
 
 
 def run_jobs(
@@ -44,6 +47,6 @@ def run_jobs(
     The attempts are written once before anything reads them: calls to a model are dear and
     must not be repeated because two reports use the same results.
     """
-    plan, rejected = planning.build_plan(lines, gateways, method, use_global)
+    plan = planning.build_plan(lines, gateways, method, use_global)
     attempts = materialize(run.infer(requests_of_plan(plan), make_client, **retry), "attempts")
-    return JobRun(plan, rejected, res.to_results(run.final_outcomes(attempts)))
+    return JobRun(plan, res.to_results(run.final_outcomes(attempts)))

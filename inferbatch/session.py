@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings the operators are written for. Only settings that are safe to
 # change in a live session are listed; sizing (memory, cores, shuffle partitions) stays
@@ -24,7 +27,12 @@ RUNTIME_DEFAULTS = {
 
 
 def apply_defaults(spark: SparkSession) -> SparkSession:
-    """Set the runtime SQL settings the operators expect on an existing session."""
+    """Set the runtime SQL settings the operators expect on an existing session.
+
+    Functions of this package that run inside tasks are shipped by value, so executors do not
+    need the package installed.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     for key, value in RUNTIME_DEFAULTS.items():
         spark.conf.set(key, value)
     return spark
@@ -77,3 +85,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Rows up to which a lookup table is broadcast; the largest rows here are a few hundred bytes.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Broadcast a lookup table after checking its size, else leave the join to Spark."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def lookup_table(df: DataFrame, label: str) -> DataFrame:
+    """Write a derived lookup table once, then broadcast it if it is small enough.
+
+    Counting the written table costs only its file footers. A large one is joined by shuffle,
+    where AQE splits hot keys.
+    """
+    return small_side(materialize(df, label))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import materialize, small_side
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -17,36 +23,31 @@ def read_requests(spark: SparkSession, path: str, file_id=None) -> DataFrame:
     Columns: file_id, line_no (from 1), byte_offset, byte_len, value. A blank line is a line;
     an unterminated last line is one too and is counted with its newline.
     """
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return number_lines(lines, file_id)
+    return number_lines(with_source(spark.read.option("lineSep", "\n").text(path)), file_id)
+
+
+def with_source(lines: DataFrame) -> DataFrame:
+    """Text lines with the file and the split they come from."""
+    return lines.select(
+        F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"), "value"
+    )
 
 
-def number_lines(lines: DataFrame, file_id=None) -> DataFrame:
-    """Number raw text lines within their files.
+def number_lines(raw: DataFrame, file_id=None) -> DataFrame:
+    """Number text lines within their files without shuffling the text.
 
-    A large file is read as several splits, one after the other in the file. Lines are
-    numbered inside their split (bounded by the split size), and the line and byte totals of
-    the earlier splits of the file are added.
+    A large file is read as several splits, each by one task from front to back. Lines and
+    bytes are counted on inside the split as the lines stream by, and the totals of the
+    file's earlier splits are added. A window would say the same but sort and shuffle all
+    request bodies for it.
     """
-    raw = lines.select(
-        F.col("_metadata.file_path").alias("__path"),
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().alias("__seq"),
-        "value",
-    ).withColumn("byte_len", F.octet_length("value") + 1)
-    split = W.partitionBy("__path", "__start").orderBy("__seq")
-    inside = raw.select(
-        "__path",
-        "__start",
-        "value",
-        "byte_len",
-        F.row_number().over(split).cast("long").alias("__n"),
-        F.coalesce(F.sum(F.col("byte_len").cast("long")).over(split.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(
-            "__b"
+    schema = "__path string, __start long, value string, __n long, __b long, byte_len long"
+    inside = raw.select("__path", "__start", "value").mapInArrow(_count_on, schema)
+    totals = materialize(
+        raw.groupBy("__path", "__start").agg(
+            F.count(F.lit(1)).alias("__lines"), F.sum(F.octet_length("value") + F.lit(1).cast("long")).alias("__bytes")
         ),
-    )
-    totals = raw.groupBy("__path", "__start").agg(
-        F.count(F.lit(1)).alias("__lines"), F.sum(F.col("byte_len").cast("long")).alias("__bytes")
+        "splits",
     )
     before = W.partitionBy("__path").orderBy("__start").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select(
@@ -56,7 +57,7 @@ def number_lines(lines: DataFrame, file_id=None) -> DataFrame:
         F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__b0"),
     ).filter("__n0 > 0")
     name = file_id(F.col("__path")) if file_id else F.col("__path")
-    return inside.join(bases, ["__path", "__start"], "left").select(
+    return inside.join(small_side(bases), ["__path", "__start"], "left").select(
         name.alias("file_id"),
         (F.col("__n") + F.coalesce("__n0", F.lit(0))).alias("line_no"),
         (F.col("__b") + F.coalesce("__b0", F.lit(0))).alias("byte_offset"),
@@ -65,6 +66,32 @@ def number_lines(lines: DataFrame, file_id=None) -> DataFrame:
     )
 
 
+def _count_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line number and byte offset inside each split, carried across Arrow batches."""
+    split, lines, size = None, 0, 0
+    for batch in batches:
+        paths, starts, values = batch.columns
+        length = pc.add(pc.cast(pc.binary_length(values), pa.int64()), 1).to_numpy()
+        code = paths.dictionary_encode().indices.to_numpy()
+        start = starts.to_numpy()
+        edges = np.flatnonzero((np.diff(code) != 0) | (np.diff(start) != 0)) + 1
+        number, offset = np.empty(len(length), "int64"), np.empty(len(length), "int64")
+        for lo, hi in zip(np.append(0, edges), np.append(edges, len(length))):
+            if hi == lo:
+                continue
+            here = (paths[int(lo)].as_py(), int(start[lo]))
+            if here != split:
+                split, lines, size = here, 0, 0
+            number[lo:hi] = lines + 1 + np.arange(hi - lo)
+            ends = size + np.cumsum(length[lo:hi])
+            offset[lo:hi] = ends - length[lo:hi]
+            lines, size = lines + int(hi - lo), int(ends[-1])
+        yield pa.RecordBatch.from_arrays(
+            [paths, starts, values, pa.array(number), pa.array(offset), pa.array(length)],
+            names=["__path", "__start", "value", "__n", "__b", "byte_len"],
+        )
+
+
 def write_plan(plan: DataFrame, path: str) -> None:
     """Plan as Parquet, ordered by job, model and prefix hash.
 
