@@ -163,20 +163,40 @@ def byte_offsets(spark, d):
     return ingest.with_offsets(lines).select("file_id", "line_no", "byte_len", "byte_offset")
 
 
+SIZED = """(SELECT source || CASE WHEN n_chars > 1000 THEN '-long' ELSE '-short' END AS file_id, doc_id AS line_no, lang,
+   octet_length(encode(text)) + 1 AS len FROM documents)"""
+
+
+def sized_lines(spark, d) -> DataFrame:
+    """Documents as lines: per source one file of long lines and one of short lines."""
+    kind = F.when(F.col("n_chars") > 1000, F.lit("-long")).otherwise(F.lit("-short"))
+    return views.table(spark, d, "documents").select(
+        F.concat("source", kind).alias("file_id"),
+        F.col("doc_id").alias("line_no"),
+        F.col("lang").alias("model"),
+        ingest.line_length("text").alias("byte_len"),
+    )
+
+
 @query(
     "file_stats",
-    """SELECT source AS file_id, count(*)::BIGINT AS lines,
-         sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, count(DISTINCT lang)::BIGINT AS models,
-         CASE WHEN sum(octet_length(encode(text)) + 1) > 500000 THEN 'bytes'
-              WHEN count(*) > 100 THEN 'lines' END AS breach
-       FROM documents GROUP BY source""",
+    f"""SELECT file_id, count(*)::BIGINT AS lines, sum(len)::BIGINT AS bytes, count(DISTINCT lang)::BIGINT AS models,
+         CASE WHEN sum(len) > 100000 THEN 'bytes' WHEN count(*) > 30 THEN 'lines' END AS breach
+       FROM {SIZED} GROUP BY file_id""",
 )
 def file_stats(spark, d):
-    docs = views.table(spark, d, "documents")
-    lines = docs.select(
-        F.col("source").alias("file_id"), F.col("lang").alias("model"), ingest.line_length("text").alias("byte_len")
-    )
-    return ingest.file_stats(lines, max_bytes=500000, max_lines=100)
+    return ingest.file_stats(sized_lines(spark, d), max_bytes=100000, max_lines=30)
+
+
+@query(
+    "oversized_files",
+    f"""SELECT file_id, line_no FROM {SIZED} QUALIFY sum(len) OVER (PARTITION BY file_id) <= 100000
+         AND count(*) OVER (PARTITION BY file_id) <= 30""",
+)
+def oversized_files(spark, d):
+    """Lines of the files that keep within their limits."""
+    lines = sized_lines(spark, d)
+    return ingest.drop_oversized(lines, ingest.file_stats(lines, 100000, 30)).select("file_id", "line_no")
 
 
 @query(

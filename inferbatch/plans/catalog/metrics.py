@@ -302,7 +302,7 @@ def sustained_sql(evaluated: str, hold: int, step: int) -> str:
 )
 def sustained(spark, d):
     inc = O.counter_increase(views.samples(spark, d), ["series"], [], 2 * STEP, STEP)
-    return O.sustained(inc.withColumn("on_", F.col("increase") > 50000), "on_", 3 * STEP, STEP)
+    return O.sustained(inc.withColumn("on_", F.col("increase") > 700), "on_", 3 * STEP, STEP)
 
 
 GAUGE = "SELECT event_type AS metric, 'p' || (user_id % 3) AS priority, epoch(ts)::BIGINT AS ts, event_id AS seq, CASE WHEN event_id % 13 = 0 THEN 'NaN'::DOUBLE ELSE value END AS value FROM events"

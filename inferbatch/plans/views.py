@@ -167,9 +167,22 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files.
+
+    The pattern matches a single file as well as a folder of files; a plain path would have
+    to be a folder.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the inference call returned, one row per line item."""
-    li = table(spark, sf_dir, "lineitem")
+    return outcomes_of(table(spark, sf_dir, "lineitem"))
+
+
+def outcomes_of(li: DataFrame) -> DataFrame:
     k = (F.col("l_orderkey") + F.col("l_linenumber")) % 20
     code = F.when(k == 0, 429).when(k == 1, 500).when(k == 2, 400).when(k == 3, 0).otherwise(200)
     prompt = (F.col("l_quantity") * 10).cast("long")

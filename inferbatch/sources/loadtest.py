@@ -46,7 +46,7 @@ def read_phase_csv(spark: SparkSession, path: str, stem: Callable[[Column], Colu
     A file has three header rows and one data row; percentiles are lists of the 11 deciles.
     Phase and cycle come from the file name (`burst-1`).
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     named = whole.select(stem(F.col("_metadata.file_path")).alias("stem"), "value")
     return phase_metrics(named.mapInPandas(_cells, CELL))
 
