@@ -104,10 +104,17 @@ def histogram_quantile(buckets: DataFrame, quantiles: Sequence[float], by: Seque
 
     The lowest bucket starts at 0 and the +Inf bucket answers with the highest finite bound.
     Buckets of several sources are summed per bound first; what is then collected per group
-    is one small array with an entry per bound of the layout.
+    is one small array with an entry per bound of the layout. Samples taken at slightly
+    different moments may leave a bucket below the one before it; it is raised to that.
     """
-    summed = buckets.groupBy(*by, "le").agg(F.sum(count).alias("__n"))
+    summed = buckets.groupBy(*by, "le").agg(F.sum(count).cast("double").alias("__n"))
     packed = summed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("le", "__n"))).alias("__b"))
+
+    def raised(x: Column, i: Column) -> Column:
+        so_far = F.slice("__b", F.lit(1), i + 1)
+        return F.struct(x["le"].alias("le"), F.array_max(F.transform(so_far, lambda y: y["__n"])).alias("__n"))
+
+    packed = packed.withColumn("__b", F.transform("__b", raised))
     b = F.col("__b")
     total = F.element_at(b, -1)["__n"]
 

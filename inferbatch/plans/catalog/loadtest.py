@@ -58,19 +58,19 @@ def phases(spark, d):
     )
 
 
-def rounded(df, *names, digits=6):
+def rounded(df, *names, digits=8):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
 def sql_rounded(names, agg="{}"):
-    return ", ".join(f"round({agg.format(n)}, 6) AS {n}" for n in names)
+    return ", ".join(f"round({agg.format(n)}, 8) AS {n}" for n in names)
 
 
 @query(
     "aggregate_phases",
     sql(
         f"""SELECT scenario, {sql_rounded(T.PHASE_MEANS, 'avg({})')}, sum(completed)::BIGINT AS completed,
-             sum(errors)::BIGINT AS errors, round(avg(error_rate), 6) AS error_rate
+             sum(errors)::BIGINT AS errors, round(avg(error_rate), 8) AS error_rate
            FROM p WHERE phase LIKE '%burst%' GROUP BY scenario""",
         ctes=f"p AS ({PHASES})",
     ),
@@ -87,15 +87,14 @@ MEANS = [*T.PERCENTILES, "ok_rps", "error_rate"]
     sql(
         f"""SELECT scenario, phase, cycle, count(*)::BIGINT AS trials, {sql_rounded(MEANS, 'avg({})')},
              (sum(completed) // count(*))::BIGINT AS completed, (sum(errors) // count(*))::BIGINT AS errors,
-             round(CASE WHEN count(*) < 2 THEN 0 ELSE 1.96 * sqrt(var_samp(ttft_p99) / count(*)) END, 5) AS ttft_p99_ci,
-             round(CASE WHEN count(*) < 2 THEN 0 ELSE 1.96 * sqrt(var_samp(tpot_p99) / count(*)) END, 5) AS tpot_p99_ci
+             round(CASE WHEN count(*) < 2 THEN 0 ELSE 1.96 * sqrt(var_samp(ttft_p99) / count(*)) END, 8) AS ttft_p99_ci,
+             round(CASE WHEN count(*) < 2 THEN 0 ELSE 1.96 * sqrt(var_samp(tpot_p99) / count(*)) END, 8) AS tpot_p99_ci
            FROM p GROUP BY scenario, phase, cycle""",
         ctes=f"p AS ({PHASES})",
     ),
 )
 def aggregate_trials(spark, d):
-    out = rounded(T.aggregate_trials(phases(spark, d)), *MEANS)
-    return rounded(out, "ttft_p99_ci", "tpot_p99_ci", digits=5)
+    return rounded(T.aggregate_trials(phases(spark, d)), *MEANS, "ttft_p99_ci", "tpot_p99_ci")
 
 
 def trials(spark, d):
@@ -212,7 +211,7 @@ def slo_report(spark, d):
     "slo_rate",
     sql(
         """SELECT f.scenario, count(elapsed)::BIGINT AS finished, count(*) FILTER (met)::BIGINT AS met,
-             round(any_value(f.completion), 6) AS completion
+             round(any_value(f.completion), 8) AS completion
            FROM (SELECT user_id % 7 AS scenario, count(*) FILTER (event_type = 'purchase') / count(*) * 100 AS completion
                  FROM events GROUP BY 1) f LEFT JOIN r ON r.scenario = f.scenario GROUP BY f.scenario""",
         ctes=REPORT,
@@ -228,7 +227,7 @@ def slo_rate(spark, d):
 @query(
     "vs_baseline",
     sql(
-        """SELECT scenario, round(ttft_p99, 6) AS ttft_p99, round((ttft_p99 - base) / base * 100, 6) AS change_percent
+        """SELECT scenario, round(ttft_p99, 8) AS ttft_p99, round((ttft_p99 - base) / base * 100, 8) AS change_percent
            FROM a, (SELECT ttft_p99 AS base FROM a WHERE scenario = 0)""",
         ctes=f"a AS MATERIALIZED (SELECT scenario, avg(ttft_p99) AS ttft_p99 FROM ({PHASES}) WHERE phase = 'burst' GROUP BY 1)",
     ),
@@ -250,8 +249,8 @@ def triple_sql(name):
     sql(
         f"""SELECT scenario, {triple_sql('ttft')} AS ttft_burst, {triple_sql('itl')} AS itl_burst,
              printf('%.2f', sum(completed) FILTER (phase = 'idle') / 180.0) AS idle_rps,
-             round(avg(error_rate) FILTER (phase = 'burst') * 100, 6) AS burst_error_percent,
-             round(avg(error_rate) FILTER (phase = 'idle') * 100, 6) AS idle_error_percent
+             round(avg(error_rate) FILTER (phase = 'burst') * 100, 8) AS burst_error_percent,
+             round(avg(error_rate) FILTER (phase = 'idle') * 100, 8) AS idle_error_percent
            FROM p GROUP BY scenario""",
         ctes=f"p AS ({PHASES})",
     ),
@@ -339,7 +338,7 @@ def sweep_points(spark, d):
 @query(
     "sweep_table",
     sql(
-        "SELECT scenario, " + ", ".join(f"round(max(ttft_p99) FILTER (rate = {r}), 6) AS rate_{r}" for r in range(1, 11))
+        "SELECT scenario, " + ", ".join(f"round(max(ttft_p99) FILTER (rate = {r}), 8) AS rate_{r}" for r in range(1, 11))
         + " FROM pt GROUP BY scenario",
         ctes=f"s AS ({SWEEP}), pt AS ({POINTS})",
     ),
@@ -375,11 +374,11 @@ def deciles_sql(factor: float) -> str:
 
 
 CSV_SQL = f"""
- SELECT phase, cycle, round(quantile_cont(value, 0.5), 6) AS ttft_p50,
-        round(p90 + 0.5 * (p100 - p90), 6) AS ttft_p95, round(p90 + 0.9 * (p100 - p90), 6) AS ttft_p99,
+ SELECT phase, cycle, round(quantile_cont(value, 0.5), 8) AS ttft_p50,
+        round(p90 + 0.5 * (p100 - p90), 8) AS ttft_p95, round(p90 + 0.9 * (p100 - p90), 8) AS ttft_p99,
         round(quantile_cont(value, 0.5) / 10 * 1000, 4) AS req_latency_p50,
         round((p90 + 0.9 * (p100 - p90)) / 10 * 1000, 4) AS req_latency_p99, 0.0::DOUBLE AS itl_p99,
-        n_ok AS completed, n - n_ok AS errors, round((n - n_ok) / n, 6) AS error_rate, round(n_ok / 90.0, 6) AS ok_rps
+        n_ok AS completed, n - n_ok AS errors, round((n - n_ok) / n, 8) AS error_rate, round(n_ok / 90.0, 8) AS ok_rps
  FROM (SELECT phase, cycle, list(value) AS vs, quantile_cont(value, 0.9) AS p90, max(value) AS p100, count(*) AS n,
               count(*) FILTER (event_type <> 'error') AS n_ok FROM (
          SELECT *, CASE WHEN hour(ts) % 2 = 0 THEN 'burst' ELSE 'idle' END AS phase, day(ts)::BIGINT AS cycle FROM events)
@@ -452,7 +451,7 @@ def read_samples(spark, d):
 
 @query(
     "interpolate_decile",
-    f"""SELECT event_type, round(d[10] + 0.5 * (d[11] - d[10]), 6) AS p95, round(d[1 + 2] + 0.5 * (d[1 + 3] - d[1 + 2]), 6) AS p25
+    f"""SELECT event_type, round(d[10] + 0.5 * (d[11] - d[10]), 8) AS p95, round(d[1 + 2] + 0.5 * (d[1 + 3] - d[1 + 2]), 8) AS p25
        FROM (SELECT event_type, {deciles_sql(1.0)} AS d FROM events GROUP BY event_type)""",
 )
 def interpolate_decile(spark, d):
@@ -460,6 +459,6 @@ def interpolate_decile(spark, d):
     g = e.groupBy("event_type").agg(F.percentile("value", F.array(*[F.lit(q) for q in DECILES])).alias("d"))
     return g.select(
         "event_type",
-        F.round(S.interpolate_decile("d", 95), 6).alias("p95"),
-        F.round(S.interpolate_decile("d", 25), 6).alias("p25"),
+        F.round(S.interpolate_decile("d", 95), 8).alias("p95"),
+        F.round(S.interpolate_decile("d", 25), 8).alias("p25"),
     )

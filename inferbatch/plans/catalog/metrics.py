@@ -131,7 +131,8 @@ def quantile_sql(buckets: str, by: str, quantiles) -> str:
     return f"""SELECT {group}{out} FROM (
       SELECT *, max(n) OVER (PARTITION BY {key}) AS total,
              coalesce(lag(n) OVER (PARTITION BY {key} ORDER BY bound), 0) AS below,
-             coalesce(lag(bound) OVER (PARTITION BY {key} ORDER BY bound), 0) AS low FROM {buckets})
+             coalesce(lag(bound) OVER (PARTITION BY {key} ORDER BY bound), 0) AS low
+      FROM (SELECT * REPLACE (max(n) OVER (PARTITION BY {key} ORDER BY bound) AS n) FROM {buckets}))
       {'GROUP BY ' + by if by else ''}"""
 
 
