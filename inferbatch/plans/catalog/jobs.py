@@ -395,7 +395,11 @@ def list_batches(spark, d):
 
 @query(
     "list_files",
-    sql("SELECT id, false AS has_more FROM files WHERE tenant_id = 't2' AND purpose = 'batch' ORDER BY id LIMIT 200", "files"),
+    sql(
+        """SELECT id, count(*) OVER () > 200 AS has_more FROM files WHERE tenant_id = 't2' AND purpose = 'batch'
+           ORDER BY id LIMIT 200""",
+        "files",
+    ),
 )
 def list_files(spark, d):
     return J.list_files(views.files(spark, d), "t2", limit=200, purpose="batch").select("id", "has_more")

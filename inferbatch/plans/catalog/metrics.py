@@ -419,7 +419,7 @@ def last_sql(labels: dict[str, str], by: list[str], value: str = "value", step:
     group = "".join(f"{b}, " for b in by)
     return sql(
         f"""SELECT {group}t, sum(value) AS value FROM (
-              SELECT {group}series, (ceil(ts / {step}::DOUBLE) * {step})::BIGINT AS t, max_by({value}, ts * 1000000000 + seq) AS value
+              SELECT {group}series, (ceil(ts / {step}::DOUBLE) * {step})::BIGINT AS t, max_by({value}, (ts, seq)) AS value
               FROM samples GROUP BY ALL) GROUP BY ALL""",
         ctes=counter_sql(labels),
     )
@@ -547,8 +547,8 @@ _last_query("dashboard_http_inflight", "d10", "inflight", {"path": "event_type"}
 RATIO = """
  SELECT t, round(sum(a) / {denominator}, 6) AS ratio FROM (
    SELECT 'u' || (user_id % 3) AS series, (ceil(floor(epoch(ts)) / {step}::DOUBLE) * {step})::BIGINT AS t,
-          max_by(floor(value), floor(epoch(ts)) * 1000000000 + event_id) AS a,
-          max_by(floor(value) + event_id % 4, floor(epoch(ts)) * 1000000000 + event_id) AS b
+          max_by(floor(value), (floor(epoch(ts))::BIGINT, event_id)) AS a,
+          max_by(floor(value) + event_id % 4, (floor(epoch(ts))::BIGINT, event_id)) AS b
    FROM events GROUP BY 1, 2) GROUP BY t"""
 
 
