@@ -14,14 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..session import materialize
-from .order import RANGE, with_range
+from .order import MIN_ROWS, RANGE, with_range
 
 SUCCESS = "success"
 
@@ -40,11 +39,13 @@ class Limits:
     def start(self) -> tuple[int, int]:
         return min(max(self.initial, self.minimum), self.maximum), 0
 
-    def after_failure(self, limit: int) -> int:
-        return max(self.minimum, int(limit * self.factor))
-
-    def after_window(self, limit: int) -> int:
-        return min(limit + self.increment, self.maximum)
+    def step(self, limit: int, run: int, good: bool) -> tuple[int, int]:
+        """State after one more result."""
+        if not good:
+            return max(self.minimum, int(limit * self.factor)), 0
+        if run + 1 < limit:
+            return limit, run + 1
+        return min(limit + self.increment, self.maximum), 0
 
     def after_successes(self, limit: int, run: int, n: int) -> tuple[int, int]:
         """State after n successes; n may be large, the loop runs once per limit change."""
@@ -52,7 +53,7 @@ class Limits:
             need = max(1, limit - run)
             if n < need:
                 return limit, run + n
-            raised = self.after_window(limit)
+            raised = min(limit + self.increment, self.maximum)
             n, run = n - need, 0
             if raised == limit:
                 return limit, n % max(1, limit)
@@ -75,15 +76,6 @@ def signals(results: DataFrame, order: list[str]) -> DataFrame:
     return results.filter(status.isNotNull()).select("endpoint", *order, signal.alias("signal"))
 
 
-def _segments(good: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(start, number of successes) of each stretch; a stretch ends at a failure or the end."""
-    stops = np.append(np.flatnonzero(~good), len(good))
-    begin = 0
-    for stop in stops:
-        yield begin, int(stop - begin)
-        begin = int(stop) + 1
-
-
 class _Summary:
     """Effect of one range on every possible starting limit."""
 
@@ -92,30 +84,27 @@ class _Summary:
         self.lead = 0
         self.states: dict[tuple[int, int], list[int]] | None = None
 
-    def add(self, good: np.ndarray) -> None:
-        last = len(good)
-        for begin, n in _segments(good):
-            if self.states is None:
-                self.lead += n
-            else:
-                self._map(lambda limit, run, n=n: self.limits.after_successes(limit, run, n))
-            if begin + n < last:
-                self._fail()
-
-    def _fail(self) -> None:
-        lim = self.limits
+    def add(self, good: list[bool]) -> None:
+        begin = 0
         if self.states is None:
-            self.states = {}
-            for limit in range(lim.minimum, lim.maximum + 1):
-                self.states.setdefault((lim.after_failure(limit), 0), []).append(limit)
-        else:
-            self._map(lambda limit, run: (lim.after_failure(limit), 0))
-
-    def _map(self, step) -> None:
-        merged: dict[tuple[int, int], list[int]] = {}
-        for state, origins in self.states.items():
-            merged.setdefault(step(*state), []).extend(origins)
-        self.states = merged
+            begin = next((i for i, g in enumerate(good) if not g), len(good))
+            self.lead += begin
+            if begin == len(good):
+                return
+            self.states = {(limit, 0): [limit] for limit in range(self.limits.minimum, self.limits.maximum + 1)}
+        # Different starts soon meet in the same state; from then on they are followed together.
+        step = self.limits.step
+        for at in range(begin, len(good)):
+            if len(self.states) == 1:
+                (state, origins), = self.states.items()
+                for g in good[at:]:
+                    state = step(*state, g)
+                self.states = {state: origins}
+                return
+            merged: dict[tuple[int, int], list[int]] = {}
+            for state, origins in self.states.items():
+                merged.setdefault(step(*state, good[at]), []).extend(origins)
+            self.states = merged
 
     def row(self, endpoint: str, number: int) -> dict:
         ends = [] if self.states is None else sorted(
@@ -146,7 +135,7 @@ def _summaries(limits: Limits):
                     if summary is not None:
                         done.append(summary.row(*key))
                     key, summary = k, _Summary(limits)
-                summary.add((piece["signal"] == SUCCESS).to_numpy())
+                summary.add((piece["signal"] == SUCCESS).tolist())
             if done:
                 yield pd.DataFrame(done)
         if summary is not None:
@@ -175,30 +164,14 @@ def _chain(limits: Limits):
     return run
 
 
-def _replay_piece(limits: Limits, good: np.ndarray, limit: int, run: int):
+def _replay_piece(limits: Limits, good: list[bool], limit: int, run: int):
     """(limit after each row, limit raised at the row, end state)."""
-    after = np.empty(len(good), dtype="int64")
-    raised = np.zeros(len(good), dtype=bool)
-    for begin, n in _segments(good):
-        at, end = begin, begin + n
-        while at < end:
-            need = max(1, limit - run)
-            if at + need > end:
-                after[at:end] = limit
-                run += end - at
-                break
-            after[at : at + need] = limit
-            at, run = at + need, 0
-            higher = limits.after_window(limit)
-            if higher == limit:
-                after[at:end] = limit
-                run = (end - at) % max(1, limit)
-                break
-            limit = higher
-            after[at - 1], raised[at - 1] = limit, True
-        if end < len(good):
-            limit, run = limits.after_failure(limit), 0
-            after[end] = limit
+    after, raised = [], []
+    for g in good:
+        before = limit
+        limit, run = limits.step(limit, run, g)
+        after.append(limit)
+        raised.append(g and limit != before)
     return after, raised, limit, run
 
 
@@ -210,7 +183,7 @@ def _replays(limits: Limits, kept: list[str]):
             for k, piece in _pieces(batch):
                 if k != key:
                     key, limit, successes = k, int(piece["limit0"].iat[0]), int(piece["run0"].iat[0])
-                good = (piece["signal"] == SUCCESS).to_numpy()
+                good = (piece["signal"] == SUCCESS).tolist()
                 after, raised, limit, successes = _replay_piece(limits, good, limit, successes)
                 part = piece[kept].copy()
                 part["limit"], part["raised"] = after, raised
@@ -227,7 +200,7 @@ def aimd_trace(
     limits: Limits = Limits(),
     state: DataFrame | None = None,
     ranges: int | None = None,
-    min_rows: int = 1024,
+    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """The limit after every signal: the input rows with `limit` and `raised`.
 

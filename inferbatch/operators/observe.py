@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import materialize
 from .jobs import STATE, is_terminal
 from .order import number_rows, previous_value
 
@@ -201,7 +202,8 @@ def sustained(df: DataFrame, condition: str, hold: int, step: int, by: Sequence[
     evaluation ends the run. Runs are found by numbering the true evaluations: within a run,
     time minus number of steps is constant.
     """
-    true = df.filter(F.col(condition)).select(*by, "t")
+    # One row per step: small, and read several times below.
+    true = materialize(df.filter(F.col(condition)).select(*by, "t"), "evaluations")
     run = number_rows(true, by, ["t"], "__n", **cuts).withColumn("__run", F.col("t") - F.col("__n") * step)
     starts = run.groupBy(*by, "__run").agg(F.min("t").alias("since"))
     keys = [*by, "__run"]

@@ -3,7 +3,7 @@
 A window partitioned by a group puts the whole group into one task, which breaks as soon
 as one file, job or series holds a large share of the rows. Here the total order
 (group columns, then order columns) is cut into balanced ranges first. The cut points come
-from a bounded, deterministic sample, so the range a row falls into is a plain expression
+from a small, deterministic sample, so the range a row falls into is a plain expression
 that gives the same answer in every scan and every retry. Windows then run per
 (group, range), and what earlier ranges of the same group contribute is added afterwards.
 A cut point lies inside at most one group, so at most `ranges - 1` such carried rows exist;
@@ -13,7 +13,7 @@ that is the proof behind the broadcast of the carry table.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,45 +22,66 @@ from pyspark.sql import types as T
 
 RANGE = "__range"
 SAMPLE_PER_RANGE = 40
-MIN_SAMPLE = 4096
+MIN_ROWS = 1024
+HASH_SPACE = 1 << 31
 
 
 def _key(columns: Sequence[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], ranges: int, min_rows: int = 1024) -> tuple[list, T.DataType]:
-    """Sorted cut points of the order over `columns`, at most `ranges - 1` of them.
+def cut_points(
+    df: DataFrame, columns: Sequence[str], ranges: int, min_rows: int = MIN_ROWS
+) -> tuple[list[str], T.DataType]:
+    """Sorted cut points (as JSON) of the order over `columns`, at most `ranges - 1` of them.
 
-    The sample keeps the rows with the smallest hash of their key: a uniform sample of the
-    keys whose size is fixed by `ranges` and which does not change between runs.
+    The sample keeps the keys whose hash falls below a threshold: about `SAMPLE_PER_RANGE`
+    keys per range, however large the input is, and the same keys in every run. Inputs of
+    fewer than `min_rows` rows per range get fewer ranges.
     """
-    size = max(MIN_SAMPLE, SAMPLE_PER_RANGE * ranges)
     keyed = df.select(_key(columns).alias("k"))
-    sample = keyed.orderBy(F.xxhash64("k"), "k").limit(size)
-    rows = sample.orderBy("k").select(F.to_json("k", {"ignoreNullFields": "false"}).alias("j")).collect()
-    if len(rows) < size:  # the whole input was sampled: do not cut small inputs finely
-        ranges = min(ranges, max(1, len(rows) // min_rows))
-    picks = [rows[len(rows) * i // ranges]["j"] for i in range(1, ranges)] if rows else []
-    return list(dict.fromkeys(picks)), keyed.schema["k"].dataType
-
-
-def range_of(df: DataFrame, columns: Sequence[str], points: list, key_type: T.DataType) -> Column:
+    key_type = keyed.schema["k"].dataType
+    rows = keyed.count()
+    ranges = min(ranges, rows // max(1, min_rows))
+    if ranges <= 1:
+        return [], key_type
+    below = min(HASH_SPACE, HASH_SPACE * SAMPLE_PER_RANGE * ranges // rows + 1)
+    sample = keyed.filter(F.pmod(F.xxhash64("k"), F.lit(HASH_SPACE)) < below)
+    # The sample is small by construction: one shuffle into one sorted partition.
+    ordered = sample.repartition(1).sortWithinPartitions("k").select(F.to_json("k").alias("j"))
+    keys = [r["j"] for r in ordered.collect()]
+    picks = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
+    return list(dict.fromkeys(picks)), key_type
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row instead of once per reference."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def range_of(columns: Sequence[str], points: list[str], key_type: T.DataType) -> Column:
     """Number of cut points at or below the row's key, found in two short array scans."""
     if not points:
         return F.lit(0)
     step = max(1, math.isqrt(len(points)))
-    key = _key(columns)
-    fine = F.from_json(F.lit("[" + ",".join(points) + "]"), T.ArrayType(key_type))
-    heads = points[step - 1 :: step]
-    coarse = F.from_json(F.lit("[" + ",".join(heads) + "]"), T.ArrayType(key_type))
-    block = F.size(F.filter(coarse, lambda p: p <= key))
-    inside = F.size(F.filter(F.slice(fine, block * step + 1, F.lit(step)), lambda p: p <= key))
-    return block * step + inside
+
+    def literal(some: list[str]) -> Column:
+        return F.from_json(F.lit("[" + ",".join(some) + "]"), T.ArrayType(key_type))
+
+    fine, coarse = literal(points), literal(points[step - 1 :: step])
+
+    def place(key: Column) -> Column:
+        def inside(block: Column) -> Column:
+            near = F.slice(fine, block * step + 1, F.lit(step))
+            return block * step + F.size(F.filter(near, lambda p: p <= key))
+
+        return _bind(F.size(F.filter(coarse, lambda p: p <= key)), inside)
+
+    return _bind(_key(columns).cast(key_type), place)
 
 
 def with_range(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], ranges: int | None = None, min_rows: int = 1024
+    df: DataFrame, group: Sequence[str], order: Sequence[str], ranges: int | None = None, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """Add the range number of each row in the order (group, order).
 
@@ -70,7 +91,7 @@ def with_range(
     columns = [*group, *order]
     ranges = ranges or default_ranges(df)
     points, key_type = cut_points(df, columns, ranges, min_rows)
-    return df.withColumn(RANGE, range_of(df, columns, points, key_type))
+    return df.withColumn(RANGE, range_of(columns, points, key_type))
 
 
 def default_ranges(df: DataFrame) -> int:
@@ -85,7 +106,7 @@ def running_sums(
     sums: dict[str, Column],
     inclusive: bool = False,
     ranges: int | None = None,
-    min_rows: int = 1024,
+    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """Running sums per group in order, before the row (or including it)."""
     cut = with_range(df, group, order, ranges, min_rows)
@@ -116,7 +137,7 @@ def number_rows(
     order: Sequence[str],
     name: str = "position",
     ranges: int | None = None,
-    min_rows: int = 1024,
+    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """1-based row number per group in order."""
     return running_sums(df, group, order, {name: F.lit(1).cast("long")}, True, ranges, min_rows)
@@ -129,7 +150,7 @@ def previous_value(
     value: str,
     name: str = "previous",
     ranges: int | None = None,
-    min_rows: int = 1024,
+    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """Value of the preceding row of the same group, NULL on a group's first row."""
     cut = with_range(df, group, order, ranges, min_rows)

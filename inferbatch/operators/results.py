@@ -22,7 +22,7 @@ def _error(code, message) -> Column:
 def is_json_object(text) -> Column:
     """The text is one JSON object (or JSON null, which decodes to an empty one)."""
     kind = F.schema_of_variant(F.try_parse_json(S.as_col(text)))
-    return F.coalesce(kind.startswith("OBJECT") | (kind == "VOID"), F.lit(False))
+    return F.coalesce(kind.rlike("^(OBJECT|VOID)"), F.lit(False))
 
 
 def _wrapped(body, kind: Column | None = None) -> Column:

@@ -19,10 +19,14 @@ from .execution import results
 from .sqlviews import sql
 
 NOW = views.NOW
-NUMBER = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
 T_TERMINAL = "('completed', 'failed', 'expired', 'cancelled')"
 
 
+def number():
+    """Key of the source row, read back from the id."""
+    return F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+
+
 def state(df, *names):
     """Flat view of job rows: id and the named status fields."""
     return [F.col(f"status.{n}").alias(n.split(".")[-1]) for n in names]
@@ -111,7 +115,7 @@ def job_info(spark, d):
 )
 def validate_jobs(spark, d):
     """Every rule is broken by one residue class of the order keys."""
-    n = NUMBER % 13
+    n = number() % 13
     j = views.jobs(spark, d)
     many = F.map_from_entries(
         F.transform(F.sequence(F.lit(1), F.lit(17)), lambda i: F.struct(i.cast("string"), F.lit("v")))
@@ -164,10 +168,10 @@ def check_inputs(spark, d):
 )
 def validate_files(spark, d):
     f = views.files(spark, d)
-    n = NUMBER % 10
+    n = number() % 10
     uploads = f.select(
         "id",
-        F.when(NUMBER % 3 == 0, F.lit("/")).otherwise(F.concat(F.lit("dir/sub/"), F.col("spec.filename"))).alias("filename"),
+        F.when(number() % 3 == 0, F.lit("/")).otherwise(F.concat(F.lit("dir/sub/"), F.col("spec.filename"))).alias("filename"),
         F.when(n == 0, F.lit("")).when(n == 1, F.lit("other")).otherwise(F.col("purpose")).alias("purpose"),
         F.when(n == 3, F.lit("now")).when(n.isin(4, 5, 6), F.lit("created_at")).alias("expires_anchor"),
         F.when(n == 4, F.lit("1h")).when(n == 5, F.lit("60")).when(n.isin(2, 3, 6), F.lit("7200")).alias("expires_seconds"),
@@ -305,14 +309,14 @@ def cancel_events(spark, d):
     ),
 )
 def transition(spark, d):
-    n = NUMBER % 3
+    n = number() % 3
     j = views.jobs(spark, d).withColumns(
         {
             "target": F.when(n == 0, F.lit("finalizing"))
             .when((n == 1) | (F.col("priority") == 0), F.lit("failed"))
             .otherwise(F.lit("validating")),
             "counts": F.when(
-                NUMBER % 2 == 0,
+                number() % 2 == 0,
                 F.struct(*[F.lit(x).cast("long").alias(c) for c, x in (("total", 7), ("completed", 3), ("failed", 4))]),
             ),
         }
@@ -330,11 +334,11 @@ def transition(spark, d):
     ),
 )
 def with_file_ids(spark, d):
-    text = NUMBER.cast("string")
+    text = number().cast("string")
     j = views.jobs(spark, d).withColumns(
         {
-            "o": F.when(NUMBER % 2 == 0, F.concat(F.lit("new_"), text)).otherwise(F.lit("")),
-            "e": F.when(NUMBER % 5 == 0, F.concat(F.lit("err_"), text)),
+            "o": F.when(number() % 2 == 0, F.concat(F.lit("new_"), text)).otherwise(F.lit("")),
+            "e": F.when(number() % 5 == 0, F.concat(F.lit("err_"), text)),
         }
     )
     out = J.with_file_ids(j, "o", "e")
@@ -470,7 +474,7 @@ def jobs_processed(spark, d):
     ),
 )
 def classify_outcome(spark, d):
-    n = NUMBER % 5
+    n = number() % 5
     rows = views.jobs(spark, d).select(
         "id",
         F.when(n == 0, F.lit("expired")).when(n == 1, F.lit("cancelled")).when(n == 2, F.lit("shutdown")).alias("cause"),
@@ -490,7 +494,7 @@ def classify_outcome(spark, d):
 )
 def merge_progress(spark, d):
     j = views.jobs(spark, d)
-    live = j.filter(NUMBER % 2 == 0).select(
+    live = j.filter(number() % 2 == 0).select(
         F.col("id").alias("job_id"),
         F.struct(*[F.lit(x).cast("long").alias(c) for c, x in (("total", 99), ("completed", 42), ("failed", 1))]).alias("counts"),
     )
@@ -508,7 +512,7 @@ def merge_progress(spark, d):
 )
 def apply_updates(spark, d):
     j = views.jobs(spark, d)
-    n = NUMBER % 3
+    n = number() % 3
     failed = F.col("status").withField("status", F.lit("failed"))
     updates = j.filter(n != 2).select(
         "id",
@@ -522,7 +526,7 @@ def apply_updates(spark, d):
 def fenced(spark, d):
     """Updates from a snapshot: a third carries an old epoch, a third an old status, some no job."""
     j = views.jobs(spark, d)
-    n = NUMBER % 3
+    n = number() % 3
     old = F.col("status").withField("status", F.lit("unknown"))
     updates = j.select(
         "id",
@@ -734,7 +738,7 @@ RECOVER = f"""
 
 def recovered(spark, d):
     j = views.jobs(spark, d)
-    has_output = j.filter(NUMBER % 2 == 0).select(F.col("id").alias("job_id"))
+    has_output = j.filter(number() % 2 == 0).select(F.col("id").alias("job_id"))
     return L.recover(j, has_output, NOW)
 
 
@@ -823,5 +827,5 @@ def durations(spark, d):
         "id",
         S.duration_seconds("spec.completion_window").alias("seconds"),
         S.deadline_micros("spec.created_at", "spec.completion_window").alias("deadline"),
-        S.format_duration(NUMBER % 7200).alias("elapsed"),
+        S.format_duration(number() % 7200).alias("elapsed"),
     )

@@ -478,12 +478,22 @@ _quantile_query("dashboard_reconcile_cycle", "d9", "cycle", "batch_reconciler_cy
 _quantile_query("dashboard_http_latency", "d10", "latency", "http_request_duration_seconds_bucket", V.HTTP_BUCKETS)
 
 
+def user_label():
+    return user_mod(3)
+
+
+def _columns(labels: dict) -> dict:
+    """Label columns; functions are called here because columns need a running session."""
+    return {name: make() if callable(make) else make for name, make in labels.items()}
+
+
 def _rate_query(name, dashboard, panel, labels: dict, sql_labels: dict, where: str = "true"):
     spec = D.PANELS[dashboard][panel]
 
     @query(name, rate_sql(sql_labels, list(spec.by), where))
     def build(spark, d):
-        return rounded(D.panel(counter(spark, d, spec.metric, labels), dashboard, panel, **OPTIONS), "rate")
+        rows = counter(spark, d, spec.metric, _columns(labels))
+        return rounded(D.panel(rows, dashboard, panel, **OPTIONS), "rate")
 
     return build
 
@@ -493,19 +503,23 @@ def _last_query(name, dashboard, panel, labels: dict, sql_labels: dict):
 
     @query(name, last_sql(sql_labels, list(spec.by)))
     def build(spark, d):
-        return D.panel(counter(spark, d, spec.metric, labels), dashboard, panel, step=STEP)
+        return D.panel(counter(spark, d, spec.metric, _columns(labels)), dashboard, panel, step=STEP)
 
     return build
 
 
-U3, U3_SQL = user_mod(3), "'u' || (user_id % 3)"
+U3, U3_SQL = user_label, "'u' || (user_id % 3)"
 _rate_query("dashboard_model_errors", "d4", "errors", {"model": "event_type"}, {"model": "event_type"})
 _last_query("dashboard_model_inflight", "d4", "inflight", {"model": "event_type", "pod": U3}, {"model": "event_type", "pod": U3_SQL})
 _rate_query(
     "dashboard_storage_retries",
     "d6",
     "storage_retries",
-    {"operation": "event_type", "status": views.pick(F.col("user_id") % 2, "retry", "success"), "component": F.lit("processor")},
+    {
+        "operation": "event_type",
+        "status": lambda: views.pick(F.col("user_id") % 2, "retry", "success"),
+        "component": lambda: F.lit("processor"),
+    },
     {"operation": "event_type"},
     "user_id % 2 = 0",
 )
@@ -534,7 +548,11 @@ _rate_query("dashboard_reconciler_errors", "d9", "errors", {}, {})
 _rate_query("dashboard_conflicts", "d9", "conflicts", {}, {})
 _rate_query("dashboard_cleanups", "d9", "cleanups", {}, {})
 
-HTTP_LABELS = {"method": views.pick(F.col("user_id") % 2, "GET", "POST"), "path": F.col("event_type"), "status": views.pick(F.col("user_id") % 4, "200", "404", "429", "500")}
+HTTP_LABELS = {
+    "method": lambda: views.pick(F.col("user_id") % 2, "GET", "POST"),
+    "path": "event_type",
+    "status": lambda: views.pick(F.col("user_id") % 4, "200", "404", "429", "500"),
+}
 HTTP_SQL = {
     "method": "(['GET', 'POST'])[(user_id % 2 + 1)::INT]",
     "path": "event_type",
@@ -556,7 +574,7 @@ def workers(spark, d, used: str, total: str):
     v = F.floor("value").cast("double")
     active = views.table(spark, d, "events")
     base = active.select(
-        D.label_map({"pod": U3}).alias("labels"),
+        D.label_map({"pod": user_label()}).alias("labels"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"),
         F.col("event_id").alias("seq"),
         F.lit(None).cast("double").alias("le"),

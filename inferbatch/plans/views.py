@@ -19,8 +19,17 @@ GATEWAYS = ["m0", "m1"]
 LIVE = ["p0", "p1", "p2"]
 
 
+# A table in a single file of one row group is read by one task, whatever its size. Between
+# these sizes spreading the rows costs less than working on them alone.
+SPREAD_BYTES = (1 << 20, 128 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1] and len(df.inputFiles()) == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def _s(col: Column) -> Column:

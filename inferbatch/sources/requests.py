@@ -132,8 +132,8 @@ def write_results(results: DataFrame, path: str) -> None:
     goes to the output files. A job without rows of a kind gets no folder of that kind.
     """
     lines = result_lines(results).withColumn("kind", F.when(F.col("is_error"), "error").otherwise("output"))
-    # Ranges keep a job's lines in one or a few files, and split a job that fills many tasks.
-    placed = lines.repartitionByRange("kind", "job_id", F.xxhash64("value"))
+    # Rebalancing brings a job's lines together and splits a job too large for one task.
+    placed = lines.hint("rebalance", F.col("kind"), F.col("job_id"))
     placed.select("kind", "job_id", "value").write.mode("error").partitionBy("kind", "job_id").text(path)
 
 
