@@ -21,7 +21,7 @@ LIVE = ["p0", "p1", "p2"]
 
 # A table in a single file of one row group is read by one task, whatever its size. Between
 # these sizes spreading the rows costs less than working on them alone.
-SPREAD_BYTES = (1 << 20, 128 << 20)
+SPREAD_BYTES = (4 << 20, 128 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
