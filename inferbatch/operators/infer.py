@@ -31,10 +31,10 @@ def backoff_seconds(attempt: int, base: float, cap: float, u: float) -> float:
     return interval * (0.5 + u)
 
 
-def retry_after_seconds(header: str | None, now: float) -> float | None:
+def retry_after_seconds(header, now: float) -> float | None:
     """A Retry-After header as seconds: a whole number or an HTTP date; None if unusable."""
-    if not header:
-        return None
+    if not isinstance(header, str):
+        return None if header is None or header != header or header < 0 else float(header)
     if header.isdigit():
         return float(header)
     try:
@@ -77,9 +77,9 @@ def _attempts(batch: pd.DataFrame, client: Client, retries: int, initial: float,
     while len(pending):
         out = client(pending).set_index("request_id").reindex(pending["request_id"])
         out = out.reindex(columns=OUTCOME)
-        rows = pending[["request_id", *CARRIED]].reset_index(drop=True)
+        rows = pending[["request_id", *CARRIED]].reset_index(drop=True).astype(object)
         for c in OUTCOME:
-            rows[c] = out[c].to_numpy()
+            rows[c] = out[c].astype(object).to_numpy()
         rows["attempt"] = attempt
         retry = [attempt <= retries and _retryable(s, r) for s, r in zip(rows["status_code"], rows["dropped_reason"])]
         now = time.time()
@@ -89,7 +89,7 @@ def _attempts(batch: pd.DataFrame, client: Client, retries: int, initial: float,
         ]
         rows["final"] = [not again for again in retry]
         rows["retry_after"] = pd.to_numeric(rows["retry_after"], errors="coerce")
-        rows["status_code"] = rows["status_code"].fillna(0).astype("int32")
+        rows["status_code"] = pd.to_numeric(rows["status_code"]).fillna(0).astype("int32")
         yield rows
         longest = float(rows["wait_seconds"].max())
         pending = pending[pd.Series(retry, index=pending.index)]
