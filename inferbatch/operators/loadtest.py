@@ -200,11 +200,9 @@ def saturating_rate(probes: DataFrame, back_off: int = 5) -> DataFrame:
     slow = (F.col("rate") > F.col("__first")) & (F.col("__base") > 0) & (F.col("ttft_p99") > 3 * F.col("__base"))
     breach = (ok & (slow | (F.col("error_rate") > 0.05))) | (~ok & F.col("failed"))
     judged = probes.join(base, "scenario")
-    return judged.groupBy("scenario").agg(
-        F.coalesce(
-            F.greatest(F.min(F.when(breach, F.col("rate"))) - back_off, F.lit(1)), F.max("__last")
-        ).cast("long").alias("saturating_rate")
-    )
+    stop = F.min(F.when(breach, F.col("rate")))
+    answer = F.when(stop.isNotNull(), F.greatest(stop - back_off, F.lit(1))).otherwise(F.max("__last"))
+    return judged.groupBy("scenario").agg(answer.cast("long").alias("saturating_rate"))
 
 
 SWEEP = ["ttft_p50", "ttft_p95", "ttft_p99", "tpot_p50", "tpot_p95", "tpot_p99"]

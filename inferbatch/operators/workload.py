@@ -83,9 +83,15 @@ def synthetic_prompt(words, offset) -> Column:
     return F.when(n <= 0, F.lit("")).otherwise(F.array_join(picked, " "))
 
 
+def zero_padded(number, width: int) -> Column:
+    """At least `width` digits; longer numbers are kept whole."""
+    digits = S.as_col(number).cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
 def persona_prompt(number, text, target_tokens: int) -> Column:
     """`[Persona 007] ...`: a system prompt of at most four characters per token."""
-    tagged = F.concat(F.lit("[Persona "), F.lpad(S.as_col(number).cast("string"), 3, "0"), F.lit("] "), S.as_col(text))
+    tagged = F.concat(F.lit("[Persona "), zero_padded(number, 3), F.lit("] "), S.as_col(text))
     return F.trim(F.substring(tagged, 1, target_tokens * 4))
 
 
@@ -130,11 +136,9 @@ def generate_requests(
         user = F.trim(F.substring(F.col(text), F.lit(1), (tokens * 4).cast("int")))
     else:
         user = synthetic_prompt(tokens, F.floor(uniform(F.lit(seed), i, "words") * len(V.SYNTHETIC_WORDS)))
-    digits = i.cast("string")
-    number = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
     return df.select(
         i.alias("line_no"),
-        F.concat(F.lit(f"{prefix}-"), number).alias("custom_id"),
+        F.concat(F.lit(f"{prefix}-"), zero_padded(i, 4)).alias("custom_id"),
         F.lit("POST").alias("method"),
         F.lit("/v1/chat/completions").alias("url"),
         F.lit(model).alias("model"),

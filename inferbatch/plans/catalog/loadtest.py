@@ -286,7 +286,8 @@ def probes(spark, d):
 @query(
     "saturating_rate",
     sql(
-        """SELECT scenario, coalesce(greatest(min(CASE WHEN breach THEN rate END) - 5, 1), max(rate))::BIGINT AS saturating_rate
+        """SELECT scenario, CASE WHEN bool_or(breach) THEN greatest(min(CASE WHEN breach THEN rate END) - 5, 1)
+             ELSE max(rate) END::BIGINT AS saturating_rate
            FROM (SELECT *, (completed > 0 AND ((rate > first_rate AND base > 0 AND ttft_p99 > 3 * base) OR error_rate > 0.05))
                         OR (completed = 0 AND failed) AS breach
              FROM (SELECT *, min(rate) FILTER (completed > 0) OVER w AS first_rate,
