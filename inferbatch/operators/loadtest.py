@@ -105,22 +105,23 @@ def completion_times(observations: DataFrame, by: Sequence[str] = ("job",)) -> D
 # --- deadlines and scenarios ------------------------------------------------------
 
 
-def job_windows(spark) -> DataFrame:
-    """The load-test jobs with their deadline windows; three rows."""
-    return spark.createDataFrame(V.JOB_WINDOWS, "job string, label string, display string, seconds long")
+def slo_report(completions: DataFrame, scenarios: DataFrame, windows: Sequence[tuple] = V.JOB_WINDOWS) -> DataFrame:
+    """Every scenario and job with its elapsed time, window and verdict; unfinished ones too.
 
-
-def slo_report(completions: DataFrame, windows: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Every scenario and job with its elapsed time, window and verdict; unfinished ones too."""
-    expected = scenarios.select("scenario").distinct().crossJoin(F.broadcast(windows))
+    `windows` lists (job, label, display, seconds).
+    """
+    fields = ("job", "label", "display", "seconds")
+    jobs = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, w)]) for w in windows])
+    expected = scenarios.select("scenario").distinct().select("scenario", F.inline(jobs))
     joined = expected.join(completions.select("scenario", "job", "elapsed"), ["scenario", "job"], "left")
-    met = F.col("elapsed") <= F.col("seconds")
+    seconds = F.col("seconds").cast("long")
+    met = F.col("elapsed") <= seconds
     actual = S.format_duration("elapsed")
     text = F.when(
         F.col("elapsed").isNotNull(),
         F.concat(F.col("label"), F.lit(": "), F.when(met, F.lit("✓")).otherwise(F.lit("✗")), F.lit(" "), actual, F.lit("/"), F.col("display")),
     ).otherwise(F.concat(F.col("label"), F.lit(": — /"), F.col("display")))
-    return joined.select("scenario", "job", "elapsed", "seconds", met.alias("met"), text.alias("summary"))
+    return joined.select("scenario", "job", "elapsed", seconds.alias("seconds"), met.alias("met"), text.alias("summary"))
 
 
 def slo_rate(report: DataFrame, final: DataFrame) -> DataFrame:
@@ -145,9 +146,9 @@ def vs_baseline(burst: DataFrame, baseline: int = 0, metric: str = "ttft_p99") -
 
     Without a baseline row, or with a zero one, the change is NULL.
     """
-    base = burst.filter(F.col("scenario") == baseline).agg(F.max(metric).alias("__base"))
-    change = F.when(F.col("__base") != 0, (F.col(metric) - F.col("__base")) / F.col("__base") * 100)
-    return burst.crossJoin(F.broadcast(base)).select("scenario", metric, change.alias("change_percent"))
+    base = burst.filter(F.col("scenario") == baseline).agg(F.max(metric)).scalar()
+    change = F.when(base != 0, (F.col(metric) - base) / base * 100)
+    return burst.select("scenario", metric, change.alias("change_percent"))
 
 
 def scenario_summary(phases: DataFrame, idle_seconds: int, cycles: int, warmup_cycles: int) -> DataFrame:

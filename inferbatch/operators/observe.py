@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import materialize
+from ..session import lookup_table, materialize
 from .jobs import STATE, is_terminal
-from .order import number_rows, previous_value
+from .order import number_rows, previous_value, running_sums
 
 INF = float("inf")
 
@@ -130,15 +130,33 @@ def histogram_quantile(buckets: DataFrame, quantiles: Sequence[float], by: Seque
     return packed.select(*by, *[quantile(q).alias(f"p{round(q * 100):02d}") for q in quantiles])
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles of raw values, where the raw rows are at hand.
+def exact_quantiles(
+    df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str] = (), **cuts
+) -> DataFrame:
+    """Exact quantiles of raw values, linear between neighbours.
 
-    Values are first counted per distinct value, so the quantile works on frequencies.
+    Values are counted per distinct value and the counts summed up in order, so the values at
+    the wanted ranks are picked out where they lie; no task holds the values of a group.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    return counted.groupBy(*by).agg(
-        *[F.percentile(value, F.lit(q), F.col("__n")).alias(f"p{round(q * 100):02d}") for q in quantiles]
-    )
+    kept = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    counted = materialize(kept.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")), "value-counts")
+    below = running_sums(counted, by, ["__v"], {"__below": F.col("__n")}, **cuts)
+    sizes = counted.groupBy(*by).agg(F.sum("__n").alias("__size"))
+    placed = below.join(lookup_table(sizes, "group-sizes"), list(by)) if by else below.withColumn("__size", sizes.scalar())
+    picked = []
+    for q in quantiles:
+        rank = F.lit(float(q)) * (F.col("__size") - 1)
+        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            hit = (F.col("__below") <= at) & (at < F.col("__below") + F.col("__n"))
+            picked.append(F.max(F.when(hit, F.col("__v"))).alias(f"__{side}{q}"))
+    found = placed.groupBy(*by).agg(F.max("__size").alias("__size"), *picked)
+
+    def between(q: float) -> Column:
+        rank = F.lit(float(q)) * (F.col("__size") - 1)
+        lo, hi = F.col(f"`__lo{q}`"), F.col(f"`__hi{q}`")
+        return lo + (hi - lo) * (rank - F.floor(rank))
+
+    return found.select(*by, *[between(q).alias(f"p{round(q * 100):02d}") for q in quantiles])
 
 
 # --- counters ---------------------------------------------------------------------

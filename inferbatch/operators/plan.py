@@ -21,10 +21,11 @@ def route(df: DataFrame, gateways: DataFrame, method: str = "model", use_global:
     every model. `method="tenant"` looks up `tenant/model` and needs a tenant_id column.
     """
     config = [c for c in gateways.columns if c != "route_key"]
-    packed = gateways.select("route_key", F.struct(*config).alias("gateway"))
     keyed = df.withColumn("route_key", S.route_key(method, "tenant_id" if method == "tenant" else F.lit(""), "model"))
     if use_global:
-        return keyed.crossJoin(F.broadcast(packed.select("gateway").limit(1)))
+        only = gateways.select(*config).first()  # one row of configuration
+        return keyed.withColumn("gateway", F.struct(*[F.lit(only[c]).alias(c) for c in config]))
+    packed = gateways.select("route_key", F.struct(*config).alias("gateway"))
     return keyed.join(small_side(packed), "route_key", "left")
 
 
@@ -141,15 +142,13 @@ def with_prefix_hash(df: DataFrame, prompt: str = "system_prompt") -> DataFrame:
 def safe_names(lines: DataFrame) -> DataFrame:
     """One path-safe name per (job, model); clashes get `_2`, `_3` in order of first use.
 
-    The window runs over models, not over lines: lines are aggregated away first.
+    Lines are aggregated away first, and clashes are numbered in balanced ranges.
     """
     models = lines.groupBy("job_id", "model").agg(F.min("line_no").alias("first_line"))
-    based = models.withColumn("base", S.safe_model_base("model"))
-    nth = F.row_number().over(W.partitionBy("job_id", "base").orderBy("first_line", "model"))
+    based = materialize(models.withColumn("base", S.safe_model_base("model")), "models")
+    numbered = number_rows(based, ["job_id", "base"], ["first_line", "model"], "nth")
     suffix = F.when(F.col("nth") == 1, F.lit("")).otherwise(F.concat(F.lit("_"), F.col("nth").cast("string")))
-    return based.withColumn("nth", nth).select(
-        "job_id", "model", "first_line", F.concat("base", suffix).alias("safe_name")
-    )
+    return numbered.select("job_id", "model", "first_line", F.concat("base", suffix).alias("safe_name"))
 
 
 def plan_position(df: DataFrame, **cuts) -> DataFrame:

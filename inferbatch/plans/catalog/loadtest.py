@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import scalars as S
 from ...operators import loadtest as T
+from ...operators.observe import exact_quantiles
 from ...session import scratch_path
 from ...sources import loadtest as src
 from .. import views
@@ -37,19 +38,20 @@ def phases(spark, d):
     e = views.table(spark, d, "events")
     ts = F.col("ts").cast("timestamp")
     bad = F.col("event_type") == "error"
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    grouped = e.groupBy(
+    keys = ["scenario", "trial", "phase", "cycle"]
+    rows = e.select(
         (F.col("user_id") % 7).alias("scenario"),
         (F.col("user_id") % 3).alias("trial"),
         F.when(F.hour(ts) % 2 == 0, F.lit("burst")).otherwise(F.lit("idle")).alias("phase"),
         F.day(ts).cast("long").alias("cycle"),
-    ).agg(q.alias("q"), F.count_if(~bad).alias("completed"), F.count_if(bad).alias("errors"))
+        "value",
+        bad.alias("bad"),
+    )
+    counts = rows.groupBy(*keys).agg(F.count_if(~F.col("bad")).alias("completed"), F.count_if("bad").alias("errors"))
+    grouped = counts.join(exact_quantiles(rows, "value", (0.5, 0.95, 0.99), keys), keys)
     return grouped.select(
-        "scenario",
-        "trial",
-        "phase",
-        "cycle",
-        *[(F.col("q")[i] * f).alias(f"{n}_{p}") for n, f in FACTORS.items() for i, p in enumerate(("p50", "p95", "p99"))],
+        *keys,
+        *[(F.col(p) * f).alias(f"{n}_{p}") for n, f in FACTORS.items() for p in ("p50", "p95", "p99")],
         (F.col("completed") / 60.0).alias("ok_rps"),
         (F.col("errors") / 60.0).alias("err_rps"),
         (F.col("errors") / (F.col("completed") + F.col("errors"))).alias("error_rate"),
@@ -189,7 +191,7 @@ REPORT = f"""c AS ({COMPLETIONS}),
 
 def report(spark, d):
     scenarios = views.table(spark, d, "events").select((F.col("user_id") % 7).alias("scenario"))
-    return T.slo_report(completions(spark, d), T.job_windows(spark), scenarios)
+    return T.slo_report(completions(spark, d), scenarios)
 
 
 @query(
@@ -370,6 +372,12 @@ def sweep_rows(spark, d):
     )
 
 
+def deciles(rows, by):
+    """The 11 decile values of `value` per group, as the array `q`."""
+    found = exact_quantiles(rows, "value", DECILES, by)
+    return found.select(*by, F.array(*[F.col(f"p{round(q * 100):02d}") for q in DECILES]).alias("q"))
+
+
 def deciles_sql(factor: float) -> str:
     return "[" + ", ".join(f"quantile_cont(value, {q}) * {factor}" for q in DECILES) + "]"
 
@@ -392,11 +400,11 @@ def read_phase_csv(spark, d):
     e = views.table(spark, d, "events")
     ts = F.col("ts").cast("timestamp")
     phase = F.when(F.hour(ts) % 2 == 0, F.lit("burst")).otherwise(F.lit("idle"))
-    g = e.groupBy(F.concat_ws("-", phase, F.day(ts)).alias("stem")).agg(
-        F.percentile("value", F.array(*[F.lit(q) for q in DECILES])).alias("q"),
-        F.count_if(F.col("event_type") != "error").alias("ok"),
-        F.count_if(F.col("event_type") == "error").alias("bad"),
+    rows = e.select(F.concat_ws("-", phase, F.day(ts)).alias("stem"), "event_type", "value")
+    counts = rows.groupBy("stem").agg(
+        F.count_if(F.col("event_type") != "error").alias("ok"), F.count_if(F.col("event_type") == "error").alias("bad")
     )
+    g = counts.join(deciles(rows, ["stem"]), "stem")
 
     def listing(divisor):
         return F.concat(
@@ -457,9 +465,8 @@ def read_samples(spark, d):
 )
 def interpolate_decile(spark, d):
     e = views.table(spark, d, "events")
-    g = e.groupBy("event_type").agg(F.percentile("value", F.array(*[F.lit(q) for q in DECILES])).alias("d"))
-    return g.select(
+    return deciles(e, ["event_type"]).select(
         "event_type",
-        F.round(S.interpolate_decile("d", 95), 8).alias("p95"),
-        F.round(S.interpolate_decile("d", 25), 8).alias("p25"),
+        F.round(S.interpolate_decile("q", 95), 8).alias("p95"),
+        F.round(S.interpolate_decile("q", 25), 8).alias("p25"),
     )

@@ -86,9 +86,9 @@ def stream_correlate(spark, d):
     finish(append_table(joined, root))
     out = spark.read.schema("request_id string, ts timestamp, error_code string, error_message string").parquet(f"{root}/data")
     e = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    ends = answers(e).agg(F.max("res_ts").alias("a")).crossJoin(e.agg(F.max("ts").alias("b")))
-    cutoff = ends.select((F.least("a", "b") - F.expr("INTERVAL 2 HOURS")).alias("cutoff"))
-    kept = out.crossJoin(F.broadcast(cutoff)).filter("ts < cutoff")
+    last_answer = answers(e).agg(F.max("res_ts")).scalar()
+    last_request = e.agg(F.max("ts")).scalar()
+    kept = out.filter(F.col("ts") < F.least(last_answer, last_request) - F.expr("INTERVAL 2 HOURS"))
     return kept.select("request_id", "error_code", "error_message")
 
 

@@ -86,7 +86,7 @@ def test_progress_lines(spark):
 def test_slo(spark):
     done = spark.createDataFrame([(2, "job-a", 1801), (2, "job-b", 60)], "scenario long, job string, elapsed long")
     scenarios = spark.createDataFrame([(2,), (3,)], "scenario long")
-    report = T.slo_report(done, T.job_windows(spark), scenarios)
+    report = T.slo_report(done, scenarios)
     got = {(r.scenario, r.job): r.summary for r in report.collect()}
     assert got[(2, "job-a")] == "A: ✗ 30m/30m" and got[(2, "job-b")] == "B: ✓ 1m/2h" and got[(3, "job-c")] == "C: — /24h"
     final = spark.createDataFrame([(2, 5, 10), (3, 0, 0)], "scenario long, completed long, total long")

@@ -57,9 +57,24 @@ def test_empty_histogram_has_no_quantile_and_dips_are_raised(spark):
     assert got == {"empty": None, "dip": 0.6}
 
 
-def test_exact_quantiles(spark):
-    df = spark.createDataFrame([(float(v),) for v in (1, 2, 2, 3, 10)], "v double")
-    assert O.exact_quantiles(df, "v", [0.5]).first().p50 == 2.0
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_exact_quantiles(spark, ranges):
+    rng = random.Random(5)
+    data = [("hot" if rng.random() < 0.6 else f"g{rng.randrange(4)}", float(rng.randrange(300))) for _ in range(2000)]
+    df = spark.createDataFrame(data, "g string, v double")
+    cuts = {"ranges": ranges, "min_rows": 1}
+    got = {r.g: (r.p00, r.p37, r.p95, r.p100) for r in O.exact_quantiles(df, "v", [0, 0.37, 0.95, 1], ["g"], **cuts).collect()}
+
+    def at(values, q):
+        rank = q * (len(values) - 1)
+        lo, hi = values[math.floor(rank)], values[math.ceil(rank)]
+        return lo + (hi - lo) * (rank - math.floor(rank))
+
+    for g in {g for g, _ in data}:
+        values = sorted(v for k, v in data if k == g)
+        assert got[g] == pytest.approx([at(values, q) for q in (0, 0.37, 0.95, 1)])
+    whole = sorted(v for _, v in data)
+    assert O.exact_quantiles(df, "v", [0.5], **cuts).first().p50 == at(whole, 0.5)
 
 
 def test_counter_resets_and_windows(spark):
