@@ -114,3 +114,29 @@ def test_phase_names(spark):
     df = spark.createDataFrame([("burst-1",), ("idle",), ("pre-burst-x",)], "s string")
     got = [tuple(r) for r in df.select(S.phase_name("s"), S.phase_cycle("s")).collect()]
     assert got == [("burst", 1), ("idle", 0), ("pre-burst", 0)]
+
+
+def test_sql_functions_agree_with_the_columns(spark):
+    from inferbatch.functions import sql
+
+    assert set(sql.register(spark)) == set(sql.FUNCTIONS)
+    codes = [(s, n, t, f) for s, n, t, f in zip((0, 400, 403, 422, 429, 500, 503), (0, 59, 99, 100, 4500, 7200, 40000), ["a", "m/x:y", "///", "é", "b.c", "A-_", "z"], ["x.tar.gz", "x", "a.b/c", "y.jsonl", ".h", "n.", ""])]
+    spark.createDataFrame(codes, "s int, n long, t string, f string").createOrReplaceTempView("codes")
+    got = spark.sql(
+        """SELECT error_category(s), error_type(error_category(s)), api_error_type(s), is_retryable(s, ''), size_bucket(n),
+                  format_duration(n), tenant_folder(t), storage_name(t, f), safe_model_name(t), batch_error_message(t) FROM codes"""
+    )
+    category = S.error_category("s")
+    want = spark.table("codes").select(
+        category,
+        S.error_type(category),
+        S.api_error_type("s"),
+        S.is_retryable("s"),
+        S.size_bucket("n"),
+        S.format_duration("n"),
+        S.tenant_folder("t"),
+        S.storage_name("t", "f"),
+        S.safe_model_base("t"),
+        S.batch_error_message("t"),
+    )
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
