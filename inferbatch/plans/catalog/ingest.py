@@ -50,7 +50,7 @@ def conversation_pairs(spark, d):
 def read_requests(spark, d):
     """Write the request lines as files, scan them back, and check numbers and offsets per file."""
     path = scratch_path(spark, "requests")
-    src.write_workload(src.request_lines(views.clean_requests(spark, d)), path, rows_per_file=7)
+    src.write_workload(src.request_lines(views.clean_requests(spark, d)).repartition(8), path)
     lines = src.read_requests(spark, path)
     per_file = lines.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("n"),

@@ -9,7 +9,7 @@ from ...functions import values as V
 from ...operators import jobs as J
 from ...operators import lifecycle as L
 from ...operators import results as res
-from ...schemas import JOB_STATUS
+from ...schemas import JOB, JOB_STATUS
 from ...session import scratch_path
 from ...sources import requests as src
 from ...sources import tables as tab
@@ -673,6 +673,18 @@ def snapshots(spark, d):
     return back.groupBy(F.col("status.status").alias("status")).agg(F.count(F.lit(1)).alias("jobs"))
 
 
+@query(
+    "job_table_scan",
+    sql("SELECT id, priority, created_at FROM jobs WHERE status = 'in_progress' AND tenant_id = 't8'", "jobs"),
+)
+def job_table_scan(spark, d):
+    """A typed job table on disk; state and tenant are filtered in the scan."""
+    root = scratch_path(spark, "typed-jobs")
+    tab.write_snapshot(views.jobs(spark, d), root, 1)
+    running = J.for_tenant(tab.read_table(spark, root, JOB), "t8").filter(F.col(J.STATE) == "in_progress")
+    return running.select("id", "priority", F.col("spec.created_at").alias("created_at"))
+
+
 def live(spark):
     return spark.createDataFrame([(p,) for p in views.LIVE], "processor_id string")
 

@@ -131,3 +131,13 @@ def latest_snapshot(spark: SparkSession, root: str) -> str | None:
         if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS")):
             return f"{root}/{name}"
     return None
+
+
+def read_table(spark: SparkSession, root: str, schema) -> DataFrame:
+    """Newest version of a table with its explicit schema; empty before the first one.
+
+    Typed job tables keep spec and status as structs, so a filter on `status.status` or the
+    tenant reaches the Parquet scan and an unused spec is not read.
+    """
+    path = latest_snapshot(spark, root)
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)

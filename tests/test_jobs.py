@@ -228,3 +228,16 @@ def test_snapshot_without_success_marker_is_not_read(spark, tmp_path):
     tab.write_snapshot(spark.range(2), root, 2)
     (tmp_path / "t" / "version=000000000002" / "_SUCCESS").unlink()
     assert tab.latest_snapshot(spark, root).endswith(one[len(root) :])
+
+
+def test_filters_and_pruning_reach_the_scan(spark, tmp_path):
+    root = str(tmp_path / "jobs")
+    assert tab.read_table(spark, root, JOB).count() == 0
+    tab.write_snapshot(frame(spark, job("a"), job("b", "failed", "p")), root, 1)
+    table = J.query_items(tab.read_table(spark, root, JOB), tenant="t", include_static=False)
+    found = J.queued(table).select("id", "priority")
+    assert [r.id for r in found.collect()] == ["a"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")
+    assert "EqualTo(tenant_id,t)" in pushed[0] and "IsNull(processor_id)" in pushed[0]
+    assert "spec" not in pushed[1] and "tags" not in pushed[1] and "request_counts" not in pushed[1]
