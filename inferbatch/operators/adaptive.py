@@ -62,18 +62,21 @@ class Limits:
 
 
 def signals(results: DataFrame, order: list[str]) -> DataFrame:
-    """(endpoint, order..., signal) of results that carry a response.
+    """(endpoint, order..., signal) of results; the signal is NULL without a response.
 
-    A result without response says nothing about the endpoint's load and is left out.
+    A result without response says nothing about the endpoint's load. The replay leaves such
+    rows out after it has written the signals: a filter here would be pushed below the
+    construction of the results and evaluate it twice.
     """
     status = F.col("response.status_code")
     signal = (
-        F.when(status == 429, F.lit("429"))
+        F.when(status.isNull(), F.lit(None).cast("string"))
+        .when(status == 429, F.lit("429"))
         .when(status >= 500, F.lit("5xx"))
         .when(F.col("had_capacity_retry"), F.lit("capacity_retry"))
         .otherwise(F.lit(SUCCESS))
     )
-    return results.filter(status.isNotNull()).select("endpoint", *order, signal.alias("signal"))
+    return results.select("endpoint", *order, signal.alias("signal"))
 
 
 class _Summary:
@@ -209,7 +212,7 @@ def aimd_trace(
     """
     start_limit, start_run = limits.start
     # Four passes read the signals; write the narrow rows once instead of rebuilding results.
-    sig = materialize(sig, "signals")
+    sig = materialize(sig, "signals").filter("signal IS NOT NULL")
     cut = with_range(sig, ["endpoint"], order, ranges, min_rows)
     kept = sig.columns
     placed_by = ["endpoint", RANGE]

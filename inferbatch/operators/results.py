@@ -59,7 +59,9 @@ def to_results(outcomes: DataFrame) -> DataFrame:
         F.when(empty, F.lit("{}")).when(c("__json"), c("body")).otherwise(_wrapped("body", S.error_type(category)))
     )
     body = F.when(failed_http, http_body).when(~empty, c("body"))
-    return _finish(decoded, cases, body)
+    # Only a call that succeeded in the end tells of earlier retries; a failed one speaks for itself.
+    retried = F.coalesce("had_capacity_retry", F.lit(False)) if "had_capacity_retry" in outcomes.columns else F.lit(False)
+    return _finish(decoded, cases, body, retried & (status == 200))
 
 
 def to_async_results(messages: DataFrame) -> DataFrame:
@@ -98,14 +100,16 @@ def _first_case(cases: list[tuple[Column, Column, Column]], part: int) -> Column
     return expr
 
 
-def _finish(df: DataFrame, cases: list[tuple[Column, Column, Column]], body: Column) -> DataFrame:
+def _finish(
+    df: DataFrame, cases: list[tuple[Column, Column, Column]], body: Column, retried: Column | None = None
+) -> DataFrame:
     """The first case that holds gives the error; without one the row has a response.
 
     Code, message and body are computed as flat columns first and packed afterwards, so a
     reader of one field does not drag the expressions of all others along.
     """
     kept = [c for c in ("job_id", "request_id", "custom_id", "route_key", "endpoint", "ts") if c in df.columns]
-    flag = F.coalesce("had_capacity_retry", F.lit(False)) if "had_capacity_retry" in df.columns else F.lit(False)
+    flag = F.lit(False) if retried is None else retried
     staged = df.withColumns({"__code": _first_case(cases, 1), "__text": _first_case(cases, 2), "__body": body})
     failed = F.col("__code").isNotNull()
     return staged.select(

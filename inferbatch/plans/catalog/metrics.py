@@ -673,7 +673,7 @@ AIMD = """
      WHEN x[1] = 0 THEN [greatest(5, a[1] // 2), 0, a[3], a[4] + 1, a[5] + greatest(5, a[1] // 2)]
      WHEN a[2] + 1 >= a[1] THEN [least(a[1] + 1, 10), 0, a[3] + CASE WHEN a[1] < 10 THEN 1 ELSE 0 END, a[4], a[5] + least(a[1] + 1, 10)]
      ELSE [a[1], a[2] + 1, a[3], a[4], a[5] + a[1]] END) AS st
- FROM (SELECT endpoint, ts, request_id, CASE WHEN http_code = 429 OR http_code >= 500 OR had_capacity_retry THEN 0 ELSE 1 END AS s
+ FROM (SELECT endpoint, ts, request_id, CASE WHEN http_code = 429 OR http_code >= 500 OR (had_capacity_retry AND http_code = 200) THEN 0 ELSE 1 END AS s
        FROM results WHERE http_code IS NOT NULL) GROUP BY endpoint"""
 
 ORDER = ["ts", "request_id"]
@@ -714,7 +714,7 @@ def aimd_state(spark, d):
         """SELECT endpoint, 'increase' AS kind, NULL AS signal, st[3] AS events FROM a WHERE st[3] > 0
            UNION ALL SELECT endpoint, 'decrease', CASE WHEN http_code = 429 THEN '429' WHEN http_code >= 500 THEN '5xx'
              ELSE 'capacity_retry' END, count(*)::BIGINT FROM results
-           WHERE http_code IS NOT NULL AND (http_code = 429 OR http_code >= 500 OR had_capacity_retry) GROUP BY 1, 2, 3""",
+           WHERE http_code IS NOT NULL AND (http_code = 429 OR http_code >= 500 OR (had_capacity_retry AND http_code = 200)) GROUP BY 1, 2, 3""",
         "results",
         ctes=f"a AS ({AIMD})",
     ),

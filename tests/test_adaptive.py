@@ -76,8 +76,10 @@ def test_state_carries_over(spark):
 def test_signals_ignore_results_without_response(spark):
     data = [("e", 1, (200,), False), ("e", 2, None, True), ("e", 3, (429,), False), ("e", 4, (200,), True), ("e", 5, (503,), True), ("e", 6, (400,), False)]
     df = spark.createDataFrame(data, "endpoint string, ts long, response struct<status_code:int>, had_capacity_retry boolean")
-    got = [r.signal for r in A.signals(df, ["ts"]).orderBy("ts").collect()]
-    assert got == ["success", "429", "capacity_retry", "5xx", "success"]
+    signals = A.signals(df, ["ts"])
+    got = [r.signal for r in signals.orderBy("ts").collect()]
+    assert got == ["success", None, "429", "capacity_retry", "5xx", "success"]
+    assert sorted(r.ts for r in A.aimd_trace(signals, ["ts"]).collect()) == [1, 3, 4, 5, 6]
 
 
 def test_decreases_count_at_the_floor(spark):

@@ -47,6 +47,12 @@ def test_direct_results(spark):
         assert (r.response is None) == (r.error is not None)
 
 
+def test_capacity_flag_counts_only_for_success(spark):
+    df = outcomes(spark).withColumn("had_capacity_retry", F.lit(True))
+    flagged = {int(r.request_id) for r in res.to_results(df).filter("had_capacity_retry").collect()}
+    assert flagged == {i for i, c in enumerate(CASES) if c[0] == 200}
+
+
 ASYNC = [
     (None, 0, "deadline", None, (None, None, "deadline", "async request failed")),
     (None, 0, None, "gate drop", (None, None, "server_error", "gate drop")),
