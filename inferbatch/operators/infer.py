@@ -74,6 +74,7 @@ def _retryable(status, reason) -> bool:
 def _attempts(batch: pd.DataFrame, client: Client, retries: int, initial: float, cap: float, sleep) -> Iterator[pd.DataFrame]:
     """All attempts for one Arrow batch; only retryable failures are sent again."""
     pending, attempt = batch, 1
+    strained = pd.Series(False, index=batch.index)  # an earlier attempt failed for capacity
     while len(pending):
         out = client(pending).set_index("request_id").reindex(pending["request_id"])
         out = out.reindex(columns=OUTCOME)
@@ -88,9 +89,11 @@ def _attempts(batch: pd.DataFrame, client: Client, retries: int, initial: float,
             for i, s, h, again in zip(rows["request_id"], rows["status_code"], rows["retry_after"], retry)
         ]
         rows["final"] = [not again for again in retry]
+        rows["had_capacity_retry"] = strained.loc[pending.index].to_numpy()
         rows["retry_after"] = pd.to_numeric(rows["retry_after"], errors="coerce")
         rows["status_code"] = pd.to_numeric(rows["status_code"]).fillna(0).astype("int32")
         yield rows
+        strained.loc[pending.index] |= ((rows["status_code"] == 429) | (rows["status_code"] >= 500)).to_numpy()
         longest = float(rows["wait_seconds"].max())
         pending = pending[pd.Series(retry, index=pending.index)]
         if len(pending):
@@ -145,8 +148,11 @@ def capacity_retry(attempts: DataFrame) -> DataFrame:
 
 
 def final_outcomes(attempts: DataFrame) -> DataFrame:
-    """The last attempt of each request, with the capacity flag over the earlier ones."""
-    return attempts.filter("final").join(capacity_retry(attempts), "request_id")
+    """The last attempt of each request with the number of attempts.
+
+    Each attempt carries the capacity flag over the ones before it, so bodies need no join.
+    """
+    return attempts.filter("final").withColumnRenamed("attempt", "attempts")
 
 
 def echo_client() -> Client:

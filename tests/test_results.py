@@ -168,7 +168,9 @@ def test_retries_and_capacity_flag(spark, parallelism):
     attempts = run.infer(plan, scripted, max_retries=3, sleep=lambda s: None, parallelism=parallelism).cache()
     got = {r.request_id: (r.attempts, r.had_capacity_retry) for r in run.capacity_retry(attempts).collect()}
     assert got == {"a": (1, False), "b": (2, True), "c": (2, False), "d": (4, True), "e": (1, False), "f": (4, True)}
-    final = {r.request_id: r.status_code for r in run.final_outcomes(attempts).collect()}
+    last = run.final_outcomes(attempts).collect()
+    assert {r.request_id: (r.attempts, r.had_capacity_retry) for r in last} == got
+    final = {r.request_id: r.status_code for r in last}
     assert final == {"a": 200, "b": 200, "c": 200, "d": 500, "e": 400, "f": 429}
     assert run.remaining(plan, attempts.filter("request_id < 'c'")).count() == 4
 
