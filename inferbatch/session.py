@@ -54,21 +54,26 @@ def local_session(cpus: int | str = "*", app: str = "inferbatch", memory: str =
     return apply_defaults(spark)
 
 
+# Fallback folders of local sessions without a configured one, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back
-    to a machine-local folder, and then that choice is recorded in the session so that
-    every later call agrees on it.
+    The cluster names it in ``spark.checkpoint.dir``. Only a single-process local master may
+    fall back to a machine-local folder, one for each application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-    root = tempfile.mkdtemp(prefix="inferbatch-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="inferbatch-")
+    return _LOCAL_ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -82,11 +87,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     It cuts the lineage at a durable place: losing an executor afterwards costs a re-read of
     the shared folder, not a recomputation, and each reader scans only the columns it needs.
     """
-    path = scratch_path(df.sparkSession, label)
+    return write_table(df, scratch_path(df.sparkSession, label))
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a table to a fresh path and read it from there."""
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 # Rows up to which a lookup table is broadcast; the largest rows here are a few hundred bytes.
 BROADCAST_ROWS = 100_000
 
