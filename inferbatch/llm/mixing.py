@@ -122,7 +122,8 @@ def _fill(rows: DataFrame, gaps: DataFrame, mark: int) -> DataFrame:
     sums = sums.select("rank", "bucket", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
     # Rows that share key and id are peers of the frame, so they are taken together.
     inside = F.sum("part").over(W.partitionBy("rank", "bucket").orderBy("key", "doc_id"))
-    rows = rows.withColumn("inside", inside).join(sums, ["rank", "bucket"])
+    # Deal by bucket before the window: dealt by source alone, a hot source would be one task.
+    rows = rows.repartition("rank", "bucket").withColumn("inside", inside).join(sums, ["rank", "bucket"])
     fits = (F.col("part") > 0) & (F.col("before") + F.col("inside") <= F.col("gap"))
     return rows.withColumn("extra", F.when(fits, F.lit(mark)).otherwise(F.col("extra"))).drop(
         "gap", "bucket", "part", "inside", "before"
