@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inferbatch.llm import bpe, exact_dedup, mixing, ngram_join, oracles, quality
+from inferbatch.llm import (
+    embedding_dedup,
+    exact_dedup,
+    html_crf,
+    mixing,
+    ngram_join,
+    oracles,
+    quality,
+    toxicity,
+    url_filter,
+    warc_zip,
+)
 from inferbatch.plans.catalog import Query
 
 QUERIES: dict[str, Query] = {}
@@ -32,16 +42,53 @@ def remainder(of: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
 
 
+@query()
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+@query(oracles.WARC)
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_zip.round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.select(
+        "page_id",
+        F.coalesce(F.octet_length("payload").cast("bigint"), F.col("payload_length")).alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 @query()
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+@query()
+def op4_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_crf.extracted(pages, html_crf.train(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 @query(oracles.EXACT_DEDUP)
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = table(spark, sf_dir, "labels").filter(remainder(3) != 1)
+    found = toxicity.scored(docs, toxicity.train(docs, known, "toxic"))
+    return found.select(
+        "doc_id",
+        (remainder(3) == 1).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query()
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -66,6 +113,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.token_digests(table(spark, sf_dir, "documents"))
 
 
+@query(oracles.EMBEDDINGS)
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inferbatch.llm.components import components
+from inferbatch.llm.sizes import broadcast_if_small
 from inferbatch.session import discard, materialize, scratch_path, write_table
 
 # Odd 64-bit multipliers of the mixing steps.
@@ -44,8 +45,6 @@ CHUNK_SHINGLES = 2_000_000
 CHUNK_COUNT = 4
 HEAVY = 65_536
 REGIONS = 64
-# Ids are sent to every task up to this size, beyond it the join is shuffled.
-BROADCAST_BYTES = 16 << 20
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -146,8 +145,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     """The pairs (a, b) of ids whose whole sets are similar enough, as a written table."""
     spark = pairs.sparkSession
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    few = ids.count() * 16 <= BROADCAST_BYTES
-    wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    wanted = docs.join(broadcast_if_small(ids, 16), "id", "left_semi")
     path = scratch_path(spark, "pair-sets")
     sets = write_table(whole_sets(wanted, width), path)
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))

@@ -43,3 +43,26 @@ p0 AS (SELECT d.doc_id, t.rank, d.size, t.source_size, t.target,
 {",".join(_pass(k) for k in range(1, PASSES + 1))}
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN extra > 0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM p{PASSES}
 """
+
+WARC = """
+WITH t AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM t WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT t.page_id, payload_bytes, t.payload_digest,
+    CASE WHEN first_id IS NULL OR t.page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first_id IS NULL OR t.page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
+FROM t LEFT JOIN f ON t.payload_digest = f.payload_digest
+"""
+
+EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = c.vec_id) AS n_links, component_id,
+    vec_id = component_id AS kept
+FROM (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) c
+"""

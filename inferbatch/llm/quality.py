@@ -209,7 +209,8 @@ def training_sample(
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
-    return docs.join(known, docs[id_col] == known["__id"]).drop("__id")
+    # At most `most_rows` ids and labels: small enough to send to every task.
+    return docs.join(F.broadcast(known), docs[id_col] == known["__id"]).drop("__id")
 
 
 def train(
