@@ -40,10 +40,10 @@ from inferbatch.session import discard, materialize, scratch_path, write_table
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 # Shingles are counted in chunks of this many; those in at least CHUNK_COUNT places of a chunk are
-# heavy, and the HEAVY most frequent of all are put last in the order. That is 512 KB on each task.
+# heavy, and the HEAVY most frequent of all are put last in the order. That is 1 MB on each task.
 CHUNK_SHINGLES = 2_000_000
-CHUNK_COUNT = 4
-HEAVY = 65_536
+CHUNK_COUNT = 2
+HEAVY = 131_072
 REGIONS = 64
 
 
@@ -191,16 +191,11 @@ def _class_links(classes: DataFrame, docs: DataFrame, width: int, percent: int)
         members.join(groups, ["n", "prefix"]).select("rep", "n", "regions", "gid"), "members"
     )
     places = groups.select("gid", "n", F.posexplode("prefix").alias("i", "h"))
-    hubs = places.groupBy("h").agg(
-        F.min(F.struct(F.xxhash64("gid").alias("o"), "gid", "n", "i")).alias("hub"), F.count(F.lit(1)).alias("c")
-    )
+    hubs = places.groupBy("h").agg(F.min("gid").alias("hub"), F.count(F.lit(1)).alias("c"))
     shared = materialize(places.join(hubs.filter("c > 1").drop("c"), "h"), "shared")
 
-    fits = _sizes_fit(F.col("n"), F.col("hub.n"), percent) & _places_fit(
-        F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i"), percent
-    )
-    to_hub = shared.filter(fits & (F.col("gid") != F.col("hub.gid")))
-    to_hub = to_hub.select(F.col("hub.gid").alias("a"), F.col("gid").alias("b"))
+    # Place does not count here: the pair's first common element may lie in a bucket of another hub.
+    to_hub = shared.filter("gid <> hub").select(F.col("hub").alias("a"), F.col("gid").alias("b"))
     to_first = members.filter("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     tries = _ranges_fit(to_hub.union(to_first).distinct(), members, percent)
     near = verified(materialize(tries, "hub-tries"), docs, width, percent)
