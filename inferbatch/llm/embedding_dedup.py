@@ -8,8 +8,10 @@ a bucket of more than `tile` vectors is cut into parts, and every pair of parts
 so no bucket is capped and none meets in one task. Tasks return one partial count per vector and the
 links that connect a tile, never its pairs.
 
-With 10 planes and 32 tables a pair at cosine 0.93 is missed with probability below 1e-4, a closer
-one far less often. Links below the threshold cannot occur.
+The number of planes follows the logarithm of the number of vectors, so a bucket of unrelated vectors
+keeps its size as the input grows; the number of tables follows from it, so that a pair right at the
+threshold is missed with probability `MISS`, a closer one far less often, at every size. Links below
+the threshold cannot occur.
 
 Defined results: null, empty, zero and non-finite vectors, vectors with null components and vectors
 with a null label link with nothing: n_links 0, component_id their own id. Vectors of different
@@ -20,6 +22,7 @@ only the three named columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +33,21 @@ from pyspark.sql import functions as F
 from inferbatch.llm.components import components
 from inferbatch.session import materialize
 
-PLANES = 10
-TABLES = 32
+MISS = 1e-4
+LEAST_PLANES = 8
 TILE = 1024
 SEED = 20_240_101
 # Buckets are padded to batches of about this many rows before they are compared.
 BATCH_ROWS = 4096
 
 
+def planes_and_tables(rows: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
+    """Planes per table for so many vectors, and the tables that keep misses at `miss`."""
+    planes = max(LEAST_PLANES, math.ceil(math.log2(max(rows, 1))) - 8)
+    meet = (1 - math.acos(threshold) / math.pi) ** planes
+    return planes, math.ceil(math.log(miss) / math.log1p(-meet))
+
+
 def signatures(vectors: np.ndarray, planes: int, tables: int, seed: int) -> np.ndarray:
     """Sign patterns, one column per table."""
     normals = np.random.default_rng(seed).standard_normal((vectors.shape[1], planes * tables))
@@ -98,7 +108,7 @@ def _compared(tiles: DataFrame, threshold: float) -> DataFrame:
         rows = rows.sort_by("id")
         ids = rows["id"].to_numpy()
         unit = np.frombuffer(b"".join(rows["v"].to_pylist()), np.float64).reshape(len(ids), -1)
-        sigs = np.frombuffer(b"".join(rows["sigs"].to_pylist()), np.int64).reshape(len(ids), -1)
+        sigs = np.frombuffer(b"".join(rows["sigs"].to_pylist()), np.int32).reshape(len(ids), -1)
         parts = (rows["p"][0].as_py(), rows["q"][0].as_py())
         counts, roots = tile_links(
             ids, rows["part"].to_numpy(), parts, sigs, rows["table"][0].as_py(), unit, rows["copies"].to_numpy(), threshold
@@ -145,8 +155,7 @@ def near_duplicates(
     vector_col: str = "embedding",
     label_col: str = "label",
     threshold: float = 0.93,
-    planes: int = PLANES,
-    tables: int = TABLES,
+    miss: float = MISS,
     tile: int = TILE,
     seed: int = SEED,
 ) -> DataFrame:
@@ -159,6 +168,7 @@ def near_duplicates(
     good = rows.filter(usable)
     distinct = good.groupBy("label", "e").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     distinct = materialize(distinct, "vectors")
+    planes, tables = planes_and_tables(distinct.count(), threshold, miss)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +188,7 @@ def near_duplicates(
                     batch.column(3),
                     pa.array(dims, pa.int32()),
                     pa.array([v.tobytes() for v in units], pa.binary()),
-                    pa.array([s.tobytes() for s in sigs], pa.binary()),
+                    pa.array([s.tobytes() for s in sigs.astype(np.int32)], pa.binary()),
                     pa.array(list(sigs), pa.list_(pa.int64())),
                 ],
                 names=["id", "copies", "label", "dim", "v", "sigs", "patterns"],
