@@ -7,7 +7,7 @@ order only decides how much work there is, never which links are found.
 
 1. Documents with equal sets become one class (digest of the whole set).
 2. Classes with identical prefixes and size become one group; only groups are joined.
-3. Hub round: per prefix element one group is the hub. Every other group is tried against it, and
+3. Hub round: per prefix element a few groups are hubs. Every other group is tried against them, and
    every member against the first of its group: linear in the bucket. Verified links are contracted
    to components.
 4. Rest round: inside a bucket, only groups of different components are paired (the bucket's largest
@@ -89,7 +89,7 @@ def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> np.ndarray
 
 
 def document_sets(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """Per document its id, set size, digest of the set, prefix, and counts by hash range."""
+    """Per document its id, set size, digests of set and prefix, the prefix, and counts by hash range."""
     by_hash = np.argsort(heavy)
     known = heavy[by_hash]
     rank = by_hash + 1
@@ -101,21 +101,25 @@ def document_sets(docs: DataFrame, width: int, percent: int, heavy: np.ndarray)
             at = np.minimum(np.searchsorted(known, values), len(known) - 1)
             late = np.where(known[at] == values, rank[at], 0)
         n = len(values)
+        if not n:
+            return np.empty(0, np.int64)
         return values[np.lexsort((values, late))][: n - -(-percent * n // 100) + 1].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingles(t.as_py(), width)) for t in batch.column(1)]
+            prefixes = [prefix(s) for s in sets]
             columns = [
                 batch.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([prefix(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                pa.array([xxhash.xxh3_128_digest(p.tobytes()) for p in prefixes], pa.binary()),
+                pa.array(prefixes, pa.list_(pa.int64())),
                 pa.array([np.bincount(s >> np.uint64(58), minlength=REGIONS) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "prefix", "regions"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "start", "prefix", "regions"])
 
-    schema = f"id {kind}, n bigint, digest binary, prefix array<bigint>, regions array<bigint>"
+    schema = f"id {kind}, n bigint, digest binary, start binary, prefix array<bigint>, regions array<bigint>"
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
@@ -141,6 +145,11 @@ def _places_fit(n: Column, i: Column, m: Column, j: Column, percent: int) -> Col
     return (F.least(n - i, m - j)) * (100 + percent) >= (n + m) * percent
 
 
+def _any_place_fits(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Whether enough elements can lie before and after any common one."""
+    return (F.least(i, j) + F.least(n - i, m - j)) * (100 + percent) >= (n + m) * percent
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets are similar enough, as a written table."""
     spark = pairs.sparkSession
@@ -164,13 +173,13 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = materialize(document_sets(docs, width, percent, heavy_shingles(docs, width)), "sets")
     usable = sets.filter("n > 0 AND id IS NOT NULL")
-    classes = materialize(
-        usable.groupBy("digest", "n").agg(
-            F.min("id").alias("rep"), F.first(F.struct("prefix", "regions")).alias("about")
-        ),
-        "classes",
-    )
-    links = _class_links(classes, docs, width, percent)
+    classes = usable.groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"))
+    classes = materialize(classes, "classes")
+    # The prefixes stay where they are: only the ids of further copies are sent to them.
+    copies = usable.select("id", "digest", "n").join(classes.filter("c > 1"), ["digest", "n"]).filter("id <> rep")
+    copies = materialize(copies.select("id", "digest").distinct(), "copies")
+    firsts = usable.join(broadcast_if_small(copies, 40), ["id", "digest"], "left_anti").withColumnRenamed("id", "rep")
+    links = _class_links(firsts.select("rep", "n", "start", "prefix", "regions"), docs, width, percent)
     found = components(links).withColumnRenamed("id", "rep")
     names = classes.select("digest", "n", "rep").join(found, "rep", "left")
     names = names.select("digest", "n", F.coalesce("component", "rep").alias("component"))
@@ -183,25 +192,37 @@ def near_duplicates(
     )
 
 
-def _class_links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _class_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between class representatives that give the same components as all links."""
-    members = classes.select("rep", "n", "about.prefix", "about.regions")
-    groups = members.groupBy("n", "prefix").agg(F.min("rep").alias("gid"))
-    members = materialize(
-        members.join(groups, ["n", "prefix"]).select("rep", "n", "regions", "gid"), "members"
+    groups = members.groupBy("n", "start").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("c"))
+    others = members.select("rep", "n", "start").join(groups.filter("c > 1"), ["n", "start"]).filter("rep <> gid")
+    others = materialize(others.select("rep", "gid").distinct(), "others")
+    leaders = members.join(broadcast_if_small(others.select("rep"), 16), "rep", "left_anti")
+    places = leaders.select(F.col("rep").alias("gid"), "n", F.posexplode("prefix").alias("i", "h"))
+    counts = places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    shared = materialize(places.join(counts, "h"), "shared")
+    # An edited copy has rare elements of its own ahead of a shared one, so the group that holds the
+    # element earliest is the one most like all the others. A second hub is any group, by hash.
+    order = [F.struct(*keys, "gid", "n", "i") for keys in ([F.col("i").alias("o")], [F.xxhash64("gid").alias("o")])]
+    hubs = shared.groupBy("h").agg(*[F.min(o).alias(f"hub{k}") for k, o in enumerate(order)])
+    hub = F.explode(F.array(*[F.struct(f"hub{k}.gid", f"hub{k}.n", f"hub{k}.i") for k in range(len(order))]))
+    hubs = hubs.select("h", hub.alias("hub")).distinct()
+    tries = shared.join(hubs, "h")
+    # This need not be the pair's first common element: that one may lie in a bucket of another hub.
+    fits = _sizes_fit(F.col("n"), F.col("hub.n"), percent) & _any_place_fits(
+        F.col("n"), F.col("i"), F.col("hub.n"), F.col("hub.i"), percent
     )
-    places = groups.select("gid", "n", F.posexplode("prefix").alias("i", "h"))
-    hubs = places.groupBy("h").agg(F.min("gid").alias("hub"), F.count(F.lit(1)).alias("c"))
-    shared = materialize(places.join(hubs.filter("c > 1").drop("c"), "h"), "shared")
-
-    # Place does not count here: the pair's first common element may lie in a bucket of another hub.
-    to_hub = shared.filter("gid <> hub").select(F.col("hub").alias("a"), F.col("gid").alias("b"))
-    to_first = members.filter("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    tries = tries.filter(fits & (F.col("gid") != F.col("hub.gid")))
+    to_hub = tries.select(
+        F.least("hub.gid", "gid").alias("a"), F.greatest("hub.gid", "gid").alias("b")
+    )
+    to_first = others.select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     tries = _ranges_fit(to_hub.union(to_first).distinct(), members, percent)
     near = verified(materialize(tries, "hub-tries"), docs, width, percent)
 
     found = components(near).withColumnRenamed("id", "rep")
-    parts = members.join(found, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    parts = members.select("rep").join(others, "rep", "left").join(found, "rep", "left")
+    parts = parts.withColumns({"gid": F.coalesce("gid", "rep"), "comp": F.coalesce("component", "rep")})
     parts = materialize(parts.select("rep", "gid", "comp"), "parts")
     # A group whose members fell into several components is tried part by part.
     split = parts.select("gid", "comp").distinct()
