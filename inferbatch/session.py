@@ -24,7 +24,7 @@ RUNTIME_DEFAULTS = {
     # Later entries of map_concat win, which header assembly relies on.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Rows may hold long texts: keep what one Python worker holds at a time small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 
