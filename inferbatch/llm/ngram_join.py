@@ -44,7 +44,9 @@ MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 CHUNK_SHINGLES = 2_000_000
 CHUNK_COUNT = 2
 HEAVY = 131_072
-REGIONS = 64
+# Counts by hash range bound an overlap; there are enough ranges to hold at most 8 shingles on average.
+LEAST_RANGES = 64
+RANGE_FILL = 8
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -61,6 +63,15 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def range_counts(values: np.ndarray) -> np.ndarray:
+    """Counts of a set by equal ranges of the hash; empty, thus no bound, if one exceeds a byte."""
+    bits = LEAST_RANGES.bit_length() - 1
+    while len(values) >= RANGE_FILL << bits:
+        bits += RANGE_FILL.bit_length() - 1
+    counts = np.bincount(values >> np.uint64(64 - bits), minlength=1 << bits)
+    return counts.astype(np.int8) if counts.max() <= 127 else np.empty(0, np.int8)
+
+
 def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> np.ndarray:
     """The most frequent shingles of the whole table, rarest first; at most `most` of them."""
 
@@ -115,11 +126,11 @@ def document_sets(docs: DataFrame, width: int, percent: int, heavy: np.ndarray)
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([xxhash.xxh3_128_digest(p.tobytes()) for p in prefixes], pa.binary()),
                 pa.array(prefixes, pa.list_(pa.int64())),
-                pa.array([np.bincount(s >> np.uint64(58), minlength=REGIONS) for s in sets], pa.list_(pa.int64())),
+                pa.array([range_counts(s) for s in sets], pa.list_(pa.int8())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "start", "prefix", "regions"])
 
-    schema = f"id {kind}, n bigint, digest binary, start binary, prefix array<bigint>, regions array<bigint>"
+    schema = f"id {kind}, n bigint, digest binary, start binary, prefix array<bigint>, regions array<tinyint>"
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
@@ -249,6 +260,8 @@ def _ranges_fit(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame
     smaller = F.zip_with("ra", "rb", lambda x, y: F.least(x, y))
     bound = F.aggregate(smaller, F.lit(0).cast("bigint"), lambda s, x: s + x)
     enough = bound * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    # Sets on both sides of a step in the number of ranges have no bound in common.
+    enough = enough | (F.size("ra") != F.size("rb")) | (F.size("ra") == 0)
     fits = _sizes_fit(F.col("n_a"), F.col("n_b"), percent) & enough
     return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b")
 
