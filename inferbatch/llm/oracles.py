@@ -56,7 +56,7 @@ FROM t LEFT JOIN f ON t.payload_digest = f.payload_digest
 
 EMBEDDINGS = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+good AS MATERIALIZED (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
     AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x)))
     AND list_bool_or(list_transform(e, lambda x: x <> 0))),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id

@@ -39,6 +39,7 @@ GROUPS = {
     "age": "old young elderly",
 }
 NEUTRAL = ("person", "people")
+TERMS = frozenset([*NEUTRAL, *" ".join(GROUPS.values()).split()])
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -58,9 +59,13 @@ def words_of(text: str) -> set[str]:
 
 
 def parts_of(text: str) -> set[str]:
-    """The distinct words of a text, and the beginnings of its longer words, marked by an asterisk."""
+    """The distinct words of a text, and the beginnings of its longer words, marked by an asterisk.
+
+    Words that name a group have no other part than themselves, so a swap changes one part only.
+    """
     words = words_of(text)
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
+    stems = words - TERMS
+    return words.union(*({w[:n] + "*" for w in stems if len(w) > n} for n in PREFIXES))
 
 
 def identity_terms() -> dict[str, str]:

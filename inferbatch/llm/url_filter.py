@@ -120,6 +120,7 @@ def calibrated(scores: DataFrame) -> int:
     below = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     sums = cells.select(
         "cell",
+        F.coalesce(F.lag("cell").over(W.orderBy("cell")) + 1, F.col("cell")).alias("after"),
         F.coalesce(F.sum("good").over(below), F.lit(0)).alias("lost"),
         F.coalesce(F.sum("bad").over(below), F.lit(0)).alias("caught"),
     )
@@ -128,7 +129,8 @@ def calibrated(scores: DataFrame) -> int:
         return 0
     error = F.col("lost") / whole[0] + 1 - F.col("caught") / whole[1]
     best = sums.orderBy(F.round(error, 9), F.abs("cell"), "cell").first()
-    return int(best["cell"]) * step
+    # Any cut between the two neighbouring cells gives the same errors: take the middle.
+    return int(best["after"] + best["cell"]) * step // 2
 
 
 def judged(
