@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inferbatch.llm.sizes import broadcast_if_small
 from inferbatch.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,7 +97,7 @@ def mix(
     plan = materialize(water_fill(ranked_sources(sizes), weights, cap), "mix-plan")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     plan_src = plan.select(F.col("source").alias("plan_source"), "rank", "source_size", "target")
-    rows = rows.join(plan_src, F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
+    rows = rows.join(broadcast_if_small(plan_src, 96), F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
     repeats = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
     rows = rows.withColumns({"key": key, "whole": F.coalesce(repeats, F.lit(0)).cast("bigint"), "extra": F.lit(0)})
     gaps = plan.select("rank", (F.col("target") - repeats * F.col("source_size")).alias("gap"))
@@ -104,7 +105,7 @@ def mix(
         rows = materialize(_fill(rows, gaps, at), f"mix-pass{at}")
         spent = rows.filter(F.col("extra") == at).groupBy("rank").agg(F.sum("size").alias("spent"))
         left = F.col("gap") - F.coalesce(F.col("spent"), F.lit(0))
-        gaps = gaps.join(spent, "rank", "left").select("rank", left.alias("gap"))
+        gaps = materialize(gaps.join(spent, "rank", "left").select("rank", left.alias("gap")), f"mix-gaps{at}")
     copies = F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)
     taken = copies * F.col("size")
     return rows.select(
@@ -114,7 +115,7 @@ def mix(
 
 def _fill(rows: DataFrame, gaps: DataFrame, mark: int) -> DataFrame:
     """Give a further copy to open documents, in seeded order, as long as the sum fits the gap."""
-    rows = rows.join(gaps, "rank", "left").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    rows = rows.join(broadcast_if_small(gaps, 16), "rank", "left").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     is_open = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
     rows = rows.withColumn("part", F.when(is_open, F.col("size")).otherwise(0))
     earlier = W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
