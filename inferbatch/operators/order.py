@@ -48,7 +48,7 @@ def cut_points(
     below = min(HASH_SPACE, HASH_SPACE * SAMPLE_PER_RANGE * ranges // rows + 1)
     sample = keyed.filter(F.pmod(F.xxhash64("k"), F.lit(HASH_SPACE)) < below)
     # The sample is small by construction: one shuffle into one sorted partition.
-    ordered = sample.repartition(1).sortWithinPartitions("k").select(F.to_json("k").alias("j"))
+    ordered = sample.distinct().repartition(1).sortWithinPartitions("k").select(F.to_json("k").alias("j"))
     keys = [r["j"] for r in ordered.collect()]
     picks = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
     return list(dict.fromkeys(picks)), key_type

@@ -23,6 +23,8 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Later entries of map_concat win, which header assembly relies on.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # A repeated JSON key is no error: the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Rows may hold long texts: keep what one Python worker holds at a time small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
