@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..session import lookup_table, materialize
 from .jobs import STATE, is_terminal
-from .order import number_rows, previous_value, running_sums
+from .order import join_null_safe, number_rows, previous_value, running_sums
 
 INF = float("inf")
 
@@ -142,7 +142,7 @@ def exact_quantiles(
     counted = materialize(kept.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")), "value-counts")
     below = running_sums(counted, by, ["__v"], {"__below": F.col("__n")}, **cuts)
     sizes = counted.groupBy(*by).agg(F.sum("__n").alias("__size"))
-    placed = below.join(lookup_table(sizes, "group-sizes"), list(by)) if by else below.withColumn("__size", sizes.scalar())
+    placed = join_null_safe(below, lookup_table(sizes, "group-sizes"), by) if by else below.withColumn("__size", sizes.scalar())
     picked = []
     for q in quantiles:
         rank = F.lit(float(q)) * (F.col("__size") - 1)
@@ -225,7 +225,7 @@ def sustained(df: DataFrame, condition: str, hold: int, step: int, by: Sequence[
     run = number_rows(true, by, ["t"], "__n", **cuts).withColumn("__run", F.col("t") - F.col("__n") * step)
     starts = run.groupBy(*by, "__run").agg(F.min("t").alias("since"))
     keys = [*by, "__run"]
-    return run.join(starts, keys).select(*by, "t", "since", (F.col("t") - F.col("since") >= hold).alias("fires"))
+    return join_null_safe(run, starts, keys).select(*by, "t", "since", (F.col("t") - F.col("since") >= hold).alias("fires"))
 
 
 # --- gauges -----------------------------------------------------------------------

@@ -85,8 +85,8 @@ def with_range(
 ) -> DataFrame:
     """Add the range number of each row in the order (group, order).
 
-    Group and order columns must not be NULL, and together they should be unique: equal
-    keys always share a range.
+    Group and order columns together should be unique: equal keys always share a range. A
+    NULL group is a group like any other; order columns must not be NULL.
     """
     columns = [*group, *order]
     ranges = ranges or default_ranges(df)
@@ -99,6 +99,13 @@ def default_ranges(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name where NULL equals NULL; the left keys stay."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def running_sums(
     df: DataFrame,
     group: Sequence[str],
@@ -124,7 +131,7 @@ def running_sums(
             for n in sums
         ],
     ).filter("__later IS NOT NULL")
-    joined = rows.join(F.broadcast(carried), [*group, RANGE], "left")
+    joined = join_null_safe(rows, F.broadcast(carried), [*group, RANGE], "left")
     kept = [c for c in df.columns if c not in sums]
     return joined.select(
         *kept, *[(F.col(n) + F.coalesce(F.col(f"__c_{n}"), F.lit(0))).alias(n) for n in sums]
@@ -162,7 +169,7 @@ def previous_value(
         F.col(RANGE),
         F.lag("__last").over(W.partitionBy(*group).orderBy(RANGE)).alias("__carry"),
     ).filter("__carry IS NOT NULL")
-    joined = rows.join(F.broadcast(carried), [*group, RANGE], "left")
+    joined = join_null_safe(rows, F.broadcast(carried), [*group, RANGE], "left")
     value_before = F.when(F.col("__rn") == 1, F.col("__carry")).otherwise(F.col("__in"))
     return joined.select(*[c for c in df.columns if c != name], value_before.alias(name))
 

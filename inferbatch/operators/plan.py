@@ -17,15 +17,22 @@ from .order import number_rows
 def route(df: DataFrame, gateways: DataFrame, method: str = "model", use_global: bool = False) -> DataFrame:
     """Add `route_key` and `gateway` (NULL when the key has none).
 
-    `gateways` has route_key plus configuration columns. In global mode its single row serves
-    every model. `method="tenant"` looks up `tenant/model` and needs a tenant_id column.
+    `gateways` has route_key plus configuration columns, one row per key: a repeated key fails the
+    query instead of doubling requests. In global mode its single row serves every model, and any
+    other number of rows is refused. `method="tenant"` looks up `tenant/model` and needs a
+    tenant_id column.
     """
     config = [c for c in gateways.columns if c != "route_key"]
     keyed = df.withColumn("route_key", S.route_key(method, "tenant_id" if method == "tenant" else F.lit(""), "model"))
     if use_global:
-        only = gateways.select(*config).first()  # one row of configuration
+        rows = gateways.select(*config).limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError(f"global mode needs exactly one gateway, found {'none' if not rows else 'several'}")
+        only = rows[0]
         return keyed.withColumn("gateway", F.struct(*[F.lit(only[c]).alias(c) for c in config]))
-    packed = gateways.select("route_key", F.struct(*config).alias("gateway"))
+    repeated = F.raise_error(F.concat(F.lit("repeated route key "), F.col("route_key")))
+    gateway = F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.any_value(F.struct(*config)))
+    packed = gateways.groupBy("route_key").agg(gateway.alias("gateway"))
     return keyed.join(small_side(packed), "route_key", "left")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import values as V
+from ..session import small_side
 
 
 def conversation_pairs(
@@ -96,10 +98,16 @@ def persona_prompt(number, text, target_tokens: int) -> Column:
 
 
 def system_prompts(corpus: DataFrame, number: str, text: str, count: int, target_tokens: int) -> DataFrame:
-    """`count` personas from the corpus rows numbered 0..count-1. The result is that small."""
-    return corpus.filter(F.col(number).between(0, count - 1)).select(
-        F.col(number).cast("long").alias("persona"), persona_prompt(number, text, target_tokens).alias("system_prompt")
-    )
+    """The first `count` corpus rows in the order of (number, text), numbered from 0 as personas.
+
+    Rows without a number or text are passed over; a shorter corpus gives fewer personas.
+    """
+    usable = corpus.filter(F.col(number).isNotNull() & F.col(text).isNotNull()).select(number, text)
+    # At most `count` rows are left to number.
+    first = usable.orderBy(number, text).limit(count)
+    nth = (F.row_number().over(W.orderBy(number, text)) - 1).cast("long")
+    numbered = first.select(nth.alias("persona"), text)
+    return numbered.select("persona", persona_prompt("persona", text, target_tokens).alias("system_prompt"))
 
 
 def generate_requests(
@@ -109,7 +117,6 @@ def generate_requests(
     prefix: str = "req",
     seed: int = 42,
     personas: DataFrame | None = None,
-    persona_count: int = 0,
     input_length: tuple = ("lognormal", 1500, 1200, 4096),
     output_length: tuple = ("lognormal", 500, 400, 2048),
     text: str | None = None,
@@ -118,8 +125,8 @@ def generate_requests(
 
     Source of the user prompt: the column `text` cut to four characters per sampled token,
     or synthetic words when `text` is None; a `user_prompt` column of the input (from
-    conversations) is kept as it is. System prompts are taken round robin from `personas`,
-    a table of `persona_count` rows and therefore broadcast.
+    conversations) is kept as it is. System prompts are taken round robin from `personas`
+    (numbered from 0, see `system_prompts`), which is broadcast if its counted size allows.
     """
     i = F.col(index).cast("long")
     dist, mean, stdev, top = input_length
@@ -127,7 +134,8 @@ def generate_requests(
     out = sample_length(*output_length[:3], F.lit(seed), i, "out", 1, output_length[3])
     df = rows
     if personas is not None and "system_prompt" not in rows.columns:
-        df = df.withColumn("persona", i % persona_count).join(F.broadcast(personas), "persona", "left")
+        known = max(1, personas.count())
+        df = df.withColumn("persona", F.pmod(i, F.lit(known))).join(small_side(personas), "persona", "left")
     elif "system_prompt" not in rows.columns:
         df = df.withColumn("system_prompt", F.lit(""))
     if "user_prompt" in rows.columns:

@@ -286,11 +286,13 @@ def counter_rate(spark, d):
     return rounded(O.counter_rate(views.samples(spark, d), ["series"], [], STEP, STEP), "rate")
 
 
-def sustained_sql(evaluated: str, hold: int, step: int) -> str:
-    """Runs of consecutive true evaluations: (t, since, fires)."""
-    return f"""SELECT t, since, t - since >= {hold} AS fires FROM (
-        SELECT t, min(t) OVER (PARTITION BY t - n * {step}) AS since FROM (
-          SELECT t, row_number() OVER (ORDER BY t) AS n FROM ({evaluated}) WHERE on_))"""
+def sustained_sql(evaluated: str, hold: int, step: int, by: str = "") -> str:
+    """Runs of consecutive true evaluations: (by, t, since, fires)."""
+    keys = f"{by}, " if by else ""
+    part = f"PARTITION BY {by} " if by else ""
+    return f"""SELECT {keys}t, since, t - since >= {hold} AS fires FROM (
+        SELECT {keys}t, min(t) OVER (PARTITION BY {keys}t - n * {step}) AS since FROM (
+          SELECT {keys}t, row_number() OVER ({part}ORDER BY t) AS n FROM ({evaluated}) WHERE on_))"""
 
 
 @query(
@@ -647,21 +649,24 @@ def alert_workers(spark, d):
 @query(
     "alert_reconciler",
     sql(
-        sustained_sql(f"SELECT t, increase > 0 AS on_ FROM ({windowed('deltas', '', 3900, 300)})", 300, 300),
-        ctes=counter_sql({}, "user_id % 10 = 0"),
+        sustained_sql(
+            f"SELECT series, t, increase > 0 AS on_ FROM ({windowed('deltas', 'series', 3900, 300)})", 300, 300, "series"
+        ),
+        ctes=counter_sql({"pod": "'u' || (user_id % 10)"}),
     ),
 )
 def alert_reconciler(spark, d):
-    e = views.table(spark, d, "events").filter("user_id % 10 = 0")
-    rows = e.select(
+    """Ten series, each judged on its own."""
+    pod = F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string"))
+    rows = views.table(spark, d, "events").select(
         F.lit("batch_reconciler_errors_total").alias("metric"),
-        D.label_map({}).alias("labels"),
+        D.label_map({"pod": pod}).alias("labels"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"),
         F.col("event_id").alias("seq"),
         F.lit(None).cast("double").alias("le"),
         (F.col("event_id") % 1000).cast("double").alias("value"),
     )
-    return D.reconciler_errors(rows)
+    return D.reconciler_errors(rows).withColumn("series", F.get_json_object("series", "$.pod"))
 
 
 # --- adaptive limit ---------------------------------------------------------------

@@ -70,9 +70,10 @@ def synthetic_prompt(spark, d):
     return p.select("p_partkey", W.synthetic_prompt(F.col("p_size").cast("long"), "p_partkey").alias("prompt"))
 
 
-PERSONAS = """personas AS (SELECT doc_id AS persona,
-   trim(substr('[Persona ' || lpad(doc_id::VARCHAR, 3, '0') || '] ' || text, 1, 256), ' ') AS system_prompt
- FROM documents WHERE doc_id BETWEEN 0 AND 31)"""
+PERSONAS = """personas AS (SELECT persona,
+   trim(substr('[Persona ' || lpad(persona::VARCHAR, 3, '0') || '] ' || text, 1, 256), ' ') AS system_prompt
+ FROM (SELECT row_number() OVER (ORDER BY doc_id, text) - 1 AS persona, text FROM documents
+       WHERE doc_id IS NOT NULL AND text IS NOT NULL QUALIFY persona < 32))"""
 
 
 def personas(spark, d):
@@ -98,7 +99,7 @@ LENGTHS = {"input_length": ("lognormal", 300, 200, 400), "output_length": ("logn
 @query("generate_requests", sql(generated(), ctes=PERSONAS))
 def generate_requests(spark, d):
     docs = views.table(spark, d, "documents")
-    out = W.generate_requests(docs, "doc_id", "m0", personas=personas(spark, d), persona_count=32, text="text", **LENGTHS)
+    out = W.generate_requests(docs, "doc_id", "m0", personas=personas(spark, d), text="text", **LENGTHS)
     return out.select("line_no", "custom_id", "max_tokens", "system_prompt", "user_prompt")
 
 
@@ -118,7 +119,7 @@ def generate_requests(spark, d):
 )
 def generate_jobs(spark, d):
     docs = views.table(spark, d, "documents")
-    out = W.generate_jobs(docs, "doc_id", "m0", personas=personas(spark, d), persona_count=32, text="text", **LENGTHS)
+    out = W.generate_jobs(docs, "doc_id", "m0", personas=personas(spark, d), text="text", **LENGTHS)
     return out.groupBy("job_id", "completion_window").agg(
         F.count(F.lit(1)).alias("requests"),
         F.sum("max_tokens").alias("max_tokens"),
@@ -153,7 +154,7 @@ def generate_from_conversations(spark, d):
 def write_workload(spark, d):
     """Write the generated requests as JSONL and read every line back."""
     docs = views.table(spark, d, "documents")
-    out = W.generate_requests(docs, "doc_id", "m0", personas=personas(spark, d), persona_count=32, text="text", **LENGTHS)
+    out = W.generate_requests(docs, "doc_id", "m0", personas=personas(spark, d), text="text", **LENGTHS)
     path = scratch_path(spark, "workload")
     src.write_workload(src.request_lines(out), path)
     back = spark.read.text(path)

@@ -142,9 +142,9 @@ def panel(samples: DataFrame, dashboard: str, name: str, **options) -> DataFrame
 # --- alerts: (evaluation, threshold, hold) ----------------------------------------
 
 
-def _fire(df: DataFrame, value: str, threshold: float, hold: int, step: int) -> DataFrame:
-    judged = df.select("t", (F.col(value) > threshold).alias("on"))
-    return O.sustained(judged, "on", hold, step)
+def _fire(df: DataFrame, value: str, threshold: float, hold: int, step: int, by: tuple[str, ...] = ()) -> DataFrame:
+    judged = df.select(*by, "t", (F.col(value) > threshold).alias("on"))
+    return O.sustained(judged, "on", hold, step, by)
 
 
 def high_queue_wait(
@@ -183,10 +183,10 @@ def workers_saturated(samples: DataFrame, threshold: float = 0.9, hold: int = 90
 
 
 def reconciler_errors(samples: DataFrame, window: int = 3900, hold: int = 300, step: int = FIVE_MINUTES) -> DataFrame:
-    """Any growth of the reconciler's error counter over 65 minutes, held."""
+    """Any growth of one series of the reconciler's error counter over 65 minutes, held by that series."""
     rows = samples_of(samples, "batch_reconciler_errors_total")
-    grown = O.counter_increase(rows, ["series"], [], window, step)
-    return _fire(grown, "increase", 0.0, hold, step)
+    grown = O.counter_increase(rows, ["series"], ["series"], window, step)
+    return _fire(grown, "increase", 0.0, hold, step, ("series",))
 
 
 def label_map(labels: dict[str, object]):

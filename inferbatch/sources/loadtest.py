@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..schemas import SAMPLE
 
-CELL = "stem string, i int, category string, unit string, stat string, value string"
+CELL = "path string, stem string, i int, category string, unit string, stat string, value string"
 
 
 def _file_stem(path: Column) -> Column:
@@ -28,26 +28,28 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     for batch in batches:
         rows = []
-        for stem, text in zip(batch["stem"], batch["value"]):
+        for path, stem, text in zip(batch["path"], batch["stem"], batch["value"]):
             lines = list(csv.reader(io.StringIO(text)))
             if len(lines) < 4:
-                rows.append((stem, -1, "", "", "", None))
+                rows.append((path, stem, -1, "", "", "", None))
                 continue
             width = min(len(line) for line in lines[:3])
             for i in range(width):
                 cell = lines[3][i] if i < len(lines[3]) else None
-                rows.append((stem, i, lines[0][i], lines[1][i], lines[2][i], cell))
-        yield pd.DataFrame(rows, columns=["stem", "i", "category", "unit", "stat", "value"])
+                rows.append((path, stem, i, lines[0][i], lines[1][i], lines[2][i], cell))
+        yield pd.DataFrame(rows, columns=["path", "stem", "i", "category", "unit", "stat", "value"])
 
 
 def read_phase_csv(spark: SparkSession, path: str, stem: Callable[[Column], Column] = _file_stem) -> DataFrame:
     """Phase metrics from load-test summary files, one row per file.
 
     A file has three header rows and one data row; percentiles are lists of the 11 deciles.
-    Phase and cycle come from the file name (`burst-1`).
+    Phase and cycle come from the file name (`burst-1`). Files of the same name in several
+    folders are rows of their own, told apart by `folder`.
     """
     whole = spark.read.text(path, wholetext=True)
-    named = whole.select(stem(F.col("_metadata.file_path")).alias("stem"), "value")
+    file = F.col("_metadata.file_path")
+    named = whole.select(file.alias("path"), stem(file).alias("stem"), "value")
     return phase_metrics(named.mapInPandas(_cells, CELL))
 
 
@@ -76,7 +78,7 @@ def phase_metrics(cells: DataFrame) -> DataFrame:
     for name, (category, unit, _) in families.items():
         picked.append(cell(category, unit, "Median").alias(f"__{name}_median"))
         picked.append(cell(category, unit, "Percentiles").alias(f"__{name}_deciles"))
-    wide = cells.groupBy("stem").agg(*picked)
+    wide = cells.groupBy("path", "stem").agg(*picked)
 
     def number(name: str, default: float = 0.0) -> Column:
         return F.coalesce(F.col(name).try_cast("double"), F.lit(default))
@@ -97,6 +99,7 @@ def phase_metrics(cells: DataFrame) -> DataFrame:
         return F.when(by > 0, count / by).otherwise(F.lit(0.0))
 
     return wide.select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("folder"),
         S.phase_name("stem").alias("phase"),
         S.phase_cycle("stem").alias("cycle"),
         *metrics,

@@ -1,15 +1,19 @@
 """Streaming operators.
 
 Stateful steps use Spark's own: windowed and keyed aggregation, de-duplication within the
-watermark and the stream-stream join. Where a batch operator already is exact under skew
+watermark, and keyed state with event-time timers. Where a batch operator already is exact under skew
 (adaptive limit, planning), the stream hands it one micro-batch at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions import values as V
 from ..operators import adaptive, ingest, plan
@@ -57,29 +61,67 @@ def dedupe_results(results: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     return results.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def correlate_stream(requests: DataFrame, results: DataFrame, longest_wait: str, delay: str) -> DataFrame:
-    """Each request with its result, or `batch_expired` when none came before its deadline.
+def correlate_stream(requests: DataFrame, results: DataFrame, delay: str) -> DataFrame:
+    """Each request with the time of its first result, or `batch_expired` at its deadline.
 
-    `requests` has request_id, ts and deadline (timestamps), `results` has request_id and
-    res_ts. Deadlines differ per request but lie within `longest_wait` of the request, which
-    bounds the join state; a request without result is emitted once the watermark passes that
-    bound. Results of unknown requests match nothing and drop out with the watermark.
+    `requests` has request_id (unique), ts and deadline (timestamps), `results` has request_id
+    and res_ts. Each open request is one row of state with its own event-time timer, so any
+    deadline is kept, however far off. A result counts from the request's time up to its
+    deadline; it may arrive before the request. Once answered or expired, a request's state is
+    gone; later repeats and results of unknown requests wait until the watermark has passed
+    them and drop out. A request without a deadline stays open until it is answered.
     """
-    asked = requests.withWatermark("ts", delay)
-    answers = dedupe_results(results, delay, "res_ts").withColumnRenamed("request_id", "__id")
-    in_time = (
-        (F.col("request_id") == F.col("__id"))
-        & (F.col("res_ts") >= F.col("ts"))
-        & (F.col("res_ts") <= F.col("deadline"))
-        & (F.col("res_ts") <= F.col("ts") + F.expr(f"INTERVAL {longest_wait}"))
+    none = F.lit(None).cast("timestamp")
+    asked = requests.select("request_id", F.col("ts").alias("at"), "deadline", F.lit(True).alias("asked"))
+    came = results.select("request_id", F.col("res_ts").alias("at"), none.alias("deadline"), F.lit(False).alias("asked"))
+    both = asked.withWatermark("at", delay).unionByName(came.withWatermark("at", delay))
+    micros = [F.unix_micros(c).alias(c) for c in ("at", "deadline")]
+    rows = both.select("request_id", F.col("at").alias("event_time"), *micros, "asked")
+    kept = "ts long, deadline long, came array<long>"
+    out = rows.groupBy("request_id").applyInPandasWithState(
+        _settle, "request_id string, ts long, deadline long, res_ts long", kept, "append", "EventTimeTimeout"
     )
-    open_ = F.col("__id").isNull()
-    return asked.join(answers, in_time, "left_outer").withColumns(
+    times = [F.timestamp_micros(c).alias(c) for c in ("ts", "deadline", "res_ts")]
+    open_ = F.col("res_ts").isNull()
+    return out.select("request_id", *times).withColumns(
         {
             "error_code": F.when(open_, F.lit("batch_expired")),
             "error_message": F.when(open_, F.lit(V.NOT_COLLECTED_MESSAGE)),
         }
-    ).drop("__id")
+    )
+
+
+def _settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One request: answered by its first result in time, else expired by its timer.
+
+    Times are microseconds; timers count milliseconds and fire once the watermark is past them.
+    """
+    ts, deadline, came = state.get if state.exists else (None, None, [])
+    came = list(came)
+    if not state.hasTimedOut:
+        for batch in batches:
+            for at, until, asked in zip(batch["at"], batch["deadline"], batch["asked"]):
+                if asked:
+                    ts, deadline = int(at), None if pd.isna(until) else int(until)
+                else:
+                    came.append(int(at))
+    if ts is not None:
+        in_time = [c for c in came if ts <= c and (deadline is None or c <= deadline)]
+        if in_time or state.hasTimedOut:
+            if state.exists:
+                state.remove()
+            found = pd.array([min(in_time) if in_time else None], "Int64")
+            yield pd.DataFrame({"request_id": [key[0]], "ts": [ts], "deadline": pd.array([deadline], "Int64"), "res_ts": found})
+            return
+    elif state.hasTimedOut:
+        state.remove()
+        return
+    # Results outside the time of a known request cannot count any more.
+    waiting = [] if ts is not None else sorted(set(came))
+    state.update((ts, deadline, waiting))
+    until = deadline if ts is not None else waiting[-1]
+    if until is not None:
+        state.setTimeoutTimestamp(max(-(-until // 1000), state.getCurrentWatermarkMs()) + 1)
 
 
 def fan_out(results: DataFrame, requests: DataFrame) -> DataFrame:

@@ -200,3 +200,18 @@ def test_written_plan_is_in_order(spark, tmp_path):
     (row,) = plan.count_disorder(spark.read.parquet(path)).collect()
     assert (row.entries, row.out_of_order) == (200, 0)
     assert any(f.endswith(".parquet") for f in os.listdir(path))
+
+
+def test_gateways_must_be_one_row_per_key(spark):
+    df = spark.createDataFrame([("m", 1)], "model string, n long")
+    schema = "route_key string, url string"
+    none, one = spark.createDataFrame([], schema), spark.createDataFrame([("m", "u")], schema)
+    two = spark.createDataFrame([("m", "u"), ("m", "w")], schema)
+    for wrong in (none, two):
+        with pytest.raises(ValueError, match="exactly one gateway"):
+            plan.route(df, wrong, use_global=True)
+    assert [r.gateway.url for r in plan.route(df, one, use_global=True).collect()] == ["u"]
+    assert [r.gateway.url for r in plan.route(df, one).collect()] == ["u"]
+    assert [r.gateway for r in plan.route(df, none).collect()] == [None]
+    with pytest.raises(Exception, match="repeated route key m"):
+        plan.route(df, two).collect()

@@ -37,6 +37,15 @@ def test_phase_files(spark, tmp_path):
     assert rows[("warm", 0)].completed == 0
 
 
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for n in (0, 1):
+        (tmp_path / f"scenario-{n}").mkdir()
+        write(tmp_path / f"scenario-{n}" / "burst-1.csv", ["run", str(90 + n), "10", "100", "1", "[]", "1", "50"])
+    rows = src.read_phase_csv(spark, f"{tmp_path}/scenario-*").collect()
+    got = {(r.folder.rsplit("/", 1)[1], r.phase, r.cycle, r.completed) for r in rows}
+    assert got == {("scenario-0", "burst", 1, 90), ("scenario-1", "burst", 1, 91)}
+
+
 def phases(spark, rows):
     base = {c: 0.0 for c in T.PERCENTILES}
     data = [{**base, "scenario": 0, "phase": "burst", "cycle": 1, "ok_rps": 0.0, "error_rate": 0.0, "completed": 0, "errors": 0, **r} for r in rows]
@@ -137,7 +146,7 @@ def test_conversations(spark):
 
 def test_generated_lines(spark):
     personas = spark.createDataFrame([(0, "[Persona 000] A"), (1, "[Persona 001] B")], "persona long, system_prompt string")
-    df = W.generate_requests(spark.range(12000).filter("id in (0, 3, 11999)"), "id", "m", personas=personas, persona_count=2, input_length=("fixed", 20, 0, None))
+    df = W.generate_requests(spark.range(12000).filter("id in (0, 3, 11999)"), "id", "m", personas=personas, input_length=("fixed", 20, 0, None))
     lines = {json.loads(r.value)["custom_id"]: json.loads(r.value) for r in req.request_lines(df).collect()}
     assert sorted(lines) == ["req-0000", "req-0003", "req-11999"]
     one = lines["req-0003"]
@@ -152,3 +161,13 @@ def test_persona_prompt_is_cut(spark):
     df = spark.createDataFrame([(7, "x" * 100), (1234, "y")], "n long, t string")
     got = [r.p for r in df.select(W.persona_prompt("n", "t", 8).alias("p")).collect()]
     assert got == ["[Persona 007] " + "x" * 18, "[Persona 1234] y"]
+
+
+def test_personas_are_numbered_whatever_the_corpus(spark):
+    corpus = spark.createDataFrame([(100, "C"), (7, "A"), (7, "B"), (None, "x"), (500, None), (900, "D")], "n long, t string")
+    personas = W.system_prompts(corpus, "n", "t", 3, 64)
+    want = {0: "[Persona 000] A", 1: "[Persona 001] B", 2: "[Persona 002] C"}
+    assert {r.persona: r.system_prompt for r in personas.collect()} == want
+    few = W.system_prompts(corpus, "n", "t", 50, 64)
+    made = W.generate_requests(spark.range(9), "id", "m", personas=few, input_length=("fixed", 5, 0, None)).collect()
+    assert {r.line_no: r.system_prompt[-1] for r in made} == {i: "ABCD"[i % 4] for i in range(9)}

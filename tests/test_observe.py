@@ -150,3 +150,23 @@ def test_series_points_drop_nan(spark):
     df = spark.createDataFrame([("m", 1, 1, 2.0), ("m", 2, 2, float("nan")), ("m", 3, 3, 4.0)], "metric string, ts long, seq long, value double")
     assert [(r.position, r.value) for r in O.series_points(df, ["metric"]).orderBy("position").collect()] == [(1, 2.0), (2, 4.0)]
     assert O.series_stats(df, ["metric"]).select(F.col("avg"), "samples").first() == (3.0, 2)
+
+
+def test_quantiles_of_the_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("g", 5.0)], "g string, v double")
+    assert {r.g: r.p50 for r in O.exact_quantiles(df, "v", [0.5], ["g"]).collect()} == {None: 2.0, "g": 5.0}
+
+
+def test_reconciler_alert_does_not_join_two_series(spark):
+    """Two counters that grow in turns hold nothing alone; one that keeps growing does."""
+    grow = {"a": [1, 0, 0, 1, 0, 0], "b": [0, 1, 1, 0, 1, 1], "c": [1] * 6}
+    rows = []
+    for pod, steps in grow.items():
+        value = 0.0
+        rows.append(("batch_reconciler_errors_total", {"pod": pod}, 0, 0, None, value))
+        for k, n in enumerate(steps, 1):
+            value += n
+            rows.append(("batch_reconciler_errors_total", {"pod": pod}, 300 * k, k, None, value))
+    df = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts long, seq long, le double, value double")
+    got = D.reconciler_errors(df, window=300, hold=600).filter("fires")
+    assert {(r.series, r.t) for r in got.collect()} == {('{"pod":"c"}', 300 * k) for k in range(3, 7)}

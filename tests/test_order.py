@@ -73,3 +73,17 @@ def test_carry_is_a_bounded_broadcast(spark):
     df = spark.range(20000).select((F.col("id") % 3).alias("g"), "id")
     plan = order.number_rows(df, ["g"], ["id"], ranges=8, min_rows=1)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(g" in plan
+
+
+def test_null_groups_are_groups(spark):
+    data = [(None if i % 2 else "g", i, i % 7 + 1) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, a long, v long").repartition(3)
+    sums = order.running_sums(df, ["g"], ["a"], {"before": F.col("v")}, ranges=9, min_rows=1)
+    want, total, last = {}, defaultdict(int), {}
+    for g, a, v in data:
+        want[a] = (total[g], last.get(g))
+        total[g] += v
+        last[g] = v
+    assert {r.a: r.before for r in sums.collect()} == {a: w[0] for a, w in want.items()}
+    before = order.previous_value(df, ["g"], ["a"], "v", ranges=9, min_rows=1)
+    assert {r.a: r.previous for r in before.collect()} == {a: w[1] for a, w in want.items()}

@@ -75,7 +75,6 @@ def test_unanswered_requests_expire(spark, tmp_path):
     joined = X.correlate_stream(
         spark.readStream.schema(ask).parquet(str(tmp_path / "asked")),
         spark.readStream.schema(got).parquet(str(tmp_path / "answered")),
-        "10 minutes",
         "1 minute",
     )
     finish(append_table(joined, str(tmp_path / "out")))
@@ -85,6 +84,28 @@ def test_unanswered_requests_expire(spark, tmp_path):
     assert out.count() == 4
 
 
+def test_deadlines_of_any_length_and_late_repeats(spark, tmp_path):
+    """Files arrive one by one; every request comes out once, whatever its deadline."""
+    ask, got = "request_id string, ts timestamp, deadline timestamp", "request_id string, res_ts timestamp"
+    at = lambda m: f"2024-01-0{1 + m // 1440} {m // 60 % 24:02d}:{m % 60:02d}:00"
+    asked = [[("long", at(0), at(2000)), ("exact", at(0), at(30)), ("early", at(0), at(30))], [("lost", at(60), at(90))],
+             [("none", at(61), None), ("after", at(61), at(70))], [("close", at(5000), at(5001))]]
+    came = [[("exact", at(30)), ("early", at(1)), ("stranger", at(2))], [("early", at(62)), ("long", at(63))],
+            [("after", at(71)), ("none", at(300))], [("long", at(4000)), ("end", at(5000))]]
+    for name, files, schema in (("asked", asked, ask), ("came", came, got)):
+        columns = [c.split(" ") for c in schema.split(", ")]
+        for rows in files:
+            df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n, _ in columns))
+            df = df.select(*[F.col(n).cast(t).alias(n) for n, t in columns])
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    streams = [spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n, s in (("asked", ask), ("came", got))]
+    finish(append_table(X.correlate_stream(*streams, "1 minute"), str(tmp_path / "out")))
+    out = spark.read.schema("request_id string, error_code string").parquet(str(tmp_path / "out" / "data")).collect()
+    expired = "batch_expired"
+    want = {"long": None, "exact": None, "early": None, "lost": expired, "none": None, "after": expired}
+    assert sorted((r.request_id, r.error_code) for r in out) == sorted(want.items())
+
+
 def test_first_cause_wins(spark):
     events = spark.createDataFrame([("a", "cancelled", 10), ("a", "shutdown", 5), ("b", "cancelled", 10), ("c", "cancelled", 10)], "job_id string, cause string, ts long")
     jobs = spark.createDataFrame([("a", 0), ("b", 9_000_000), ("c", 11_000_000)], "job_id string, deadline long")
