@@ -14,7 +14,7 @@ from .order import number_rows
 
 STATE = "status.status"
 # Rows a page may take through a single top-k task; deeper pages are found by row number.
-TOP_ROWS = 100_000
+NEAR_ROWS = 100_000
 
 
 # --- predicates -------------------------------------------------------------------
@@ -106,13 +106,14 @@ def queued_ids(jobs: DataFrame) -> DataFrame:
 # --- paging -----------------------------------------------------------------------
 
 
-def page(df: DataFrame, start: int, limit: int) -> DataFrame:
+def page(df: DataFrame, start: int, limit: int, near: int = NEAR_ROWS) -> DataFrame:
     """Rows `start .. start+limit` by ascending id, with `has_more` on each row.
 
-    One row more than asked for is looked up to learn whether the listing goes on. Near pages
-    are a top-k; a far page is found by row number, which never gathers the skipped rows.
+    One row more than asked for is looked up to learn whether the listing goes on. A page that
+    ends within `near` rows is a top-k, which every task holds; one further off is found by row
+    number, which never gathers the skipped rows. Both give the same rows.
     """
-    if start + limit + 1 <= TOP_ROWS:
+    if start + limit + 1 <= near:
         rows = df.orderBy("id").offset(start).limit(limit + 1)
     else:
         numbered = number_rows(df, [], ["id"], "__row")

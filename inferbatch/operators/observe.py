@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import lookup_table, materialize
 from .jobs import STATE, is_terminal
-from .order import join_null_safe, number_rows, previous_value, running_sums
+from .order import join_null_safe, number_rows, running_sums
 
 INF = float("inf")
 
@@ -162,16 +163,40 @@ def exact_quantiles(
 # --- counters ---------------------------------------------------------------------
 
 
-def counter_deltas(samples: DataFrame, series: Sequence[str], **cuts) -> DataFrame:
+def _growth(value: Column, before: Column) -> Column:
+    """Growth from one sample to the next: a smaller value means a reset and counts in full."""
+    return F.when(before.isNull(), F.lit(0.0)).when(value >= before, value - before).otherwise(value)
+
+
+def _steps(samples: DataFrame, series: Sequence[str], step: int) -> tuple[DataFrame, DataFrame]:
+    """Samples with the one before them in their step (`__in`), and per step the last value before it.
+
+    Windows run per (series, step), so a task holds a series for the time of a step only. What
+    is then ordered per series has one row per step in which it was sampled.
+    """
+    order = F.struct("ts", "seq")
+    inside = W.partitionBy(*series, "t").orderBy("ts", "seq")
+    rows = samples.withColumn("t", step_end(step)).withColumn("__in", F.lag("value").over(inside))
+    steps = rows.groupBy(*series, "t").agg(
+        F.min_by("value", order).alias("__first"),
+        F.max_by("value", order).alias("__last"),
+        F.sum(_growth(F.col("value"), F.col("__in"))).alias("__inside"),
+    )
+    before = F.lag("__last").over(W.partitionBy(*series).orderBy("t"))
+    return rows, steps.withColumn("__before", before)
+
+
+def counter_deltas(samples: DataFrame, series: Sequence[str], step: int = 3600) -> DataFrame:
     """Add `delta` to counter samples (ts, seq, value): growth since the previous sample.
 
     A smaller value means the counter was reset, and then counts in full; the first sample of
-    a series has no growth. A series of any length is worked on in balanced pieces.
+    a series has no growth. A series of any length is worked on in pieces of `step` seconds.
     """
-    paired = previous_value(samples, series, ["ts", "seq"], "value", "__before", **cuts)
-    before = F.col("__before")
-    delta = F.when(before.isNull(), F.lit(0.0)).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
-    return paired.withColumn("delta", delta).drop("__before")
+    rows, steps = _steps(samples, series, step)
+    joined = join_null_safe(rows, steps.select(*series, "t", "__before"), [*series, "t"])
+    first = F.row_number().over(W.partitionBy(*series, "t").orderBy("ts", "seq")) == 1
+    before = F.when(first, F.col("__before")).otherwise(F.col("__in"))
+    return joined.withColumn("delta", _growth(F.col("value"), before)).select(*samples.columns, "delta")
 
 
 def step_end(step: int, ts="ts") -> Column:
@@ -192,40 +217,36 @@ def over_window(steps: DataFrame, keys: Sequence[str], window: int, step: int, v
     return spread.groupBy(*keys, (F.col("t") + F.col("__ahead")).alias("t")).agg(F.sum(value).alias(value))
 
 
-def counter_increase(
-    samples: DataFrame, series: Sequence[str], by: Sequence[str], window: int, step: int, **cuts
-) -> DataFrame:
+def counter_increase(samples: DataFrame, series: Sequence[str], by: Sequence[str], window: int, step: int) -> DataFrame:
     """Growth of counters over a window, at every step: (by..., t, increase).
 
     Growth is summed over the series that share `by`. Reset-aware differences are summed and
     not extrapolated to the window's edges.
     """
-    deltas = counter_deltas(samples, series, **cuts)
-    steps = deltas.groupBy(*by, step_end(step).alias("t")).agg(F.sum("delta").alias("increase"))
-    return over_window(steps, by, window, step)
+    grown = F.col("__inside") + _growth(F.col("__first"), F.col("__before"))
+    steps = _steps(samples, series, step)[1].withColumn("__grown", grown)
+    return over_window(steps.groupBy(*by, "t").agg(F.sum("__grown").alias("increase")), by, window, step)
 
 
-def counter_rate(
-    samples: DataFrame, series: Sequence[str], by: Sequence[str], window: int, step: int, **cuts
-) -> DataFrame:
+def counter_rate(samples: DataFrame, series: Sequence[str], by: Sequence[str], window: int, step: int) -> DataFrame:
     """Growth per second over a window, at every step."""
-    grown = counter_increase(samples, series, by, window, step, **cuts)
+    grown = counter_increase(samples, series, by, window, step)
     return grown.select(*by, "t", (F.col("increase") / F.lit(float(window))).alias("rate"))
 
 
-def sustained(df: DataFrame, condition: str, hold: int, step: int, by: Sequence[str] = (), **cuts) -> DataFrame:
+def sustained(df: DataFrame, condition: str, hold: int, step: int, by: Sequence[str] = ()) -> DataFrame:
     """Evaluations at which the condition holds, with `since` and whether it `fires`.
 
     The condition must have held at every step for `hold` seconds. A false or missing
     evaluation ends the run. Runs are found by numbering the true evaluations: within a run,
-    time minus number of steps is constant.
+    time minus number of steps is constant. There is one row per group and step, so a window
+    over a group grows with time, not with the samples.
     """
-    # One row per step: small, and read several times below.
-    true = materialize(df.filter(F.col(condition)).select(*by, "t"), "evaluations")
-    run = number_rows(true, by, ["t"], "__n", **cuts).withColumn("__run", F.col("t") - F.col("__n") * step)
-    starts = run.groupBy(*by, "__run").agg(F.min("t").alias("since"))
-    keys = [*by, "__run"]
-    return join_null_safe(run, starts, keys).select(*by, "t", "since", (F.col("t") - F.col("since") >= hold).alias("fires"))
+    group = [F.col(c) for c in by] or [F.lit(0)]
+    nth = F.row_number().over(W.partitionBy(*group).orderBy("t"))
+    runs = df.filter(F.col(condition)).select(*by, "t").withColumn("__run", F.col("t") - nth * step)
+    since = F.min("t").over(W.partitionBy(*group, "__run"))
+    return runs.withColumn("since", since).select(*by, "t", "since", (F.col("t") - F.col("since") >= hold).alias("fires"))
 
 
 # --- gauges -----------------------------------------------------------------------

@@ -419,11 +419,7 @@ def page_deep(spark, d):
     """A page far into the table, found by row number instead of by skipping rows."""
     li = views.table(spark, d, "lineitem")
     ids = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"))
-    shallow, J.TOP_ROWS = J.TOP_ROWS, 10_000
-    try:
-        return J.page(ids, 45000, 50)
-    finally:
-        J.TOP_ROWS = shallow
+    return J.page(ids, 45000, 50, near=10_000)
 
 
 def job_queue(spark, d):

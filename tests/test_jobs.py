@@ -133,18 +133,16 @@ def test_filters(spark):
     assert "spec" not in J.query_items(df, tenant="t", include_static=False).columns
 
 
-@pytest.mark.parametrize("deep", [False, True])
-def test_pages_cover_the_table_once(spark, deep, monkeypatch):
-    if deep:
-        monkeypatch.setattr(J, "TOP_ROWS", 1)
+@pytest.mark.parametrize("near", [100, 1])
+def test_pages_cover_the_table_once(spark, near):
     df = spark.range(23).select(F.format_string("id%02d", "id").alias("id"))
     seen, start, more = [], 0, True
     while more:
-        rows = sorted(J.page(df, start, 10).collect())
+        rows = sorted(J.page(df, start, 10, near).collect())
         seen += [r.id for r in rows]
         more, start = rows[0].has_more, start + 10
     assert seen == [f"id{i:02d}" for i in range(23)]
-    assert J.page(df, 50, 10).collect() == []
+    assert J.page(df, 50, 10, near).collect() == []
 
 
 def test_list_rules(spark):

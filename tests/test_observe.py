@@ -80,7 +80,7 @@ def test_exact_quantiles(spark, ranges):
 def test_counter_resets_and_windows(spark):
     data = [("s", 10, 1, 5.0), ("s", 70, 2, 8.0), ("s", 130, 3, 2.0), ("s", 190, 4, 2.0), ("x", 60, 5, 4.0), ("x", 61, 6, 9.0)]
     df = spark.createDataFrame(data, "series string, ts long, seq long, value double")
-    deltas = {(r.series, r.ts): r.delta for r in O.counter_deltas(df, ["series"], ranges=6, min_rows=1).collect()}
+    deltas = {(r.series, r.ts): r.delta for r in O.counter_deltas(df, ["series"], step=60).collect()}
     assert deltas == {("s", 10): 0.0, ("s", 70): 3.0, ("s", 130): 2.0, ("s", 190): 0.0, ("x", 60): 0.0, ("x", 61): 5.0}
     inc = {(r.series, r.t): r.increase for r in O.counter_increase(df, ["series"], ["series"], 120, 60).collect()}
     assert inc[("s", 120)] == 3.0 and inc[("s", 180)] == 5.0 and inc[("s", 240)] == 2.0
@@ -92,7 +92,7 @@ def test_counter_resets_and_windows(spark):
 def test_sustained_needs_every_step(spark):
     on = [60, 120, 180, 300, 360, 420, 480]
     df = spark.createDataFrame([(t, t in on) for t in range(60, 540, 60)], "t long, on boolean")
-    rows = {r.t: (r.since, r.fires) for r in O.sustained(df, "on", 120, 60, ranges=3, min_rows=1).collect()}
+    rows = {r.t: (r.since, r.fires) for r in O.sustained(df, "on", 120, 60).collect()}
     assert rows == {60: (60, False), 120: (60, False), 180: (60, True), 300: (300, False), 360: (300, False), 420: (300, True), 480: (300, True)}
 
 
