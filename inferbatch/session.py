@@ -25,6 +25,10 @@ RUNTIME_DEFAULTS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # A repeated JSON key is no error: the last value counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Stream state lies on disk instead of the executors' heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Rows may hold long texts: keep what one Python worker holds at a time small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
@@ -106,13 +110,19 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-# Rows up to which a lookup table is broadcast; the largest rows here are a few hundred bytes.
+# Up to both bounds a lookup table is broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """Broadcast a lookup table after checking its size, else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Broadcast a lookup table after measuring its rows and bytes, else leave the join to Spark.
+
+    No more than one row beyond the bound is read for it.
+    """
+    width = F.sum(F.octet_length(F.struct("*").cast("string")))
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(width, F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def lookup_table(df: DataFrame, label: str) -> DataFrame:
