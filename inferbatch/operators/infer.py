@@ -19,6 +19,9 @@ from ..schemas import ATTEMPT
 # A client maps a pandas batch of requests to one outcome row per request.
 Client = Callable[[pd.DataFrame], pd.DataFrame]
 
+# Lines of one job that stay together for the sake of their common system prompt.
+RUN_LINES = 1024
+
 CARRIED = ["job_id", "custom_id", "route_key"]
 OUTCOME = ["status_code", "body", "error_category", "error_message", "dropped_reason", "retry_after"]
 
@@ -109,19 +112,24 @@ def infer(
     max_backoff: float = 60.0,
     parallelism: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per attempt of every planned request.
 
     `plan` has request_id, job_id, custom_id, route_key, prefix_hash, line_no, url and value.
-    Rows are range-partitioned by route key, prefix hash and line, so equal system prompts
-    sit next to each other while a hot model or prompt still spreads over many tasks.
+    Rows meet by route key, job, prefix hash and runs of `RUN_LINES` lines, so equal system prompts
+    sit next to each other while a hot model, job or prompt still spreads over many tasks. This is
+    the one exchange that carries bodies, and it needs no sampling pass over them.
     `parallelism` is the number of partitions and so bounds concurrent calls. `make_client`
-    runs once per partition. A retried Spark task calls the client again; give it the
+    runs once per partition; `prepare` adds the columns it wants to the placed rows, so that they
+    are not shuffled. A retried Spark task calls the client again; give it the
     requests that `remaining` leaves when resuming.
     """
-    order = ["route_key", "prefix_hash", "line_no", "request_id"]
     n = parallelism or int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = plan.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    run_of_lines = F.floor(F.col("line_no") / RUN_LINES)
+    placed = plan.repartition(n, "route_key", "job_id", "prefix_hash", run_of_lines).sortWithinPartitions(
+        "route_key", "prefix_hash", "line_no", "request_id"
+    )
     fields = [T.StructField(c, T.StringType()) for c in CARRIED]
     schema = T.StructType([*fields, *ATTEMPT.fields])
 
@@ -131,7 +139,31 @@ def infer(
             for rows in _attempts(batch, client, max_retries, initial_backoff, max_backoff, sleep):
                 yield rows[schema.names]
 
-    return placed.mapInPandas(run, schema)
+    return (prepare(placed) if prepare else placed).mapInPandas(run, schema)
+
+
+def not_dispatched(requests: DataFrame, code: str = "cause") -> DataFrame:
+    """Attempt rows, numbered 0 and final, for requests that are answered without a call.
+
+    `cause` names the error: `batch_expired`, `batch_cancelled` or `batch_failed`.
+    """
+    made = {
+        "attempt": F.lit(0),
+        "status_code": F.lit(0),
+        "error_category": F.col(code),
+        "error_message": S.batch_error_message(F.col(code)),
+        "wait_seconds": F.lit(0.0),
+        "final": F.lit(True),
+        "had_capacity_retry": F.lit(False),
+    }
+    kept = [*CARRIED, "request_id"]
+    return requests.select(
+        *CARRIED,
+        *[
+            (F.col(f.name) if f.name in kept else made.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name)
+            for f in ATTEMPT.fields
+        ],
+    )
 
 
 def remaining(plan: DataFrame, done: DataFrame) -> DataFrame:

@@ -494,8 +494,15 @@ def delete_ids(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.join(keys, "id", "left_anti"), df.join(keys, "id", "left_semi").select("id")
 
 
-def finalise(jobs: DataFrame, counts: DataFrame, files: DataFrame, now: int, failed_uploads: DataFrame | None = None) -> DataFrame:
-    """Finish jobs: counts, file ids, state `completed`.
+def finalise(
+    jobs: DataFrame,
+    counts: DataFrame,
+    files: DataFrame,
+    now: int,
+    failed_uploads: DataFrame | None = None,
+    state: str | None = None,
+) -> DataFrame:
+    """Finish jobs: counts, file ids, and the state a column `state` of the jobs names, else `completed`.
 
     `counts` is (job_id, total, completed, failed), `files` the ids per job; a job without
     results has neither and keeps NULL ids. Where an upload failed (job_id, kind) the state is
@@ -511,7 +518,8 @@ def finalise(jobs: DataFrame, counts: DataFrame, files: DataFrame, now: int, fai
             F.max(F.col("kind") == "output").alias("__no_out"), F.max(F.col("kind") == "error").alias("__no_err")
         )
         joined = joined.join(lost, "id", "left").fillna(False, ["__no_out", "__no_err"])
-    target = F.when(F.col("__no_out") | F.col("__no_err"), F.lit("failed")).otherwise(F.lit("completed"))
+    ended = F.col(state) if state else F.lit("completed")
+    target = F.when(F.col("__no_out") | F.col("__no_err"), F.lit("failed")).otherwise(ended)
     staged = joined.withColumns(
         {
             "__target": target,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -200,42 +201,64 @@ def count_disorder(plan: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plan:
-    """A plan's entries without bodies, the rejected requests, and the lines that hold the bodies."""
+    """A plan's entries without bodies, the rejected requests, and the lines that hold the bodies.
+
+    `requests` are the routed lines with their text, prefix hash and request id: small tables are
+    joined to the stored lines, so the text itself is not shuffled. `early` are requests rejected
+    ahead of the first bad line of a file that fails, and `bad_files` those files.
+    """
 
     entries: DataFrame
     rejected: DataFrame
     lines: DataFrame
+    requests: DataFrame
+    early: DataFrame
+    bad_files: DataFrame
 
     def with_bodies(self) -> DataFrame:
-        """Entries with the text of their line (`value`), the one join that moves bodies."""
+        """Entries with the text of their line (`value`), joined by file and line."""
         bodies = self.lines.select("file_id", "line_no", "value")
         return self.entries.join(bodies, ["file_id", "line_no"])
 
 
-def build_plan(lines: DataFrame, gateways: DataFrame, method: str = "model", use_global: bool = False) -> Plan:
+def build_plan(
+    lines: DataFrame,
+    gateways: DataFrame,
+    method: str = "model",
+    use_global: bool = False,
+    store: Callable[[DataFrame], DataFrame] | None = None,
+) -> Plan:
     """Plan raw lines (job_id, file_id, line_no, value, byte_len and, if known, byte_offset).
 
     Files with a bad or repeated line are left out whole. Rejected lines still advance the
     byte offset of the lines behind them.
 
-    Decoding the JSON is the dear step, so its columns are written once next to the text.
-    Every later step reads a few narrow columns of that table; request bodies are moved only
-    when the plan is executed.
+    Decoding the JSON is the dear step, so its columns are written once next to the text, by
+    `store` where the caller wants its own layout. Every later step reads a few narrow columns
+    of that table; request bodies are moved only when the plan is executed.
     """
     decoded = ingest.decode_requests(lines).withColumn(PROMPT_KEY, prompt_key())
-    stored = materialize(ingest.validate_requests(decoded), "decoded")
+    keep = store or (lambda df: materialize(df, "decoded"))
+    stored = keep(ingest.validate_requests(decoded))
     narrow = stored.drop("value", "system_prompt")
     bad_lines = ingest.check_lines(narrow, validated=True).filter("error_rule IS NOT NULL")
-    bad_files = lookup_table(bad_lines.select("file_id").distinct(), "bad-files")
-    good = narrow.join(bad_files, "file_id", "left_anti")
+    bad_files = lookup_table(bad_lines.groupBy("file_id").agg(F.min("line_no").alias("bad_line")), "bad-files")
+    failed = bad_files.select("file_id")
+    hashes = prompt_hashes(stored.select(PROMPT_KEY, "system_prompt"))
+
+    def hashed(routed: DataFrame) -> DataFrame:
+        joined = routed.join(hashes, PROMPT_KEY, "left")
+        return joined.withColumn("prefix_hash", F.coalesce("__h", F.lit(V.NO_PREFIX_HASH).cast("long"))).drop("__h")
+
+    good = narrow.join(failed, "file_id", "left_anti")
     placed = good if "byte_offset" in lines.columns else ingest.with_offsets(good)
     known, rejected = reject_unrouted(route(placed, gateways, method, use_global))
-    prompts = stored.select(PROMPT_KEY, "system_prompt")
-    hashed = known.join(prompt_hashes(prompts), PROMPT_KEY, "left").withColumn(
-        "prefix_hash", F.coalesce("__h", F.lit(V.NO_PREFIX_HASH).cast("long"))
-    )
+    ahead = narrow.join(bad_files, "file_id").filter(F.col("line_no") < F.col("bad_line")).drop("bad_line")
+    _, early = reject_unrouted(route(ahead, gateways, method, use_global))
+    texts = stored.drop("system_prompt").join(failed, "file_id", "left_anti")
+    bodies, _ = reject_unrouted(route(texts, gateways, method, use_global))
     names = lookup_table(safe_names(known).select("job_id", "model", "safe_name"), "names")
-    entries = plan_position(hashed).join(names, ["job_id", "model"], "left")
+    entries = plan_position(hashed(known)).join(names, ["job_id", "model"], "left")
     chosen = entries.select(
         "job_id",
         "file_id",
@@ -250,4 +273,5 @@ def build_plan(lines: DataFrame, gateways: DataFrame, method: str = "model", use
         F.col("byte_len").cast("int").alias("byte_len"),
         "position",
     )
-    return Plan(materialize(chosen, "plan"), rejected, stored)
+    requests = hashed(bodies).withColumn("request_id", S.request_id("job_id", "line_no"))
+    return Plan(materialize(chosen, "plan"), rejected, stored, requests, early, bad_files)

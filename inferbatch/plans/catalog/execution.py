@@ -46,6 +46,54 @@ def batch_job(spark, d):
     return counts.join(res.token_usage(done.results).drop("requests"), "route_key", "left")
 
 
+@query(
+    "batch_job_end_to_end",
+    sql(
+        """SELECT id, CASE WHEN bad_line IS NOT NULL THEN 'failed' WHEN kind = 1 THEN 'cancelled'
+                  WHEN kind = 2 THEN 'expired' ELSE 'completed' END AS status,
+             CASE WHEN bad_line IS NULL THEN n END AS total, CASE WHEN bad_line IS NULL THEN good END AS completed,
+             CASE WHEN bad_line IS NULL THEN n - good END AS failed, good AS output_lines, n - good AS error_lines,
+             good > 0 AS has_output, n > good AS has_error, 0::BIGINT AS missing, 0::BIGINT AS repeated
+           FROM (SELECT id, kind, bad_line, count(*) FILTER (bad_line IS NULL OR line_no < bad_line AND NOT routed) AS n,
+                   count(*) FILTER (bad_line IS NULL AND kind IN (0, 3, 4) AND routed) AS good
+                 FROM (SELECT file_id AS id, line_no, substr(file_id, 6)::BIGINT % 5 AS kind, model IN ('m0', 'm1') AS routed,
+                         min(CASE WHEN error_rule IS NOT NULL THEN line_no END) OVER (PARTITION BY file_id) AS bad_line
+                       FROM checked) GROUP BY id, kind, bad_line)""",
+        "checked",
+    ),
+)
+def batch_job_end_to_end(spark, d):
+    """Every job to its end state; a fifth each is cancelled, past its deadline, or may have a bad file."""
+    lines = src.request_lines(views.requests(spark, d)).withColumns(
+        {"job_id": F.col("file_id"), "byte_len": ingest.line_length()}
+    )
+    out = scratch_path(spark, "batch-run")
+    jobs = views.file_jobs(spark, d)
+    done = flow.finish_jobs(jobs, lines, gateways(spark), run.echo_client, out, views.NOW)
+    texts = spark.read.schema("value string, kind string, job_id string").text(f"{out}/results")
+    written = texts.groupBy(F.col("job_id").alias("id")).agg(
+        F.count_if(F.col("kind") == "output").alias("output_lines"), F.count_if(F.col("kind") == "error").alias("error_lines")
+    )
+    whole = lines.join(done.jobs.filter("status.status <> 'failed'").select(F.col("id").alias("job_id")), "job_id")
+    asked = whole.select("job_id", S.request_id("job_id", "line_no").alias("request_id"))
+    audit = res.audit_results(asked, done.results.join(asked.select("job_id").distinct(), "job_id", "left_semi"))
+    one = done.jobs.join(written, "id", "left").join(audit.withColumnRenamed("job_id", "id"), "id", "left")
+    zero = F.lit(0).cast("long")
+    return one.select(
+        "id",
+        "status.status",
+        "status.request_counts.total",
+        "status.request_counts.completed",
+        "status.request_counts.failed",
+        F.coalesce("output_lines", zero).alias("output_lines"),
+        F.coalesce("error_lines", zero).alias("error_lines"),
+        F.col("status.output_file_id").isNotNull().alias("has_output"),
+        F.col("status.error_file_id").isNotNull().alias("has_error"),
+        F.coalesce("missing", zero).alias("missing"),
+        F.coalesce(F.col("repeated") + F.col("foreign"), zero).alias("repeated"),
+    )
+
+
 @query(
     "to_results",
     sql(

@@ -81,6 +81,28 @@ def clean_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One running job per request file: of every five, one is cancelled and one past its deadline."""
+    files = requests(spark, sf_dir).select(F.col("file_id").alias("id")).distinct()
+    kind = F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 5
+    known = {
+        "status": F.when(kind == 1, F.lit("cancelling")).otherwise(F.lit("in_progress")),
+        "cancelling_at": F.when(kind == 1, F.lit(NOW - 60)),
+    }
+
+    def field(f) -> Column:
+        return known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+
+    made = {
+        "id": F.col("id"),
+        "tenant_id": F.concat(F.lit("t"), _s(kind)),
+        "tags": F.create_map(F.lit(V.TAG_HEADER_PREFIX + "x-origin"), F.col("id")),
+        "status": F.struct(*[field(f) for f in JOB["status"].dataType]),
+        "priority": (F.lit(NOW) + F.when(kind == 2, F.lit(-1)).otherwise(F.lit(3600))).cast("long") * 1000000,
+    }
+    return files.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in JOB])
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job rows from orders."""
     o = table(spark, sf_dir, "orders")

@@ -104,6 +104,12 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """A table was written to this path to its end."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
