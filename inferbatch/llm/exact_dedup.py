@@ -16,8 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inferbatch.session import materialize
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SALTS = 16
+HOT_SHARE = 2000
+NAME = ["digest", "check", "len"]
 
 
 def normalised(text: Column) -> Column:
@@ -58,8 +62,15 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         F.xxhash64(norm).alias("check"),
         F.length(norm).alias("len"),
     )
-    groups = duplicate_groups(docs, id_col, text_col, salts)
-    return names.join(groups, ["digest", "check", "len"]).select(
+    groups = materialize(duplicate_groups(docs, id_col, text_col, salts), "text-groups")
+    rows = groups.agg(F.sum("group_size")).first()[0] or 0
+    is_hot = F.col("group_size") * HOT_SHARE > rows
+    # Fewer than HOT_SHARE groups can be that large, so this side is small at any size of the table.
+    hot = groups.filter(is_hot).select(*NAME, F.lit(True).alias("hot"))
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = names.join(F.broadcast(hot), NAME, "left").withColumn("part", part)
+    return spread.join(groups.withColumn("part", F.explode(every)), [*NAME, "part"]).select(
         "doc_id",
         "keep_id",
         "group_size",

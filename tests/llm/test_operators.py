@@ -75,6 +75,16 @@ def test_exact_dedup_hot_group(spark):
     assert [r.keep_id for r in got.select("keep_id").distinct().collect()] == [499]
 
 
+def test_exact_dedup_hot_and_cold_groups_side_by_side(spark):
+    """1,500 equal texts are spread over the salts, 3,000 others are not; every row comes back once."""
+    rows = [(i, "Same" if i % 2 else "same") for i in range(1500)] + [(2000 + i, f"t{i // 2}") for i in range(3000)]
+    got = exact_dedup.decisions(docs_of(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    want = {i: (1499, 1500) if i < 1500 else (i + 1 - i % 2, 2) for i, _ in rows}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == want
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
 def test_components_of_chains_hubs_and_nothing(spark):
     chain = [(i, i + 1) for i in range(1, 200)]
     hub = [(1000, 1000 + i) for i in range(1, 300)]
