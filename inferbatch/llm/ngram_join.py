@@ -13,6 +13,8 @@ order only decides how much work there is, never which links are found.
 4. Rest round: inside a bucket, only groups of different components are paired (the bucket's largest
    component stands on one side only), filtered by size, position and hash-range counts, expanded to
    members and verified. Links inside a component cannot change it and are not enumerated.
+   Members of one group share their whole prefix, so those of different components are paired by the
+   elements that follow it, which must hold a common one for the same reason.
 
 Verification intersects the whole sets. A shingle is named by 64 bits of its words' hashes.
 
@@ -100,37 +102,44 @@ def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> np.ndarray
 
 
 def document_sets(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """Per document its id, set size, digests of set and prefix, the prefix, and counts by hash range."""
+    """Per document its id, set size, digests of set and prefix, the prefix, what follows, and counts by hash range."""
     by_hash = np.argsort(heavy)
     known = heavy[by_hash]
     rank = by_hash + 1
     kind = docs.schema["id"].dataType.simpleString()
 
-    def prefix(values: np.ndarray) -> np.ndarray:
+    def prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix, and the elements behind it that hold a common one of any two with this prefix."""
         late = np.zeros(len(values), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, values), len(known) - 1)
             late = np.where(known[at] == values, rank[at], 0)
         n = len(values)
         if not n:
-            return np.empty(0, np.int64)
-        return values[np.lexsort((values, late))][: n - -(-percent * n // 100) + 1].view(np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        ordered = values[np.lexsort((values, late))].view(np.int64)
+        size = n - -(-percent * n // 100) + 1
+        # Two sets of n elements may each have this many of their own; without any they are equal.
+        own = n - -(-2 * percent * n // (100 + percent))
+        return ordered[:size], ordered[size : size + own + 1 if own else size]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingles(t.as_py(), width)) for t in batch.column(1)]
-            prefixes = [prefix(s) for s in sets]
+            cuts = [prefix(s) for s in sets]
+            prefixes = [p for p, _ in cuts]
             columns = [
                 batch.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([xxhash.xxh3_128_digest(p.tobytes()) for p in prefixes], pa.binary()),
                 pa.array(prefixes, pa.list_(pa.int64())),
+                pa.array([x for _, x in cuts], pa.list_(pa.int64())),
                 pa.array([range_counts(s) for s in sets], pa.list_(pa.int8())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "start", "prefix", "regions"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "start", "prefix", "next", "regions"])
 
-    schema = f"id {kind}, n bigint, digest binary, start binary, prefix array<bigint>, regions array<tinyint>"
+    schema = f"id {kind}, n bigint, digest binary, start binary, prefix array<bigint>, next array<bigint>, regions array<tinyint>"
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
@@ -190,7 +199,7 @@ def near_duplicates(
     copies = usable.select("id", "digest", "n").join(classes.filter("c > 1"), ["digest", "n"]).filter("id <> rep")
     copies = materialize(copies.select("id", "digest").distinct(), "copies")
     firsts = usable.join(broadcast_if_small(copies, 40), ["id", "digest"], "left_anti").withColumnRenamed("id", "rep")
-    links = _class_links(firsts.select("rep", "n", "start", "prefix", "regions"), docs, width, percent)
+    links = _class_links(firsts.select("rep", "n", "start", "prefix", "next", "regions"), docs, width, percent)
     found = components(links).withColumnRenamed("id", "rep")
     names = classes.select("digest", "n", "rep").join(found, "rep", "left")
     names = names.select("digest", "n", F.coalesce("component", "rep").alias("component"))
@@ -242,17 +251,31 @@ def _class_links(members: DataFrame, docs: DataFrame, width: int, percent: int)
     mixed = counts.groupBy("h").agg(F.max_by("comp", "c").alias("big"), F.count(F.lit(1)).alias("k"))
     rows = materialize(rows.join(mixed.filter("k > 1").drop("k"), "h"), "mixed")
     one = rows.filter("comp <> big").select("h", *[F.col(c).alias(f"{c}_1") for c in ("gid", "n", "i", "comp")])
-    cross = (F.col("comp_1") != F.col("comp")) & ((F.col("comp") == F.col("big")) | (F.col("comp_1") < F.col("comp")))
+    cross = (F.col("gid_1") != F.col("gid")) & (F.col("comp_1") != F.col("comp")) & ((F.col("comp") == F.col("big")) | (F.col("comp_1") < F.col("comp")))
     near_places = _places_fit(F.col("n_1"), F.col("i_1"), F.col("n"), F.col("i"), percent)
     pairs = one.join(rows, "h").filter(cross & _sizes_fit(F.col("n_1"), F.col("n"), percent) & near_places)
     pairs = pairs.select("gid_1", "comp_1", "gid", "comp").distinct()
     of_1 = parts.select(F.col("gid").alias("gid_1"), F.col("comp").alias("comp_1"), F.col("rep").alias("a"))
     of_2 = parts.select("gid", "comp", F.col("rep").alias("b"))
-    pairs = pairs.join(of_1, ["gid_1", "comp_1"]).join(of_2, ["gid", "comp"]).select("a", "b").distinct()
+    pairs = pairs.join(of_1, ["gid_1", "comp_1"]).join(of_2, ["gid", "comp"]).select("a", "b")
+    pairs = pairs.union(_inner_pairs(parts, split, members)).distinct()
     rest = verified(materialize(_ranges_fit(pairs, members, percent), "rest-tries"), docs, width, percent)
     return near.union(rest)
 
 
+def _inner_pairs(parts: DataFrame, split: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one group, in different components, with a common element behind the prefix."""
+    several = split.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gid")
+    rows = parts.join(broadcast_if_small(materialize(several, "split-groups"), 16), "gid")
+    rows = members.select("rep", "next").join(rows, "rep").select("gid", "rep", "comp", F.explode("next").alias("h"))
+    counts = rows.groupBy("gid", "h", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("gid", "h").agg(F.max_by("comp", "c").alias("big"), F.count(F.lit(1)).alias("k"))
+    rows = materialize(rows.join(mixed.filter("k > 1").drop("k"), ["gid", "h"]), "split-mixed")
+    one = rows.filter("comp <> big").select("gid", "h", F.col("rep").alias("a"), F.col("comp").alias("comp_1"))
+    cross = (F.col("comp_1") != F.col("comp")) & ((F.col("comp") == F.col("big")) | (F.col("comp_1") < F.col("comp")))
+    return one.join(rows, ["gid", "h"]).filter(cross).select("a", F.col("rep").alias("b")).distinct()
+
+
 def _ranges_fit(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Drop pairs whose counts by hash range already bound the overlap below what is needed."""
     a = members.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("regions").alias("ra"))

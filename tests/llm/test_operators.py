@@ -121,6 +121,21 @@ def test_ngram_join_edges(spark):
     assert ngram_join.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_ngram_join_links_members_of_one_group(spark):
+    start = [f"p{k}" for k in range(5)]
+    more = [f"m{k}" for k in range(31)]
+    texts = {1: start + more[:15], 2: start + more[15:30], 3: start + more[15:29] + more[30:]}
+    # Fillers of another size make the words of `start` the rarest, so they are the prefix of 1, 2 and 3.
+    texts |= {10 + k: more + [f"f{k}-{j}" for j in range(200)] for k in range(4)}
+    texts = {i: " ".join(words) for i, words in texts.items()}
+    docs = docs_of(spark, list(texts.items())).coalesce(1)
+    by_id = docs.withColumnRenamed("doc_id", "id")
+    sets = ngram_join.document_sets(by_id, 1, 80, ngram_join.heavy_shingles(by_id, 1)).filter("id < 10").collect()
+    assert len({(r.n, r.start) for r in sets}) == 1
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, width=1, percent=80).collect()}
+    assert got == brute_components(texts, 1, 80) and got[3] == (20, 2)
+
+
 def test_mixing_edges_and_targets(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(1, 60), rng.choice(["a", "b", "c", "é", None])) for i in range(400)]
