@@ -78,19 +78,19 @@ class Block:
     label: int | None
 
 
-def _names(attributes: str) -> tuple[tuple[str, ...], int | None]:
+def _names(attributes: str, labelled: bool) -> tuple[tuple[str, ...], int | None]:
     found, label = [], None
     for key, value in ATTRIBUTE.findall(attributes):
         value = value.strip("\"'")
         if key.lower() == "data-y":
-            label = int(value)
+            label = int(value) if labelled else None
         else:
             found += [f"c:{p.lower()}" for p in NAME_PARTS.findall(value)]
     return tuple(found), label
 
 
-def blocks(html: str | None) -> list[Block]:
-    """The leaf blocks of a page, in page order."""
+def blocks(html: str | None, labelled: bool = False) -> list[Block]:
+    """The leaf blocks of a page, in page order. Only composed pages are `labelled`, by data-y."""
     html = html or ""
     stack: list[tuple[str, tuple[str, ...], int | None]] = []
     out: list[Block] = []
@@ -155,7 +155,7 @@ def blocks(html: str | None) -> list[Block]:
             leave({"p"}, {"td", "th", "button", "table"})
         if tag in IMPLIED:
             leave(*IMPLIED[tag])
-        stack.append((tag, *_names(attributes)))
+        stack.append((tag, *_names(attributes, labelled)))
     flush()
     return out
 
@@ -397,7 +397,7 @@ def labelled_pages(texts: list[str], layouts: int = LAYOUTS, seed: int = SEED) -
     """Features and labels of composed pages, cut into windows of bounded length."""
     composer, out = Composer(texts, seed), []
     for _ in range(layouts):
-        page = blocks(composer.page())
+        page = blocks(composer.page(), labelled=True)
         rows, y = features(page), [b.label or 0 for b in page]
         out += [(rows[k : k + WINDOW], y[k : k + WINDOW]) for k in range(0, len(y), WINDOW)]
     return out

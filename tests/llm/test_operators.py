@@ -351,6 +351,13 @@ def test_html_blocks_and_extraction(spark):
     assert html_crf.train(pages.limit(0)).main_text(page).startswith("Ti&tle")
 
 
+def test_html_label_mark_of_a_real_page_is_ignored():
+    for value in ("12px", "0.5", "", "1"):
+        page = html_crf.blocks(f'<body data-y="0"><p data-y="{value}">One</p><p data-y={value}>Two</p>')
+        assert [(b.text, b.label) for b in page] == [("One", None), ("Two", None)]
+    assert [b.label for b in html_crf.blocks('<body data-y="0">A<p data-y="1">B', labelled=True)] == [0, 1]
+
+
 def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(4)
     page = [html_crf.Block(str(k), (f"t:{k}",), 0, None) for k in range(7)]
