@@ -1,7 +1,9 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks.
 
 A page becomes the sequence of its leaf blocks, runs of text inside one block element. Scripts, styles,
-comments, the head and other markup without own text never become blocks. Each block has features of
+templates, form data, titles and comments never become blocks. A head holds nothing else: whatever other
+text or element follows its start belongs to the body, as in the HTML rules. Formulas, drawings and
+fallback texts are text like any other, judged by the model. Each block has features of
 its ancestors (tags, words of class, id and role) and of its text (length, links, punctuation, place in
 the page), and the field has a weight per feature and label and one per pair of neighbouring labels. It
 is trained by gradient ascent on labelled pages and decoded by Viterbi.
@@ -40,10 +42,13 @@ WINDOW = 48
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript svg math select datalist object video audio canvas".split())
+RAW = frozenset("script style textarea title template select datalist".split())
+XML = frozenset(("svg", "math"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr img picture source br input output meter progress".split()
+    "span strike strong sub sup time tt u var wbr img picture source br input output meter progress "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 "
@@ -57,7 +62,6 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "body": ({"head"}, set()),
 }
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -96,12 +100,11 @@ def blocks(html: str | None, labelled: bool = False) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links = [0]
-    head = False
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         parts.clear()
-        if text and not head:
+        if text:
             path = [f"t:{tag}" for tag, _, _ in stack] + [c for _, names, _ in stack for c in names]
             own = next((tag for tag, _, _ in reversed(stack) if tag not in INLINE), "body")
             label = next((y for _, _, y in reversed(stack) if y is not None), None)
@@ -134,18 +137,22 @@ def blocks(html: str | None, labelled: bool = False) -> list[Block]:
         if tag not in INLINE:
             flush()
         if closing:
-            if tag == "head":
-                head = False
             if any(t == tag for t, _, _ in stack):
                 leave({tag}, set())
             continue
-        if tag in ("br", "img", "input"):
+        if tag in ("br", "img", "input", "mtd"):
             parts.append(" ")
-        if tag == "head":
-            head = True
-        elif tag == "body":
-            head = False
-        if tag in VOID or attributes.endswith("/") and tag in RAW:
+        empty = attributes.endswith("/") and (tag in RAW or any(t in XML for t in (tag, *(t for t, _, _ in stack))))
+        if tag in VOID or tag == "head" or empty:
+            continue
+        if tag == "xmp":
+            # Shown as it is written, markup included.
+            end = re.compile(r"</xmp\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            stack.append((tag, *_names(attributes, labelled)))
+            parts.append(escape(html[at : end.start() if end else len(html)]))
+            flush()
+            stack.pop()
+            at = end.end() if end else len(html)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)

@@ -351,6 +351,22 @@ def test_html_blocks_and_extraction(spark):
     assert html_crf.train(pages.limit(0)).main_text(page).startswith("Ti&tle")
 
 
+def test_html_without_end_of_head_and_embedded_text():
+    def texts(html):
+        return [b.text for b in html_crf.blocks(html)]
+
+    meta = "<html><head><meta charset=x><title>T</title><style>p{}</style><script>s</script><link rel=a>"
+    for page in (meta + "<article><p>One</p></article>", meta + "</head><body><p>One", meta + "<body><p>One", meta + "One", "<p>One<head>"):
+        assert texts(page) == ["One"]
+    assert texts(meta) == []
+    assert texts("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["So x=2 holds"]
+    for tag in ("svg", "object", "video", "audio", "canvas", "noscript", "iframe"):
+        assert texts(f"<article><p>One</p><{tag}><p>Two</p></{tag}><p>Three") == ["One", "Two", "Three"]
+    assert html_crf.blocks("<svg/><svg><path/></svg><p>One")[0].path == ("o:p", "t:p")
+    assert texts("<p>One<xmp><b>&lt;</xmp>Two") == ["One", "<b>&lt;", "Two"]
+    assert texts("<form><select><option>a</select><textarea>b</textarea></form><template>c</template>One") == ["One"]
+
+
 def test_html_label_mark_of_a_real_page_is_ignored():
     for value in ("12px", "0.5", "", "1"):
         page = html_crf.blocks(f'<body data-y="0"><p data-y="{value}">One</p><p data-y={value}>Two</p>')
