@@ -3,13 +3,15 @@
 URLs that a rule decides train two variable-order Markov models over characters, one of accepted and
 one of rejected URLs. Contexts of up to `ORDER` characters are blended by Witten-Bell smoothing: an
 unseen context hands over to the next shorter one, down to a uniform distribution. A URL's score is
-the difference of the two log-likelihoods per character. One half of the decided URLs, by hash, gives
+the difference of the two log-likelihoods per character. The models read everything behind the scheme,
+query string and fragment included (with the host A-Z lower-cased); rules read host and path only. One half of the decided URLs, by hash, gives
 the counts, the other half calibrates the threshold: the cut with the smallest mean of both error
 rates. Other URLs are blocked when their score is below it.
 
 Everything is DataFrame functions. Models are tables of distinct character sequences, joined on the
 sequence, so a sequence found in every URL is a hot key that Spark splits by size; equal URLs are
-scored once. Counts cover all URLs. The driver sees the calibrated threshold only.
+scored once. Counts cover all distinct URLs, each once however many rows hold it, for equal copies of a
+URL say nothing new about others. The driver sees the calibrated threshold only.
 
 Defined results: a null URL, or one without "://", has an empty host and path, no rule, and no
 evidence: allow. If one of the classes has no URLs to learn or calibrate from, the threshold is 0;
@@ -142,7 +144,9 @@ def judged(
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict and the score per character (or null)."""
     rows = ruled(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("u")), rules)
-    rows = rows.withColumn("url", F.concat("host", "path"))
+    behind_host = F.expr("substring(u, instr(u, '://') + 3 + char_length(host))")
+    url = F.when(F.instr("u", "://") > 0, F.concat("host", behind_host)).otherwise("")
+    rows = rows.withColumn("url", url)
     first, second = F.xxhash64("url"), F.xxhash64(F.lit("url"), "url")
     rows = rows.withColumns({"k1": first, "k2": second})
     urls = rows.filter("url <> ''").groupBy("k1", "k2", "url").agg(F.max("action").alias("action"))

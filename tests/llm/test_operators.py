@@ -267,6 +267,16 @@ def test_url_rules_and_model(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_url_model_reads_query_and_fragment(spark):
+    many = [(i, f"http://a{i}.example.org/fr/x?ref=news" if i % 2 else f"http://a{i}.example.com/de/x?ad=pills") for i in range(200)]
+    many += [(900, "http://H.test/y?ref=news"), (901, "http://h.test/y?ad=pills"), (902, "http://h.test/y#ad=pills"), (903, "http://h.test/y?ref=news")]
+    found = url_filter.judged(spark.createDataFrame(many, "page_id bigint, url string")).filter("page_id >= 900")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.score) for r in found.collect()}
+    assert all(r[:3] == ("h.test", "/y", None) for r in got.values()) and got[900] == got[903]
+    assert [got[i][3] for i in (900, 901, 902)] == ["allow", "block", "block"]
+    assert len({got[i][4] for i in (900, 901, 902)}) == 3
+
+
 def brute_ratio(urls, order):
     """Witten-Bell probabilities of the training URLs, straight from their definition."""
     grams = ["\x02" * order + u + "\x03" for u, _ in urls]
