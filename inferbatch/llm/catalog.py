@@ -17,9 +17,11 @@ from inferbatch.llm import (
     ngram_join,
     oracles,
     quality,
+    secret_scan,
     toxicity,
     url_filter,
     warc_zip,
+    whitening,
 )
 from inferbatch.plans.catalog import Query
 
@@ -125,6 +127,32 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
 
 
+@query()
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scanned(docs, secret_scan.train(docs))
+
+    def listed(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def of_kind(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint")
+
+    base = F.filter("spans", lambda s: s.kind != "field")
+    return found.select(
+        "doc_id",
+        *[of_kind(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
