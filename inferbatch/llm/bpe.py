@@ -22,6 +22,7 @@ from pathlib import Path
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tiktoken import registry
 
@@ -93,3 +94,16 @@ def decode(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*columns, bytes_col])
 
     return docs.mapInArrow(run, schema)
+
+
+def token_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, the number of tokens, and digests of the decimal ids and of the decoded bytes."""
+    ids = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rank_path, pattern)
+    both = decode(ids, rank_path, pattern)
+    decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inferbatch.llm import (
+    bpe,
     embedding_dedup,
     exact_dedup,
     hard_negatives,
@@ -113,7 +115,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.token_digests(table(spark, sf_dir, "documents"))
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(corpus_pipeline.RANKS), public_tokenizers.PATTERN)
 
 
 @query(oracles.EMBEDDINGS)

@@ -9,9 +9,10 @@ the page), and the field has a weight per feature and label and one per pair of
 is trained by gradient ascent on labelled pages and decoded by Viterbi.
 
 Labelled pages are composed at training time: paragraphs, titles and link texts of at most
-`most_pages` real pages (those with the smallest hash of their id, a documented bound) are laid out in
+`most_pages` real pages (those with the smallest hash of their id), at most `texts_per_page` of each, spread over
+the page, and `words_per_text` words of a text, all documented bounds, are laid out in
 seeded random page layouts, where the composer knows which blocks it put into the article. Extraction
-reads every whole page.
+reads every whole page, in time that grows with its length only, however deep its elements lie.
 
 Defined results: a null or empty page, or one without main text, gives an empty text and 0 characters;
 broken or cut markup is read as far as it goes; repeated rows give equal texts; an empty table gives an
@@ -23,7 +24,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass
 from html import escape, unescape
 
@@ -33,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_PAGES = 300
+TEXTS_PER_PAGE = 12
+WORDS_PER_TEXT = 80
 LAYOUTS = 900
 SEED = 7
 STEPS = 200
@@ -93,10 +97,63 @@ def _names(attributes: str, labelled: bool) -> tuple[tuple[str, ...], int | None
     return tuple(found), label
 
 
-def blocks(html: str | None, labelled: bool = False) -> list[Block]:
-    """The leaf blocks of a page, in page order. Only composed pages are `labelled`, by data-y."""
+class _Open:
+    """The open elements, with what every block asks of them kept up to date as they come and go.
+
+    No question walks through the stack, so a page costs time in proportion to its length however deep it is.
+    """
+
+    def __init__(self, known: Container[str] | None):
+        self.known = known
+        self.stack: list[tuple[str, tuple[str, ...], str, int | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.path: Counter[str] = Counter()
+        self.xml = 0
+
+    def push(self, tag: str, names: tuple[str, ...], label: int | None) -> None:
+        own, above = (self.stack[-1][2], self.stack[-1][3]) if self.stack else ("body", None)
+        path = tuple(n for n in (f"t:{tag}", *names) if self.known is None or n in self.known)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, path, own if tag in INLINE else tag, above if label is None else label))
+        self.path.update(path)
+        self.xml += tag in XML
+
+    def pop(self) -> None:
+        tag, path, _, _ = self.stack.pop()
+        self.places[tag].pop()
+        for name in path:
+            self.path[name] -= 1
+            if not self.path[name]:
+                del self.path[name]
+        self.xml -= tag in XML
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Depth of the innermost open element of these tags, -1 without one."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def leave(self, names: Iterable[str], fences: Iterable[str]) -> None:
+        """Close up to the innermost of `names`, unless one of `fences` lies within it."""
+        at = self.last(names)
+        if at > self.last(fences):
+            while len(self.stack) > at:
+                self.pop()
+
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def features(self) -> tuple[tuple[str, ...], int | None]:
+        """Path features and label of a block that stands here."""
+        own, label = self.stack[-1][2:] if self.stack else ("body", None)
+        return (f"o:{own}", *sorted(self.path)), label
+
+
+def blocks(html: str | None, labelled: bool = False, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page, in page order. Only composed pages are `labelled`, by data-y.
+
+    `known` limits the features of the path to those that matter to a model.
+    """
     html = html or ""
-    stack: list[tuple[str, tuple[str, ...], int | None]] = []
+    nest = _Open(known)
     out: list[Block] = []
     parts: list[str] = []
     links = [0]
@@ -105,27 +162,17 @@ def blocks(html: str | None, labelled: bool = False) -> list[Block]:
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            path = [f"t:{tag}" for tag, _, _ in stack] + [c for _, names, _ in stack for c in names]
-            own = next((tag for tag, _, _ in reversed(stack) if tag not in INLINE), "body")
-            label = next((y for _, _, y in reversed(stack) if y is not None), None)
-            out.append(Block(text, tuple(dict.fromkeys([f"o:{own}", *path])), links[0], label))
+            path, label = nest.features()
+            out.append(Block(text, path, links[0], label))
         links[0] = 0
 
-    def leave(names: set[str], fences: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in fences:
-                return
-
     at = 0
     while at < len(html):
         m = MARKUP.search(html, at)
         text = html[at : m.start() if m else len(html)]
         if text:
             parts.append(text)
-            if any(tag == "a" for tag, _, _ in stack):
+            if nest.has("a"):
                 links[0] += len(text.strip())
         if not m:
             break
@@ -137,21 +184,20 @@ def blocks(html: str | None, labelled: bool = False) -> list[Block]:
         if tag not in INLINE:
             flush()
         if closing:
-            if any(t == tag for t, _, _ in stack):
-                leave({tag}, set())
+            nest.leave((tag,), ())
             continue
         if tag in ("br", "img", "input", "mtd"):
             parts.append(" ")
-        empty = attributes.endswith("/") and (tag in RAW or any(t in XML for t in (tag, *(t for t, _, _ in stack))))
+        empty = attributes.endswith("/") and (tag in RAW or tag in XML or nest.xml)
         if tag in VOID or tag == "head" or empty:
             continue
         if tag == "xmp":
             # Shown as it is written, markup included.
             end = re.compile(r"</xmp\b[^>]*(?:>|\Z)", re.I).search(html, at)
-            stack.append((tag, *_names(attributes, labelled)))
+            nest.push(tag, *_names(attributes, labelled))
             parts.append(escape(html[at : end.start() if end else len(html)]))
             flush()
-            stack.pop()
+            nest.pop()
             at = end.end() if end else len(html)
             continue
         if tag in RAW:
@@ -159,10 +205,10 @@ def blocks(html: str | None, labelled: bool = False) -> list[Block]:
             at = end.end() if end else len(html)
             continue
         if tag in CLOSES_P:
-            leave({"p"}, {"td", "th", "button", "table"})
+            nest.leave(("p",), ("td", "th", "button", "table"))
         if tag in IMPLIED:
-            leave(*IMPLIED[tag])
-        stack.append((tag, *_names(attributes, labelled)))
+            nest.leave(*IMPLIED[tag])
+        nest.push(tag, *_names(attributes, labelled))
     flush()
     return out
 
@@ -221,7 +267,7 @@ class Model:
         return labels[::-1]
 
     def main_text(self, html: str | None) -> str:
-        page = blocks(html)
+        page = blocks(html, known=self.weights)
         return " ".join(b.text for b, y in zip(page, self.decode(page)) if y)
 
 
@@ -411,8 +457,9 @@ def labelled_pages(texts: list[str], layouts: int = LAYOUTS, seed: int = SEED) -
 
 
 def train(
-    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_pages: int = MOST_PAGES
-) -> Model:
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_pages: int = MOST_PAGES,
+    texts_per_page: int = TEXTS_PER_PAGE, words_per_text: int = WORDS_PER_TEXT,
+) -> Model:
     """Fit on pages composed from the texts of a bounded sample."""
     picked = pages.filter(F.col(html_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), id_col)
     picked = picked.orderBy("h", id_col).limit(most_pages).select(F.col(id_col).alias("__id")).distinct()
@@ -420,10 +467,9 @@ def train(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [[b.text for b in blocks(h.as_py())] for h in batch.column(1)]
-            few = [t[:: max(1, len(t) // 12)][:12] for t in texts]
-            # Fill texts need not be long: at most 80 words each reach the driver.
-            cut = [[" ".join(x.split(maxsplit=80)[:80]) for x in t] for t in few]
+            texts = [[b.text for b in blocks(h.as_py(), known=())] for h in batch.column(1)]
+            few = [t[:: max(1, len(t) // texts_per_page)][:texts_per_page] for t in texts]
+            cut = [[" ".join(x.split(maxsplit=words_per_text)[:words_per_text]) for x in t] for t in few]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.string()))], names=["id", "texts"])
 
     kind = pages.schema[id_col].dataType.simpleString()

@@ -2,35 +2,43 @@
 
 Sources share a budget in proportion to their weights, but none above `cap` times its own size;
 what a capped source leaves is shared again by weight until no source is above its cap. A source
-whose target is r times its size gives floor(r) whole repetitions of every document, and the
-fractional repetition is filled with whole documents in a seeded order. The running sums behind
-that are cut into buckets of the seeded hash, so a source with a third of all rows is never sorted
-in one task. Documents that no longer fit are passed over and the gap is filled by later, smaller
-ones in `PASSES` rounds, so a source ends within a few words of its target.
+whose target is r times its size gives floor(r) whole repetitions of every document. The fractional
+repetition, rounded to whole words, goes through the documents in a seeded order: each gives all its words
+until the last one gives just those that are missing, so a source ends within half a word of its target.
+
+The running sums behind that need no task of a whole source: rows are range-partitioned by source and
+seeded order and written, sums are taken inside every (partition, source), and those of the partitions before
+are added, one row per partition and source.
+
+A partial copy of a document is its text up to the end of its last taken word. Rows of one id, source and text are
+interchangeable: where only some of them are repeated once more, the further copies are of one of the rows.
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a source of its own and
-comes last; sources of size 0 have target 0; rows of one id in one source share a decision, so a
-repeated row is taken like its twin; an empty table gives an empty result; other columns are left
-alone, whatever their name.
+comes last; sources of size 0 have target 0; documents without words follow the whole repetitions only;
+repeated rows are rows like any others; an empty table gives an empty result; other columns
+are left alone, whatever their name.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inferbatch.llm.sizes import broadcast_if_small
-from inferbatch.session import materialize
+from inferbatch.session import materialize, small_side
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
-PASSES = 3
-BUCKET_DIGITS = 2
+# Copies of one row are written in runs of at most so many.
+RUN = 4096
 
 
 def ranked_sources(sizes: DataFrame, label: str = "mix-sources") -> DataFrame:
@@ -88,55 +96,84 @@ def mix(
     cap: int = CAP,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken (words)."""
+    """One row per document: doc_id, source, digest, size, source_size, target, whole (repetitions), part (words
+    of the fractional repetition), taken (words). `digest` is a hash of the text."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes"
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), _digest(text_col))
+    # The number tells equal rows apart; it is fixed by writing it.
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = materialize(water_fill(ranked_sources(sizes), weights, cap), "mix-plan")
+    plan = plan.select(F.col("source").alias("plan_source"), "rank", "source_size", "target")
+    rows = rows.join(broadcast_if_small(plan, 96), F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    plan_src = plan.select(F.col("source").alias("plan_source"), "rank", "source_size", "target")
-    rows = rows.join(broadcast_if_small(plan_src, 96), F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
-    repeats = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
-    rows = rows.withColumns({"key": key, "whole": F.coalesce(repeats, F.lit(0)).cast("bigint"), "extra": F.lit(0)})
-    gaps = plan.select("rank", (F.col("target") - repeats * F.col("source_size")).alias("gap"))
-    for at in range(1, PASSES + 1):
-        rows = materialize(_fill(rows, gaps, at), f"mix-pass{at}")
-        spent = rows.filter(F.col("extra") == at).groupBy("rank").agg(F.sum("size").alias("spent"))
-        left = F.col("gap") - F.coalesce(F.col("spent"), F.lit(0))
-        gaps = materialize(gaps.join(spent, "rank", "left").select("rank", left.alias("gap")), f"mix-gaps{at}")
-    copies = F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)
-    taken = copies * F.col("size")
-    return rows.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), taken.alias("taken")
-    )
-
-
-def _fill(rows: DataFrame, gaps: DataFrame, mark: int) -> DataFrame:
-    """Give a further copy to open documents, in seeded order, as long as the sum fits the gap."""
-    rows = rows.join(broadcast_if_small(gaps, 16), "rank", "left").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    is_open = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
-    rows = rows.withColumn("part", F.when(is_open, F.col("size")).otherwise(0))
-    earlier = W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = rows.groupBy("rank", "bucket").agg(F.sum("part").alias("s"))
-    sums = sums.select("rank", "bucket", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
-    # Rows that share key and id are peers of the frame, so they are taken together.
-    inside = F.sum("part").over(W.partitionBy("rank", "bucket").orderBy("key", "doc_id"))
-    # Deal by bucket before the window: dealt by source alone, a hot source would be one task.
-    rows = rows.repartition("rank", "bucket").withColumn("inside", inside).join(sums, ["rank", "bucket"])
-    fits = (F.col("part") > 0) & (F.col("before") + F.col("inside") <= F.col("gap"))
-    return rows.withColumn("extra", F.when(fits, F.lit(mark)).otherwise(F.col("extra"))).drop(
-        "gap", "bucket", "part", "inside", "before"
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("bigint")
+    gap = F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("bigint")
+    order = ["key", "doc_id", "size", "digest", "row"]
+    rows = rows.withColumns({"key": key, "whole": whole}).withColumn("gap", gap)
+    ranged = rows.repartitionByRange("rank", *order).withColumn("at", F.spark_partition_id())
+    ranged = materialize(ranged, "mix-order")
+    earlier = W.partitionBy("rank").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy("rank", "at").agg(F.sum("size").alias("s"))
+    sums = sums.select("rank", "at", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
+    inside = F.sum("size").over(W.partitionBy("rank", "at").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    # One row per partition and source: broadcast as long as that is small.
+    sums = broadcast_if_small(materialize(sums, "mix-sums"), 16)
+    summed = ranged.withColumn("inside", inside).join(sums, ["rank", "at"])
+    left = F.col("gap") - F.col("before") - F.col("inside") + F.col("size")
+    part = F.greatest(F.lit(0), F.least("size", left)).cast("bigint")
+    return summed.withColumn("part", part).select(
+        "doc_id", "source", "digest", "size", "source_size", "target", "whole", "part",
+        (F.col("whole") * F.col("size") + F.col("part")).alias("taken"),
+    )
+
+
+def _digest(text_col: str) -> Column:
+    return F.xxhash64(text_col).alias("digest")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        ends = (next(islice(re.finditer(WORD, t), k - 1, None)).end() for t, k in zip(texts, counts))
+        return pd.Series([t[:end] for t, end in zip(texts, ends)], dtype=object)
+
+    return cut(text, n)
+
+
+def repeated(
+    docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """The documents as `mix` repeats them, with all their columns; the text of a partial copy is cut."""
+    same = ["doc_id", "source", "digest", "size"]
+    units = decisions.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("words"), F.max("whole").alias("whole"))
+    full = (F.col("words") == F.col("n") * F.col("size")) & (F.col("words") > 0)
+    units = units.withColumn("copies", F.col("whole") + F.when(full, 1).otherwise(0))
+    # At most one unit of a source is taken in part.
+    rest = F.when(full, 0).otherwise(F.col("words"))
+    units = units.filter("copies > 0 OR words > 0").select(
+        F.struct("doc_id", "source", "digest").alias("__unit"), F.col("copies").alias("__copies"), F.col("size").alias("__size"), rest.alias("__rest")
     )
-
-
-def repeated(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The documents as the mix repeats them: `copies` rows each, with all their columns."""
-    per_id = decisions.filter(F.col("copies") > 0).groupBy("doc_id", "source").agg(F.max("copies").alias("__copies"))
-    per_id = per_id.withColumnsRenamed({"doc_id": "__mix_id", "source": "__mix_source"})
-    same = docs[id_col].eqNullSafe(F.col("__mix_id")) & docs[source_col].eqNullSafe(F.col("__mix_source"))
-    joined = docs.join(per_id, same)
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
-        *docs.columns
+    units = materialize(units, "mix-units")
+    on = (
+        docs[id_col].eqNullSafe(F.col("__unit.doc_id"))
+        & docs[source_col].eqNullSafe(F.col("__unit.source"))
+        & (F.xxhash64(docs[text_col]) == F.col("__unit.digest"))
     )
+    mine = [docs[c] for c in docs.columns]
+    joined = docs.join(units.filter("__copies > 0"), on)
+    copies = joined.select(*mine, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    # The further copies of a unit taken in part: whole ones in runs, and one that is cut.
+    some = small_side(units.filter("__rest > 0"))
+    ends = docs.join(some, on).select("__unit", "__size", "__rest", F.struct(*mine).alias("__row"))
+    ends = materialize(ends.groupBy("__unit", "__size", "__rest").agg(F.first("__row").alias("__row")), "mix-ends")
+    count = F.floor(F.col("__rest") / F.col("__size"))
+    runs = ends.withColumn("__n", count).filter("__n > 0").withColumn("__run", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / RUN))))
+    last = F.least(F.lit(RUN), F.col("__n") - F.col("__run") * RUN)
+    further = runs.withColumn("__k", F.explode(F.sequence(F.lit(1), last.cast("int")))).select("__row.*")
+    cut = ends.withColumn("__n", F.col("__rest") % F.col("__size")).filter("__n > 0").select("__row", "__n")
+    text = first_words(F.col("__row")[text_col], F.col("__n"))
+    cut = cut.select(*[text.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns])
+    return copies.union(further).union(cut)

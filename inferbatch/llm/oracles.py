@@ -1,7 +1,7 @@
 """Comparison SQL (DuckDB) of the operators SQL can express."""
 
 from inferbatch.llm.exact_dedup import UPPER
-from inferbatch.llm.mixing import CAP, PASSES, SEED
+from inferbatch.llm.mixing import CAP, SEED
 
 _NORM = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
@@ -13,16 +13,6 @@ FROM t JOIN g ON t.norm = g.norm
 """
 
 
-def _pass(at: int) -> str:
-    before = f"p{at - 1}" if at > 1 else "p0"
-    return f"""
-o{at} AS (SELECT *, CASE WHEN extra = 0 AND size > 0 AND size <= gap THEN size ELSE 0 END AS part FROM {before}),
-f{at} AS (SELECT *, part > 0 AND sum(part) OVER (PARTITION BY rank ORDER BY key, doc_id) <= gap AS fits FROM o{at}),
-p{at} AS (SELECT doc_id, rank, size, source_size, target, key, whole,
-  CASE WHEN fits THEN {at} ELSE extra END AS extra,
-  gap - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY rank) AS gap FROM f{at})"""
-
-
 MIXING = f"""
 WITH d AS (SELECT doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
@@ -35,13 +25,13 @@ c AS (SELECT *, sum(most) OVER q AS held, sum(weight) OVER q AS used,
 l AS (SELECT (total - coalesce(held, 0))::DOUBLE / (weights - coalesce(used, 0))::DOUBLE AS level, most, weight, rank FROM c),
 v AS (SELECT level FROM l WHERE most >= level * weight ORDER BY most / weight, rank LIMIT 1),
 t AS (SELECT w.*, least(most::DOUBLE, (SELECT level FROM v) * weight) AS target FROM w),
-p0 AS (SELECT d.doc_id, t.rank, d.size, t.source_size, t.target,
+p AS (SELECT d.doc_id, t.rank, d.size, t.source_size, t.target,
     md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, 'null')) AS key,
-    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole, 0 AS extra,
-    CASE WHEN source_size > 0 THEN target - floor(target / source_size) * source_size END AS gap
+    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-{",".join(_pass(k) for k in range(1, PASSES + 1))}
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN extra > 0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM p{PASSES}
+g AS (SELECT *, floor(target - whole * source_size + 0.5)::BIGINT AS gap,
+    sum(size) OVER (PARTITION BY rank ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM p)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, gap - upto + size)))::BIGINT AS taken FROM g
 """
 
 WARC = """
