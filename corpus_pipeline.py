@@ -42,29 +42,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as the mix of sources takes them."""
+    """Documents repeated as the mix of sources takes them; a partial copy counts its own characters."""
     apply_defaults(spark)
-    return mixing.repeated(docs, mixing.mix(docs))
-
-
-def token_digests(docs: DataFrame) -> DataFrame:
-    """Token count and digests of the ids and of the decoded bytes, per document."""
-    path = public_tokenizers.path(RANKS)
-    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    both = bpe.decode(ids, path, public_tokenizers.PATTERN)
-    decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    mixed = mixing.repeated(docs, mixing.mix(docs))
+    return mixed.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), "n_chars")).select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token digests of every row of the mix."""
     apply_defaults(spark)
-    return token_digests(docs)
+    return bpe.token_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 STAGES = [
