@@ -1,5 +1,6 @@
 """Training-data operators against brute force and on their defined edge cases."""
 
+import gzip
 import hashlib
 import io
 import random
@@ -31,6 +32,7 @@ from inferbatch.llm import (
     url_filter,
     warc_zip,
 )
+from inferbatch.session import scratch_path
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -347,6 +349,72 @@ def test_warc_round_trip_edges(spark):
         ("None", "revisit", 1, 160)]
     assert all(r.payload is None or hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in got)
     assert warc_zip.round_trip(spark, pages.limit(0)).count() == 0
+    assert sorted(((r.page_id or -1), r.url, r.payload_digest) for r in got) == sorted(
+        ((i or -1), u or "", hashlib.sha256((h or "").encode()).hexdigest()) for i, u, h in rows
+    )
+    # Repeated payloads that are too many to send around.
+    narrow = warc_zip.with_revisits(pages, most=0).collect()
+    assert sorted(str((r.page_id, r.refers_to)) for r in narrow) == sorted(str((r.page_id, r.refers_to)) for r in got)
+
+
+URLS = ["", " ", "a b", "ü b%20", "%", "http://x/\r\nWARC-Type: y", "x\ty ", "http://x/?q=1#f", "\x85", "plain"]
+
+
+def test_warc_members_archives_and_chunks(spark):
+    rows = [(i, URLS[i % len(URLS)], f"page {i} " + "x" * (i * 37 % 900)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    written = warc_zip.with_revisits(pages).coalesce(1)
+    manifest = warc_zip.write_archives(written, scratch_path(spark, "t"), roll_bytes=30_000, member_bytes=7_000)
+    paths = [r.path for r in manifest.collect()]
+    assert len(paths) > 1
+    store, name = warc_zip.filesystem(paths[0])
+    with store.open_input_file(name) as file:
+        members = warc_zip.directory(file)
+        chunks = list(warc_zip.places(file, chunk_bytes=2_000))
+    assert sum(m.startswith("archive/") for m in members) > 1 and len(chunks) > len(members)
+    read = warc_zip.read_records(manifest, chunk_bytes=2_000)
+    assert read.rdd.getNumPartitions() > 1
+    got = {r.page_id: (r.url, r.payload.decode()) for r in read.collect()}
+    assert got == {i: (u, h) for i, u, h in rows}
+
+
+def foreign_archive(lines, data, packed):
+    """An archive as others write it: data by its bare name, a packed index that is ordered by key."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, content in data.items():
+            z.writestr(zipfile.ZipInfo(f"archive/{name}"), content)
+        text = "!meta {}\n" + "".join(lines)
+        z.writestr(zipfile.ZipInfo("indexes/index.cdx.gz" if packed else "indexes/index.cdx"), gzip.compress(text[:9].encode()) + gzip.compress(text[9:].encode()) if packed else text)
+        z.writestr(zipfile.ZipInfo("pages/pages.jsonl"), "{}")
+    return pa.BufferReader(out.getvalue())
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_places_follow_the_index_of_several_members(packed, monkeypatch):
+    monkeypatch.setattr(warc_zip, "INDEX_PIECE", 16)
+    data = {"a.warc.gz": b"A" * 10 + b"B" * 5, "b.warc.gz": b"C" * 7}
+    place = '{{"filename": "{}", "offset": "{}", "length": "{}"}}'
+    lines = [f"z 1 {place.format('b.warc.gz', 0, 7)}\n", f"b 1 {place.format('a.warc.gz', 10, 5)}\n", f"a 1 {place.format('archive/a.warc.gz', 0, 10)}"]
+    file = foreign_archive(lines, data, packed)
+    found = [bytes(file.read_at(n, start + sum(lengths[:k]))) for start, lengths in warc_zip.places(file) for k, n in enumerate(lengths)]
+    assert found == [b"A" * 10, b"B" * 5, b"C" * 7]
+    for bad in (place.format("a.warc.gz", 10, 6), place.format("none.warc.gz", 0, 1)):
+        with pytest.raises(warc_zip.FormatError):
+            list(warc_zip.places(foreign_archive([f"a 1 {bad}"], data, packed)))
+
+
+def test_warc_cut_records_and_packed_members_raise():
+    data = warc_zip.record(1, "u", b"x" * 50, "d", None)
+    assert warc_zip.parse_record(data)["payload"] == b"x" * 50
+    for cut in (data[:-30], data[:20], b""):
+        with pytest.raises(warc_zip.FormatError):
+            warc_zip.parse_record(cut)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/data.warc.gz", "x" * 1000)
+    with pytest.raises(warc_zip.FormatError):
+        warc_zip.directory(pa.BufferReader(out.getvalue()))
 
 
 def test_zip_directories(monkeypatch):
