@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ...functions import values as V
@@ -11,7 +12,8 @@ from ...session import scratch_path
 from ...sources import requests as src
 from ...sources import streams as feeds
 from ...streaming import operators as X
-from ...streaming.sinks import append_table, finish, newest, read_batches
+from ...streaming import stateful
+from ...streaming.sinks import append_table, each_batch, finish, newest, read_batches, write_batch
 from .. import views
 from . import query
 from .ingest import gateways
@@ -33,9 +35,8 @@ def stream_progress(spark, d):
     root = scratch_path(spark, "progress")
     results = res.to_results(views.outcomes_of(views.stream(spark, d, "lineitem")))
     finish(X.progress_stream(results, root, interval=None))
-    schema = "job_id string, total long, completed long, failed long, last_ts long, batch int"
-    now = newest(read_batches(spark, f"{root}/data", schema), ["job_id"])
-    return X.live_progress(now, 978307200, ttl=86400 * 365)
+    slots = newest(read_batches(spark, f"{root}/data", f"{X.SLOTTED}, batch int"), ["job_id", "slot"])
+    return X.live_progress(slots, 978307200, ttl=86400 * 365)
 
 
 def event_stream(spark, d):
@@ -232,25 +233,47 @@ def stream_result_messages(spark, d):
 
 @query(
     "stream_events",
-    """SELECT 'job_' || (user_id % 50) AS job_id, min(epoch(ts)::BIGINT) AS first_ts, count(*)::BIGINT AS events
-       FROM events WHERE event_type = 'click' AND epoch(ts)::BIGINT + 864000 > 1706400000 GROUP BY 1""".replace(
-        "epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"
-    ),
+    """SELECT 'job_' || user_id AS job_id, event_type AS type, min(floor(epoch(ts))::BIGINT) AS first_ts, count(*)::BIGINT AS events
+       FROM events WHERE floor(epoch(ts))::BIGINT + 864000 > 1706400000 GROUP BY 1, 2""",
 )
 def stream_events(spark, d):
-    """Cancel events from JSON files as a stream; those past their time to live do not count."""
-    e = views.table(spark, d, "events").filter("event_type = 'click'")
+    """Job events of every type from JSON files as a stream; those past their time to live do not count."""
     feed, root = scratch_path(spark, "events"), scratch_path(spark, "live")
-    e.select(
-        F.concat(F.lit("job_"), (F.col("user_id") % 50).cast("string")).alias("job_id"),
-        F.lit("cancel").alias("type"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"),
-        F.lit(864000).cast("long").alias("ttl"),
-    ).write.json(feed)
+    job_events(spark, d).drop("seq").write.json(feed)
     live = feeds.live_events(feeds.read_events_stream(spark, feed), 1706400000)
     finish(append_table(live, root))
-    out = spark.read.schema("job_id string, ts long").parquet(f"{root}/data")
-    return out.groupBy("job_id").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("events"))
+    out = spark.read.schema("job_id string, type string, ts long").parquet(f"{root}/data")
+    return out.groupBy("job_id", "type").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("events"))
+
+
+def job_events(spark, d):
+    """The events table as job events; each job numbers its own from 1."""
+    own = W.partitionBy("user_id").orderBy("event_id")
+    return views.table(spark, d, "events").select(
+        F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("job_id"),
+        F.col("event_type").alias("type"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"),
+        F.lit(864000).cast("long").alias("ttl"),
+        F.row_number().over(own).cast("long").alias("seq"),
+    )
+
+
+@query(
+    "stream_events_in_order",
+    """SELECT job_id, seq, event_type AS type, ts, sum(seq) OVER (PARTITION BY job_id ORDER BY seq)::BIGINT AS seen FROM (
+         SELECT 'job_' || user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type,
+                floor(epoch(ts))::BIGINT AS ts FROM events)""",
+)
+def stream_events_in_order(spark, d):
+    """Numbered job events that arrive out of order, in the order they leave the stream: `seen` adds up the numbers."""
+    feed, root = scratch_path(spark, "numbered"), scratch_path(spark, "ordered")
+    job_events(spark, d).orderBy(F.xxhash64("job_id", "seq")).write.json(feed)
+    events = feeds.read_events_stream(spark, feed, numbered=True)
+    act = lambda rows, n: write_batch(rows.withColumn("at", F.monotonically_increasing_id()), f"{root}/data", n)
+    finish(each_batch(stateful.in_order(events, 3600, V.EVENT_TTL), root, act))
+    out = read_batches(spark, f"{root}/data", f"{stateful.ORDERED}, at long, batch int")
+    upto = W.partitionBy("job_id").orderBy("batch", "at").rowsBetween(W.unboundedPreceding, 0)
+    return out.select("job_id", "seq", "type", "ts", F.sum("seq").over(upto).alias("seen"))
 
 
 @query(

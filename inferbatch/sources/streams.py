@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..schemas import EVENT, RESULT_MESSAGE
 
+NUMBERED_EVENT = T.StructType([*EVENT.fields, T.StructField("seq", T.LongType())])
 RESULT_STREAM = T.StructType([*RESULT_MESSAGE.fields, T.StructField("ts", T.TimestampType())])
 
 
@@ -19,9 +20,9 @@ def read_results_stream(spark: SparkSession, path: str, files_per_batch: int | N
     return reader.json(path)
 
 
-def read_events_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Job events (cancel, pause, resume) from JSON lines."""
-    reader = spark.readStream.schema(EVENT)
+def read_events_stream(spark: SparkSession, path: str, files_per_batch: int | None = None, numbered: bool = False) -> DataFrame:
+    """Job events (cancel, pause, resume) from JSON lines; `numbered` ones carry their sequence number per job."""
+    reader = spark.readStream.schema(NUMBERED_EVENT if numbered else EVENT)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(path)

@@ -7,47 +7,68 @@ watermark, and keyed state with event-time timers. Where a batch operator alread
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from ..functions import values as V
 from ..operators import adaptive, ingest, plan
 from ..operators.results import is_success
 from ..session import materialize
 from ..sources.requests import number_lines, with_source
+from . import stateful
 from .sinks import each_batch, upsert_table, write_batch
 
 
 # --- progress ---------------------------------------------------------------------
 
 
-def progress_counts(results: DataFrame) -> DataFrame:
-    """Running total, completed and failed per job, with the time of the last result."""
-    return results.groupBy("job_id").agg(
+SLOTTED = "job_id string, slot timestamp, total long, completed long, failed long, first_ts long, last_ts long"
+
+
+def progress_counts(results: DataFrame, ttl: float = V.PROGRESS_TTL, clock: Column | None = None) -> DataFrame:
+    """Running total, completed and failed per job and slot, with the times of the first and the last result.
+
+    A slot is a time to live by the clock of arrival (or a `clock` of the caller's, a timestamp). Its state is dropped
+    when the slot is over, so state does not outlive the jobs that made it; `live_progress` joins
+    the slots of a job. Counts are combined before the shuffle, so a hot job is no hot task.
+    """
+    arrived = results.withColumn("__at", F.current_timestamp() if clock is None else clock).withWatermark("__at", "0 seconds")
+    slot = F.window("__at", f"{max(1, round(ttl * 1000))} milliseconds").alias("w")
+    counts = arrived.groupBy("job_id", slot).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(is_success()).alias("completed"),
         F.count_if(~is_success()).alias("failed"),
+        F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
+    return counts.select("job_id", F.col("w.start").alias("slot"), "total", "completed", "failed", "first_ts", "last_ts")
 
 
-def progress_stream(results: DataFrame, root: str, interval: str | None = "1 second") -> StreamingQuery:
+def progress_stream(
+    results: DataFrame, root: str, interval: str | None = "1 second", ttl: float = V.PROGRESS_TTL, clock: Column | None = None
+) -> StreamingQuery:
     """Push changed progress at most once per interval; the last batch is the final push.
 
     `interval=None` processes what is there and stops.
     """
     trigger = {"processingTime": interval} if interval else None
-    return upsert_table(progress_counts(results), root, "update", trigger)
+    return upsert_table(progress_counts(results, ttl, clock), root, "update", trigger)
 
 
-def live_progress(progress: DataFrame, now: int, ttl: int = V.PROGRESS_TTL) -> DataFrame:
-    """Progress that was updated within its time to live (seconds)."""
-    return progress.filter(F.col("last_ts") + ttl > now)
+def live_progress(slots: DataFrame, now: int, ttl: int = V.PROGRESS_TTL) -> DataFrame:
+    """Progress per job that was updated within its time to live (seconds), from the newest rows of its slots.
+
+    A job that was silent for longer than its time to live started afresh: only what came after counts.
+    """
+    own = W.partitionBy("job_id").orderBy("slot")
+    before = F.max("last_ts").over(own.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.when(F.col("first_ts") - before > ttl, F.col("slot"))
+    begin = F.max("fresh").over(W.partitionBy("job_id"))
+    joined = slots.withColumn("fresh", fresh).withColumn("begin", begin).filter("begin IS NULL OR slot >= begin")
+    sums = [F.sum(c).cast("long").alias(c) for c in ("total", "completed", "failed")]
+    return joined.groupBy("job_id").agg(*sums, F.max("last_ts").alias("last_ts")).filter(F.col("last_ts") + ttl > now)
 
 
 # --- results ----------------------------------------------------------------------
@@ -61,12 +82,16 @@ def dedupe_results(results: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     return results.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def correlate_stream(requests: DataFrame, results: DataFrame, delay: str) -> DataFrame:
+# Fixed for the life of a checkpoint; some hundred open requests a bucket are a good number.
+BUCKETS = 1024
+
+
+def correlate_stream(requests: DataFrame, results: DataFrame, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """Each request with the time of its first result, or `batch_expired` at its deadline.
 
     `requests` has request_id (unique), ts and deadline (timestamps), `results` has request_id
-    and res_ts. Each open request is one row of state with its own event-time timer, so any
-    deadline is kept, however far off. A result counts from the request's time up to its
+    and res_ts. Open requests are the state of hash buckets, each with an event-time timer at the first
+    deadline, so any deadline is kept, however far off. A result counts from the request's time up to its
     deadline; it may arrive before the request. Once answered or expired, a request's state is
     gone; later repeats and results of unknown requests wait until the watermark has passed
     them and drop out. A request without a deadline stays open until it is answered.
@@ -75,12 +100,8 @@ def correlate_stream(requests: DataFrame, results: DataFrame, delay: str) -> Dat
     asked = requests.select("request_id", F.col("ts").alias("at"), "deadline", F.lit(True).alias("asked"))
     came = results.select("request_id", F.col("res_ts").alias("at"), none.alias("deadline"), F.lit(False).alias("asked"))
     both = asked.withWatermark("at", delay).unionByName(came.withWatermark("at", delay))
-    micros = [F.unix_micros(c).alias(c) for c in ("at", "deadline")]
-    rows = both.select("request_id", F.col("at").alias("event_time"), *micros, "asked")
-    kept = "ts long, deadline long, came array<long>"
-    out = rows.groupBy("request_id").applyInPandasWithState(
-        _settle, "request_id string, ts long, deadline long, res_ts long", kept, "append", "EventTimeTimeout"
-    )
+    rows = both.select("request_id", "at", F.unix_micros("at").alias("micros"), F.unix_micros("deadline").alias("deadline"), "asked")
+    out = stateful.settled(rows, buckets)
     times = [F.timestamp_micros(c).alias(c) for c in ("ts", "deadline", "res_ts")]
     open_ = F.col("res_ts").isNull()
     return out.select("request_id", *times).withColumns(
@@ -91,39 +112,6 @@ def correlate_stream(requests: DataFrame, results: DataFrame, delay: str) -> Dat
     )
 
 
-def _settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One request: answered by its first result in time, else expired by its timer.
-
-    Times are microseconds; timers count milliseconds and fire once the watermark is past them.
-    """
-    ts, deadline, came = state.get if state.exists else (None, None, [])
-    came = list(came)
-    if not state.hasTimedOut:
-        for batch in batches:
-            for at, until, asked in zip(batch["at"], batch["deadline"], batch["asked"]):
-                if asked:
-                    ts, deadline = int(at), None if pd.isna(until) else int(until)
-                else:
-                    came.append(int(at))
-    if ts is not None:
-        in_time = [c for c in came if ts <= c and (deadline is None or c <= deadline)]
-        if in_time or state.hasTimedOut:
-            if state.exists:
-                state.remove()
-            found = pd.array([min(in_time) if in_time else None], "Int64")
-            yield pd.DataFrame({"request_id": [key[0]], "ts": [ts], "deadline": pd.array([deadline], "Int64"), "res_ts": found})
-            return
-    elif state.hasTimedOut:
-        state.remove()
-        return
-    # Results outside the time of a known request cannot count any more.
-    waiting = [] if ts is not None else sorted(set(came))
-    state.update((ts, deadline, waiting))
-    until = deadline if ts is not None else waiting[-1]
-    if until is not None:
-        state.setTimeoutTimestamp(max(-(-until // 1000), state.getCurrentWatermarkMs()) + 1)
-
-
 def fan_out(results: DataFrame, requests: DataFrame) -> DataFrame:
     """Results of one shared stream with the job they belong to.
 
@@ -171,8 +159,8 @@ def aimd_stream(
 # --- stop causes ------------------------------------------------------------------
 
 
-def first_causes(events: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The first cause that stops each job: cancelled, shutdown or expired.
+def causes(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Each event as a cause to stop its job: job_id, ts and cause.
 
     `events` has job_id, cause and ts (seconds); `jobs` has job_id and deadline (microseconds,
     0 for none). A deadline that passed before an event is the earlier cause.
@@ -182,14 +170,21 @@ def first_causes(events: DataFrame, jobs: DataFrame) -> DataFrame:
     passed = F.coalesce(F.col("__deadline") <= F.col("ts") * 1000000, F.lit(False))
     at = F.when(passed, F.floor(F.col("__deadline") / 1000000).cast("long")).otherwise(F.col("ts"))
     cause = F.when(passed, F.lit("expired")).otherwise(F.col("cause"))
-    return joined.groupBy("job_id").agg(F.min(F.struct(at.alias("ts"), cause.alias("cause"))).alias("first")).select(
-        "job_id", "first.ts", "first.cause"
-    )
+    return joined.select("job_id", at.alias("ts"), cause.alias("cause"))
+
 
+def first_causes(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The first cause that stops each job: cancelled, shutdown or expired."""
+    first = F.min(F.struct("ts", "cause")).alias("first")
+    return causes(events, jobs).groupBy("job_id").agg(first).select("job_id", "first.ts", "first.cause")
 
-def cause_stream(events: DataFrame, jobs: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the first cause per job up to date as events arrive."""
-    return upsert_table(first_causes(events, jobs), root, "update", trigger)
+
+def cause_stream(
+    events: DataFrame, jobs: DataFrame, root: str, trigger: dict | None = None, ttl: float = V.EVENT_TTL
+) -> StreamingQuery:
+    """Keep the first cause per job up to date as events arrive; a job is forgotten `ttl` seconds after its last change."""
+    rows = stateful.partial_causes(causes(events, jobs))
+    return upsert_table(stateful.live_causes(rows, ttl), root, "update", trigger)
 
 
 # --- rates ------------------------------------------------------------------------

@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from inferbatch.operators import adaptive as A
 from inferbatch.sources import streams as feeds
 from inferbatch.streaming import operators as X
-from inferbatch.streaming.sinks import append_table, finish, newest, read_batches
+from inferbatch.streaming.sinks import append_table, each_batch, finish, newest, read_batches, upsert_table, write_batch
 
 ORDER = ["ts", "id"]
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 SIGNAL = "endpoint string, ts long, id string, signal string"
 
 
@@ -39,10 +49,87 @@ def test_progress_accumulates_over_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed)
     finish(X.progress_stream(stream, root, interval=None))
-    rows = read_batches(spark, f"{root}/data", "job_id string, total long, completed long, failed long, last_ts long, batch int")
-    got = {r.job_id: (r.total, r.completed, r.failed) for r in newest(rows, ["job_id"]).collect()}
+    rows = newest(read_batches(spark, f"{root}/data", f"{X.SLOTTED}, batch int"), ["job_id", "slot"])
+    got = {r.job_id: (r.total, r.completed, r.failed) for r in X.live_progress(rows, 0).collect()}
     assert got == {"j": (9, 3, 6), "k0": (1, 1, 0), "k1": (1, 1, 0), "k2": (1, 1, 0)}
-    assert {r.job_id for r in X.live_progress(newest(rows, ["job_id"]), 10, ttl=9).collect()} == {"j", "k2"}
+    assert {r.job_id for r in X.live_progress(rows, 10, ttl=9).collect()} == {"j", "k2"}
+
+
+def run_batches(spark, tmp_path, schema, files, start):
+    """Run a stream file by file and return the state rows after each batch."""
+    feed = str(tmp_path / "feed")
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+    query = start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed))
+    finish(query, 120)
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+SECONDS = F.timestamp_seconds  # the tests' clock: a column of seconds
+
+
+def test_progress_state_expires_and_a_late_result_starts_afresh(spark, tmp_path):
+    schema, root = "job_id string, ts long, response struct<status_code:int>", str(tmp_path / "out")
+    files = [[(f"j{n}-{k}", n * 100, (200,)) for k in range(20)] + [("back", n * 100, (500,))] * (n in (1, 2, 5)) for n in range(1, 7)]
+
+    rows = run_batches(spark, tmp_path, schema, files, lambda s: X.progress_stream(s, root, None, 150, SECONDS("ts")))
+    # A file brings 20 jobs; those of the slots that are over are gone.
+    assert max(rows) <= 62 and rows[-1] <= 41, rows
+    slots = newest(read_batches(spark, f"{root}/data", f"{X.SLOTTED}, batch int"), ["job_id", "slot"])
+    # Two slots of a job that was never silent add up; one that came back after its time to live starts afresh.
+    early = X.live_progress(slots.filter("last_ts < 500"), 0, ttl=150).filter("job_id = 'back'").first()
+    late = X.live_progress(slots, 0, ttl=150).filter("job_id = 'back'").first()
+    assert early.asDict() == {"job_id": "back", "total": 2, "completed": 0, "failed": 2, "last_ts": 200}
+    assert late.asDict() == {"job_id": "back", "total": 1, "completed": 0, "failed": 1, "last_ts": 500}
+    assert {r.job_id for r in X.live_progress(slots, 700, ttl=150).collect()} == {f"j6-{k}" for k in range(20)}
+
+
+def test_stop_causes_expire(spark, tmp_path):
+    schema, root = "job_id string, cause string, ts long", str(tmp_path / "out")
+    jobs = spark.createDataFrame([("a", 0), ("b", 7_000_000)], "job_id string, deadline long")
+    files = [[("a", "cancelled", 10), ("a", "shutdown", 5), ("b", "cancelled", 9)], [("a", "cancelled", 8), ("b", "shutdown", 6), (None, "cancelled", 11)], [("a", "shutdown", 300)]]
+    arrival = F.when(F.col("ts").isin(5, 7), 20).when(F.col("ts") == 300, 320).otherwise(30)
+    start = lambda s: upsert_table(X.stateful.live_causes(X.stateful.partial_causes(X.causes(s, jobs)), 60, SECONDS(arrival)), root)
+    rows = run_batches(spark, tmp_path, schema, files, start)
+    batches = read_batches(spark, f"{root}/data", "job_id string, ts long, cause string, batch int").collect()
+    got = sorted((str(r.job_id), r.ts, r.cause) for r in batches)
+    assert got == [("None", 11, "cancelled"), ("a", 5, "shutdown"), ("a", 300, "shutdown"), ("b", 6, "shutdown"), ("b", 7, "expired")]
+    assert rows[1] >= 3 and rows[-1] == 1
+
+
+def numbered(job, seq, kind, at=1):
+    return (job, kind, at, 0, seq)
+
+
+NUMBERED = "job_id string, type string, ts long, ttl long, seq long"
+
+
+def released(spark, tmp_path, files, patience):
+    root = str(tmp_path / "out")
+    act = lambda df, n: write_batch(df.withColumn("at", F.monotonically_increasing_id()), f"{root}/data", n)
+    run_batches(spark, tmp_path, NUMBERED, files, lambda s: each_batch(X.stateful.in_order(s, patience, 3600, SECONDS("ts")), root, act))
+    rows = read_batches(spark, f"{root}/data", f"{X.stateful.ORDERED}, at long, batch int").orderBy("batch", "at").collect()
+    per_job = {}
+    for r in rows:
+        per_job.setdefault(r.job_id, []).append((r.seq, r.type))
+    return per_job
+
+
+def test_events_come_out_in_the_order_of_their_job(spark, tmp_path):
+    files = [
+        [numbered("a", 3, "cancel"), numbered("a", 1, "pause"), numbered("b", 2, "resume")],
+        [numbered("b", 1, "pause", 2), numbered("a", 1, "pause", 2), numbered("c", 2, "cancel", 2), numbered(None, 1, "cancel", 2), numbered("d", None, "cancel", 2)],
+        [numbered("a", 2, "resume", 3), numbered("b", 2, "resume", 3), numbered("a", 4, "resume", 3)],
+    ]
+    # The cancellation waits for the resumption before it; what was never numbered or is still awaited stays away.
+    assert released(spark, tmp_path, files, 600) == {"a": [(1, "pause"), (2, "resume"), (3, "cancel"), (4, "resume")], "b": [(1, "pause"), (2, "resume")]}
+
+
+def test_a_lost_event_holds_the_others_for_a_while_only(spark, tmp_path):
+    files = [[numbered("a", 2, "pause"), numbered("a", 5, "cancel")], [numbered("z", 1, "cancel", 30)], [numbered("z", 2, "cancel", 31)],
+             [numbered("a", 1, "late", 40), numbered("a", 3, "resume", 40)], [numbered("a", 4, "resume", 41)]]
+    # Number 1 is given up after a while; 2 goes, then 3 to 5 as soon as 3 and 4 have come.
+    assert released(spark, tmp_path, files, 20)["a"] == [(2, "pause"), (3, "resume"), (4, "resume"), (5, "cancel")]
 
 
 def test_repeated_results_and_foreign_ones_drop_out(spark, tmp_path):
