@@ -72,7 +72,7 @@ def query_items(
     if ids:
         conditions.append(F.col("id").isin(*ids))
     if tenant:
-        conditions.append(F.col("tenant_id") == tenant)
+        conditions.append(of_tenant(df, tenant))
     if tags:
         hits = [F.coalesce(F.try_element_at("tags", F.lit(k)) == v, F.lit(False)) for k, v in tags.items()]
         conditions.append(S.any_of(hits) if any_tag else S.all_of(hits))
@@ -83,7 +83,7 @@ def query_items(
     if processor:
         conditions.append(F.col("processor_id") == processor)
     if non_terminal:
-        conditions.append(~is_terminal())
+        conditions.append(~is_terminal() & F.col("open") if "open" in df.columns else ~is_terminal())
     if has_processor:
         conditions.append(F.col("processor_id").isNotNull())
     kept = df.filter(S.all_of(conditions)) if conditions else df.limit(0)
@@ -92,11 +92,20 @@ def query_items(
 
 def for_tenant(df: DataFrame, tenant: str) -> DataFrame:
     """What a tenant can see: rows of others do not exist for it."""
-    return df.filter(F.col("tenant_id") == tenant)
+    return df.filter(of_tenant(df, tenant))
+
+
+def of_tenant(df: DataFrame, tenant: str) -> Column:
+    """The tenant's rows; in a bucketed table its bucket too, which the scan prunes by."""
+    mine = F.col("tenant_id") == tenant
+    if "tenant_bucket" not in df.columns:
+        return mine
+    buckets = df.schema["tenant_bucket"].metadata["buckets"]
+    return mine & (F.col("tenant_bucket") == F.pmod(F.xxhash64(F.lit(tenant)), F.lit(buckets)).cast("int"))
 
 
 def queued(jobs: DataFrame) -> DataFrame:
-    return jobs.filter(is_queued())
+    return jobs.filter(is_queued() & F.col("open") if "open" in jobs.columns else is_queued())
 
 
 def queued_ids(jobs: DataFrame) -> DataFrame:
@@ -118,11 +127,26 @@ def page(df: DataFrame, start: int, limit: int, near: int = NEAR_ROWS) -> DataFr
     else:
         numbered = number_rows(df, [], ["id"], "__row")
         rows = numbered.filter(F.col("__row").between(start + 1, start + limit + 1)).drop("__row")
+    return _with_more(rows, limit)
+
+
+def page_after(df: DataFrame, last: str | None, limit: int) -> DataFrame:
+    """The `limit` rows behind the id `last` (NULL: from the start) by ascending id, with `has_more` on each row.
+
+    The last id of a page is where the next one starts: the scan skips what lies before it, every task holds
+    a top-k of one page, and the cost of a page does not grow with its distance from the start.
+    """
+    behind = df if last is None else df.filter(F.col("id") > last)
+    return _with_more(behind.orderBy("id").limit(limit + 1), limit)
+
+
+def _with_more(rows: DataFrame, limit: int) -> DataFrame:
+    """Leave out the row beyond the page, which only tells that there is more."""
     whole = W.partitionBy(F.lit(0))  # at most limit + 1 rows
     marked = rows.withColumns(
         {"has_more": F.count(F.lit(1)).over(whole) > limit, "__last": F.max("id").over(whole)}
     )
-    return marked.filter(~F.col("has_more") | (F.col("id") != F.col("__last"))).select(*df.columns, "has_more")
+    return marked.filter(~F.col("has_more") | (F.col("id") != F.col("__last"))).select(*rows.columns, "has_more")
 
 
 def list_limit(limit: int | None, top: int) -> int:

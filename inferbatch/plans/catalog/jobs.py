@@ -11,6 +11,7 @@ from ...operators import lifecycle as L
 from ...operators import results as res
 from ...schemas import JOB, JOB_STATUS
 from ...session import scratch_path
+from ...sources import buckets
 from ...sources import requests as src
 from ...sources import tables as tab
 from .. import views
@@ -422,6 +423,18 @@ def page_deep(spark, d):
     return J.page(ids, 45000, 50, near=10_000)
 
 
+@query(
+    "page_after",
+    """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, count(*) OVER () > 50 AS has_more
+       FROM lineitem WHERE l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey > '5' ORDER BY 1 LIMIT 50""",
+)
+def page_after(spark, d):
+    """The page behind the last id of the one before, however far into the table."""
+    li = views.table(spark, d, "lineitem")
+    ids = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"))
+    return J.page_after(ids, "5", 50)
+
+
 def job_queue(spark, d):
     """Queue entries: every job, and entries whose job row is gone."""
     j = views.jobs(spark, d).select("id", F.col("priority").alias("deadline"))
@@ -519,7 +532,16 @@ def apply_updates(spark, d):
     return out.select("id", *state(out, "status"), F.col("tags")["tier"].alias("tier"))
 
 
+def job_table(spark, d):
+    """The jobs as a table laid out by tenant and state class."""
+    return buckets.create(spark, scratch_path(spark, "job-table"), JOB).append(views.jobs(spark, d))
+
+
 def fenced(spark, d):
+    return J.cas_update(views.jobs(spark, d), fenced_updates(spark, d))
+
+
+def fenced_updates(spark, d):
     """Updates from a snapshot: a third carries an old epoch, a third an old status, some no job."""
     j = views.jobs(spark, d)
     n = number() % 3
@@ -538,7 +560,7 @@ def fenced(spark, d):
         F.lit(None).cast(JOB_STATUS).alias("new_status"),
         F.lit(False).alias("bump_epoch"),
     )
-    return J.cas_update(j, updates.unionByName(gone))
+    return updates.unionByName(gone)
 
 
 @query(
@@ -566,6 +588,61 @@ def cas_outcomes(spark, d):
     return fenced(spark, d)[1]
 
 
+OF_FEW = "tenant_id IN ('t2', 't5')"
+
+
+@query(
+    "merge_fenced",
+    sql(
+        f"""SELECT id, CASE WHEN k % 3 = 0 AND {OF_FEW} THEN 'failed' ELSE status END AS status,
+              CASE WHEN k % 3 = 0 AND {OF_FEW} THEN epoch + 1 ELSE epoch END AS epoch FROM jobs""",
+        "jobs",
+    ),
+)
+def merge_fenced(spark, d):
+    """Fenced updates of two tenants' jobs merged into the table: the next version as it is read."""
+    table, _ = merged(spark, d)
+    rows = table.read()
+    return rows.select("id", *state(rows, "status"), "epoch")
+
+
+@query(
+    "merge_outcomes",
+    sql(
+        f"""SELECT id, CASE WHEN k % 3 = 0 THEN 'updated' ELSE 'conflict' END AS outcome FROM jobs WHERE {OF_FEW}
+            UNION ALL SELECT 'gone_' || s_suppkey, 'missing' FROM supplier""",
+        "jobs",
+    ),
+)
+def merge_outcomes(spark, d):
+    return merged(spark, d)[1]
+
+
+def merged(spark, d):
+    own = views.jobs(spark, d).select("id", "tenant_id")
+    updates = fenced_updates(spark, d).join(own, "id", "left").filter(f"tenant_id IS NULL OR {OF_FEW}").drop("tenant_id")
+    return job_table(spark, d).merge(updates, buckets.fenced)
+
+
+@query(
+    "merge_claims",
+    sql(
+        """SELECT id, processor_id, epoch, tenant_id FROM (
+             SELECT id, CASE WHEN q THEN 'p9' ELSE processor_id END AS processor_id, CASE WHEN q THEN epoch + 1 ELSE epoch END AS epoch,
+                    tenant_id FROM (SELECT *, processor_id IS NULL AND status = 'validating' AND row_number() OVER (
+                      ORDER BY processor_id IS NULL AND status = 'validating' DESC, priority NULLS LAST, id) <= 25 AS q FROM jobs))
+           WHERE tenant_id <> 't7'""",
+        "jobs",
+    ),
+)
+def merge_claims(spark, d):
+    """25 jobs claimed and one tenant's jobs deleted, each as a merge of its own."""
+    table = job_table(spark, d)
+    table, _ = table.merge(J.claim(table.read().drop(*buckets.PARTS), "p9", 25), buckets.replaced)
+    table, _ = table.merge(J.for_tenant(table.read(), "t7").select("id"), buckets.deleted)
+    return table.read().select("id", "processor_id", "epoch", "tenant_id")
+
+
 @query(
     "delete_ids",
     sql(
@@ -674,10 +751,8 @@ def snapshots(spark, d):
     sql("SELECT id, priority, created_at FROM jobs WHERE status = 'in_progress' AND tenant_id = 't8'", "jobs"),
 )
 def job_table_scan(spark, d):
-    """A typed job table on disk; state and tenant are filtered in the scan."""
-    root = scratch_path(spark, "typed-jobs")
-    tab.write_snapshot(views.jobs(spark, d), root, 1)
-    running = J.for_tenant(tab.read_table(spark, root, JOB), "t8").filter(F.col(J.STATE) == "in_progress")
+    """A job table on disk; tenant and state class are filtered by its folders, the state in the scan."""
+    running = J.for_tenant(job_table(spark, d).read(), "t8").filter(F.col("open") & (F.col(J.STATE) == "in_progress"))
     return running.select("id", "priority", F.col("spec.created_at").alias("created_at"))
 
 
