@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from email.utils import parsedate_to_datetime
 from hashlib import md5
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from ..functions import scalars as S
 from ..functions import values as V
 from ..schemas import ATTEMPT
 
+# Job ids that are to stop by now, each with the code of its cause (batch_cancelled, batch_expired).
+Stopped = Callable[[], Mapping[str, str]]
+
 # A client maps a pandas batch of requests to one outcome row per request.
 Client = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -66,44 +70,89 @@ def _jitter(request_id: str, attempt: int) -> float:
     return int.from_bytes(md5(f"{request_id}:{attempt}".encode()).digest()[:4], "big") / 2**32
 
 
-def _retryable(status, reason) -> bool:
-    if status is None or status != status or status <= 0:
-        return True
-    if status in (429, 503):
-        return reason != V.DROPPED_TTL_EXPIRED
-    return status >= 500
+def _retryable(status: np.ndarray, dropped: np.ndarray) -> np.ndarray:
+    """No answer, a server error, or a capacity limit that did not drop the request for its age."""
+    limited = (status == 429) | (status == 503)
+    return (status <= 0) | (limited & ~dropped) | ((status >= 500) & ~limited)
+
 
+def _attempts(
+    batch: pd.DataFrame, client: Client, retries: int, initial: float, cap: float, sleep, stopped: Stopped | None = None
+) -> Iterator[pd.DataFrame]:
+    """All attempts for one Arrow batch; only retryable failures are sent again.
 
-def _attempts(batch: pd.DataFrame, client: Client, retries: int, initial: float, cap: float, sleep) -> Iterator[pd.DataFrame]:
-    """All attempts for one Arrow batch; only retryable failures are sent again."""
+    Before each call, requests of jobs that are to stop by then are taken out and answered.
+    """
     pending, attempt = batch, 1
     strained = pd.Series(False, index=batch.index)  # an earlier attempt failed for capacity
     while len(pending):
+        causes = stopped() if stopped else {}
+        if causes:
+            ends = pending["job_id"].isin(list(causes))
+            if ends.any():
+                yield _stopped_rows(pending[ends], causes, strained)
+                pending = pending[~ends]
+                continue
         out = client(pending).set_index("request_id").reindex(pending["request_id"])
         out = out.reindex(columns=OUTCOME)
         rows = pending[["request_id", *CARRIED]].reset_index(drop=True).astype(object)
         for c in OUTCOME:
             rows[c] = out[c].astype(object).to_numpy()
+        status = pd.to_numeric(rows["status_code"], errors="coerce").fillna(0).to_numpy(np.float64)
+        retry = _retryable(status, (rows["dropped_reason"] == V.DROPPED_TTL_EXPIRED).to_numpy()) & (attempt <= retries)
+        waits, now = np.zeros(len(rows)), time.time()
+        for k in np.flatnonzero(retry):
+            jitter = _jitter(rows["request_id"][k], attempt)
+            waits[k] = wait_seconds(status[k], attempt, rows["retry_after"][k], initial, cap, jitter, now)
         rows["attempt"] = attempt
-        retry = [attempt <= retries and _retryable(s, r) for s, r in zip(rows["status_code"], rows["dropped_reason"])]
-        now = time.time()
-        rows["wait_seconds"] = [
-            wait_seconds(s, attempt, h, initial, cap, _jitter(i, attempt), now) if again else 0.0
-            for i, s, h, again in zip(rows["request_id"], rows["status_code"], rows["retry_after"], retry)
-        ]
-        rows["final"] = [not again for again in retry]
+        rows["wait_seconds"] = waits
+        rows["final"] = ~retry
         rows["had_capacity_retry"] = strained.loc[pending.index].to_numpy()
         rows["retry_after"] = pd.to_numeric(rows["retry_after"], errors="coerce")
-        rows["status_code"] = pd.to_numeric(rows["status_code"]).fillna(0).astype("int32")
+        rows["status_code"] = status.astype("int32")
         yield rows
-        strained.loc[pending.index] |= ((rows["status_code"] == 429) | (rows["status_code"] >= 500)).to_numpy()
-        longest = float(rows["wait_seconds"].max())
-        pending = pending[pd.Series(retry, index=pending.index)]
+        strained.loc[pending.index] |= (status == 429) | (status >= 500)
+        pending = pending[retry]
         if len(pending):
-            sleep(longest)
+            sleep(float(waits.max()))
         attempt += 1
 
 
+def _stopped_rows(pending: pd.DataFrame, causes: Mapping[str, str], strained: pd.Series) -> pd.DataFrame:
+    """Attempt rows, numbered 0 and final, for requests whose job stopped before they were sent (again)."""
+    rows = pending[["request_id", *CARRIED]].reset_index(drop=True).astype(object)
+    codes = [causes[j] for j in rows["job_id"]]
+    made = {"status_code": 0, "body": None, "error_category": codes, "error_message": [V.BATCH_ERROR_MESSAGE.get(c, V.BATCH_ERROR_MESSAGE_DEFAULT) for c in codes],
+            "dropped_reason": None, "retry_after": np.nan, "attempt": 0, "wait_seconds": 0.0, "final": True}
+    rows = rows.assign(**made)
+    rows["status_code"] = rows["status_code"].astype("int32")
+    rows["had_capacity_retry"] = strained.loc[pending.index].to_numpy()
+    return rows
+
+
+def stops_in(folder: str) -> Stopped:
+    """Reads a folder of stop causes again at every call: Parquet files with job_id, cause and ts.
+
+    The first cause of a job counts. For `infer(stopped=...)`; the folder must be one that tasks can reach.
+    """
+
+    def read() -> dict[str, str]:
+        from pyarrow import dataset, fs
+
+        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        files = [f.path for f in store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)) if f.path.endswith(".parquet")]
+        if not files:
+            return {}
+        rows = dataset.dataset(files, filesystem=store, format="parquet").to_table(columns=["job_id", "cause", "ts"]).to_pylist()
+        first: dict[str, tuple] = {}
+        for r in rows:
+            if r["job_id"] not in first or (r["ts"], r["cause"]) < first[r["job_id"]]:
+                first[r["job_id"]] = (r["ts"], r["cause"])
+        return {job: f"batch_{cause}" for job, (_, cause) in first.items()}
+
+    return read
+
+
 def infer(
     plan: DataFrame,
     make_client: Callable[[], Client],
@@ -113,6 +162,7 @@ def infer(
     parallelism: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    stopped: Stopped | None = None,
 ) -> DataFrame:
     """One row per attempt of every planned request.
 
@@ -123,7 +173,8 @@ def infer(
     `parallelism` is the number of partitions and so bounds concurrent calls. `make_client`
     runs once per partition; `prepare` adds the columns it wants to the placed rows, so that they
     are not shuffled. A retried Spark task calls the client again; give it the
-    requests that `remaining` leaves when resuming.
+    requests that `remaining` leaves when resuming. `stopped` is asked in the tasks before every call, so a
+    job that is cancelled while its requests are being sent stops with the next batch.
     """
     n = parallelism or int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run_of_lines = F.floor(F.col("line_no") / RUN_LINES)
@@ -136,7 +187,7 @@ def infer(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for batch in batches:
-            for rows in _attempts(batch, client, max_retries, initial_backoff, max_backoff, sleep):
+            for rows in _attempts(batch, client, max_retries, initial_backoff, max_backoff, sleep, stopped):
                 yield rows[schema.names]
 
     return (prepare(placed) if prepare else placed).mapInPandas(run, schema)

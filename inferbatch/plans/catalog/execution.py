@@ -260,7 +260,7 @@ def flaky_client() -> run.Client:
     seen: set[str] = set()
 
     def call(batch: pd.DataFrame) -> pd.DataFrame:
-        again = batch["request_id"].isin(seen) & batch["heals"]
+        again = pd.Series([i in seen for i in batch["request_id"]], index=batch.index) & batch["heals"]
         seen.update(batch["request_id"])
         out = batch[["request_id", "status_code", "body", "error_category", "error_message", "dropped_reason"]].copy()
         out.loc[again, "status_code"] = 200

@@ -116,6 +116,7 @@ def finish_jobs(
     fairness: bool = False,
     waves: int = 8,
     requests_per_task: int = 2000,
+    stops: str | None = None,
     **retry,
 ) -> FinishedRun:
     """Run every unfinished job of `jobs` to its end below the folder `out`, or resume there.
@@ -130,7 +131,10 @@ def finish_jobs(
     before the next starts. After a loss of the driver, the same call goes on behind the committed
     waves: their requests are not sent again, those of the broken wave are. The first run fixes
     the number of waves; planning is repeated, as request ids depend on job and line alone. A
-    finished folder is only read. Lines without an unfinished job are left out, and so are jobs
+    `stops` names a folder of stop causes (Parquet files of job_id, cause and ts, such as those of
+    `cause_stream`). It is read again before each wave and, by the tasks, before each call, so a job that is
+    cancelled during the run stops there: the requests it has left are answered without a call.
+    A finished folder is only read. Lines without an unfinished job are left out, and so are jobs
     that have ended already. Needs the lines that `build_plan` needs, one file per job.
     """
     spark = jobs.sparkSession
@@ -139,13 +143,13 @@ def finish_jobs(
     waves = spark.read.parquet(f"{out}/run").first()["waves"]
     if not committed(spark, f"{out}/jobs"):
         open_jobs = jobs.filter(~F.col("status.status").isin(*V.TERMINAL))
-        _execute(open_jobs, lines, gateways, make_client, out, now, method, use_global, fairness, waves, requests_per_task, retry)
+        _execute(open_jobs, lines, gateways, make_client, out, now, method, use_global, fairness, waves, requests_per_task, stops, retry)
     attempts, executed, rejected = result_rows(spark, out, waves)
     return FinishedRun(spark.read.parquet(f"{out}/jobs"), attempts, all_rows(executed, rejected))
 
 
 def _execute(
-    jobs, lines, gateways, make_client, out, now, method, use_global, fairness, waves, requests_per_task, retry
+    jobs, lines, gateways, make_client, out, now, method, use_global, fairness, waves, requests_per_task, stops, retry
 ) -> None:
     spark = jobs.sparkSession
     scratch = scratch_path(spark, "decoded")
@@ -173,8 +177,11 @@ def _execute(
         if committed(spark, wave_path(out, k)):
             continue
         wave = requests.filter(F.col("wave") == k)
+        if stops:
+            wave = with_live_causes(wave, stops)
         sent = wave.filter("cause IS NULL").select(*SENT, "headers")
-        called = run.infer(sent, make_client, parallelism=tasks, prepare=with_user_prompt, **retry)
+        stopped = run.stops_in(stops) if stops else None
+        called = run.infer(sent, make_client, parallelism=tasks, prepare=with_user_prompt, stopped=stopped, **retry)
         answered = run.not_dispatched(wave.filter("cause IS NOT NULL"))
         called.unionByName(answered).write.mode("overwrite").parquet(wave_path(out, k))
     kept = plan.rejected.withColumn("early", F.lit(False)).unionByName(plan.early.withColumn("early", F.lit(True)))
@@ -192,6 +199,15 @@ def _execute(
     done.write.mode("overwrite").parquet(f"{out}/jobs")
 
 
+def with_live_causes(wave: DataFrame, stops: str) -> DataFrame:
+    """Requests whose job has stopped by now get its first cause, unless they have one already."""
+    spark = wave.sparkSession
+    now = run.stops_in(stops)()
+    rows = spark.createDataFrame(list(now.items()), "job_id string, live_cause string")
+    joined = wave.join(small_side(rows), "job_id", "left")
+    return joined.withColumn("cause", F.coalesce("cause", "live_cause")).drop("live_cause")
+
+
 def with_end_state(jobs: DataFrame, failed: DataFrame, attempts: DataFrame, now: int) -> DataFrame:
     """Add `__end`, the state each job ends in.
 
@@ -200,13 +216,14 @@ def with_end_state(jobs: DataFrame, failed: DataFrame, attempts: DataFrame, now:
     calls = attempts.groupBy(F.col("job_id").alias("id")).agg(
         F.max(F.col("attempt") > 0).alias("__called"),
         F.max((F.col("attempt") == 0) & (F.col("error_category") == "batch_expired")).alias("__late"),
+        F.max((F.col("attempt") == 0) & (F.col("error_category") == "batch_cancelled")).alias("__stopped"),
     )
     bad = failed.select(F.col("job_id").alias("id"), F.lit(True).alias("__bad"))
     cause = stop_cause(now)
     late = F.coalesce("__late", F.lit(False)) | ~F.coalesce("__called", F.lit(False)) & (cause == "batch_expired")
     state = (
         F.when(F.col("__bad"), F.lit("failed"))
-        .when(cause == "batch_cancelled", F.lit("cancelled"))
+        .when((cause == "batch_cancelled") | F.col("__stopped"), F.lit("cancelled"))
         .when(late, F.lit("expired"))
         .otherwise(F.lit("completed"))
     )

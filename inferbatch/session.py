@@ -29,8 +29,9 @@ RUNTIME_DEFAULTS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
-    # Rows may hold long texts: keep what one Python worker holds at a time small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    # Rows may hold long texts: what one Python worker holds at a time is bounded by bytes, so
+    # short rows still travel in large batches.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 

@@ -310,3 +310,57 @@ def test_bodies_cross_one_exchange(spark):
     text = run.infer(made.requests.select(*flow.SENT), run.echo_client)._jdf.queryExecution().executedPlan().toString()
     # The texts meet the small tables by broadcast and are moved by the one asked-for exchange.
     assert text.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in text and "rangepartitioning" not in text
+
+
+def stopping_client(log, stops):
+    """Answers 200 and writes down what it sends; its first call cancels job e."""
+
+    def make():
+        def call(batch):
+            import os
+
+            import pandas as pd
+
+            with open(f"{log}/calls", "a") as f:
+                f.writelines(f"{j}\n" for j in batch["job_id"])
+            if not os.path.exists(f"{stops}/e.parquet"):
+                os.makedirs(stops, exist_ok=True)
+                pd.DataFrame({"job_id": ["e", "e"], "cause": ["expired", "cancelled"], "ts": [9, 5]}).to_parquet(f"{stops}/e.parquet")
+            return pd.DataFrame({"request_id": batch["request_id"], "status_code": 200, "body": "{}"})
+
+        return call
+
+    return make
+
+
+def test_a_job_cancelled_between_two_waves_stops(spark, tmp_path):
+    jobs, now = _end_jobs(spark)
+    gw = spark.createDataFrame([("m0", "u")], "route_key string, url string")
+    wave = lambda f, n: spark.range(1).select(F.pmod(F.xxhash64(F.lit(f), F.lit(0).cast("bigint")), F.lit(n))).first()[0]
+    waves = next(n for n in range(2, 40) if wave("fa", n) < wave("fe", n))
+    log, stops = str(tmp_path), str(tmp_path / "stops")
+    done = flow.finish_jobs(jobs, _end_lines(spark), gw, stopping_client(log, stops), str(tmp_path / "out"), now, waves=waves, stops=stops)
+    assert Counter((tmp_path / "calls").read_text().split()) == {"a": 7}
+    got = {r.id: (r.status.status, tuple(r.status.request_counts)) for r in done.jobs.filter("id IN ('a', 'e')").collect()}
+    assert got == {"a": ("completed", (8, 7, 1)), "e": ("cancelled", (8, 0, 8))}
+    codes = Counter(r.error and r.error.code for r in done.results.filter("job_id = 'e'").collect())
+    assert codes == {"batch_cancelled": 7, "model_not_found": 1}
+
+
+def test_a_job_cancelled_while_it_is_sent_stops_before_its_retries(tmp_path):
+    import pandas as pd
+
+    batch = pd.DataFrame({"request_id": list("abcd"), "job_id": ["x", "x", "y", "y"], "custom_id": "c", "route_key": "r"}, index=[5, 6, 7, 8])
+    causes, calls = {}, []
+
+    def client(rows):
+        calls.append(list(rows["request_id"]))
+        causes["y"] = "batch_cancelled"
+        return pd.DataFrame({"request_id": rows["request_id"], "status_code": [503 if i in "ad" else 200 for i in rows["request_id"]], "retry_after": None})
+
+    out = pd.concat(run._attempts(batch, client, 2, 1.0, 60.0, lambda s: None, lambda: dict(causes)))
+    assert calls == [["a", "b", "c", "d"], ["a"], ["a"]]
+    final = out[out["final"]].set_index("request_id")
+    assert final["attempt"].to_dict() == {"a": 3, "b": 1, "c": 1, "d": 0}
+    assert final.loc["d", "error_category"] == "batch_cancelled" and bool(final.loc["d", "had_capacity_retry"])
+    assert out.groupby("request_id").size().to_dict() == {"a": 3, "b": 1, "c": 1, "d": 2}
