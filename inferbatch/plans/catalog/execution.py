@@ -471,23 +471,29 @@ def audit_results(spark, d):
 @query(
     "write_results",
     sql(
-        """SELECT kind, count(*)::BIGINT AS rows, count(DISTINCT job_id)::BIGINT AS jobs, 0::BIGINT AS malformed
-           FROM (SELECT CASE WHEN error_code IS NULL THEN 'output' ELSE 'error' END AS kind, l_orderkey % 200 AS job_id
-                 FROM results) GROUP BY kind""",
+        """SELECT job_id, kind, count(*)::BIGINT AS rows, sum(http_code)::BIGINT AS codes, min('c-' || substr(request_id, 11)) AS first_id,
+             max('c-' || substr(request_id, 11)) AS last_id, 0::BIGINT AS malformed
+           FROM (SELECT r.* REPLACE ('month_' || strftime(o_orderdate, '%Y-%m') AS job_id), CASE WHEN error_code IS NULL THEN 'output' ELSE 'error' END AS kind
+                 FROM results r JOIN orders ON o_orderkey = l_orderkey) GROUP BY job_id, kind""",
         "results",
     ),
 )
 def write_results(spark, d):
-    """Write output and error files, read them back, and check the key set of every line."""
+    """Write output and error files of every job, here all orders of a month, read them back, and check what the
+    lines of each file hold."""
     path = scratch_path(spark, "results")
-    number = F.regexp_extract("job_id", r"(\d+)$", 1).cast("long") % 200
-    rows = results(spark, d).withColumn("job_id", number.cast("string"))
-    src.write_results(rows, path)
+    owner = views.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("month_"), F.date_format("o_orderdate", "yyyy-MM")).alias("owner"))
+    number = F.regexp_extract("job_id", r"(\d+)$", 1).cast("long")
+    rows = results(spark, d).withColumn("o_orderkey", number).join(owner, "o_orderkey")
+    src.write_results(rows.withColumn("job_id", F.col("owner")).drop("owner", "o_orderkey"), path)
     back = spark.read.schema("value string, kind string, job_id string").text(path)
+    line = F.from_json("value", "custom_id string, response struct<status_code: long>")
     good = F.array_join(F.json_object_keys("value"), ",") == "id,custom_id,response,error"
-    return back.groupBy("kind").agg(
+    return back.withColumn("line", line).groupBy("job_id", "kind").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("job_id").alias("jobs"),
+        F.sum("line.response.status_code").alias("codes"),
+        F.min("line.custom_id").alias("first_id"),
+        F.max("line.custom_id").alias("last_id"),
         F.count_if(~F.coalesce(good, F.lit(False))).alias("malformed"),
     )
 

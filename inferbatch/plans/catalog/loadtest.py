@@ -161,17 +161,17 @@ def progress_total(spark, d):
 
 
 COMPLETIONS = """
- SELECT user_id % 7 AS scenario, (['job-a', 'job-b', 'job-c'])[(user_id % 3 + 1)::INT] AS job,
-        min(event_id * 40 + (user_id % 3) * 1000) AS elapsed
- FROM events WHERE event_type = 'purchase' AND user_id % 7 <> 2 AND user_id % 21 <> 5 GROUP BY 1, 2"""
+ SELECT user_id AS scenario, (['job-a', 'job-b', 'job-c'])[(event_id % 3 + 1)::INT] AS job,
+        min(event_id * 40 + (event_id % 3) * 1000) AS elapsed
+ FROM events WHERE event_type = 'purchase' GROUP BY 1, 2"""
 
 
 def completions(spark, d):
-    e = views.table(spark, d, "events").filter("user_id % 7 <> 2 AND user_id % 21 <> 5")
+    e = views.table(spark, d, "events")
     seen = e.select(
-        (F.col("user_id") % 7).alias("scenario"),
-        views.pick(F.col("user_id") % 3, "job-a", "job-b", "job-c").alias("job"),
-        (F.col("event_id") * 40 + F.col("user_id") % 3 * 1000).alias("elapsed"),
+        F.col("user_id").alias("scenario"),
+        views.pick(F.col("event_id") % 3, "job-a", "job-b", "job-c").alias("job"),
+        (F.col("event_id") * 40 + F.col("event_id") % 3 * 1000).alias("elapsed"),
         F.when(F.col("event_type") == "purchase", F.lit("completed")).otherwise(F.lit("in_progress")).alias("status"),
     )
     return T.completion_times(seen, ["scenario", "job"])
@@ -185,12 +185,12 @@ def completion_times(spark, d):
 REPORT = f"""c AS ({COMPLETIONS}),
  w(job, label, display, seconds) AS (VALUES ('job-a', 'A', '30m', 1800::BIGINT), ('job-b', 'B', '2h', 7200), ('job-c', 'C', '24h', 86400)),
  r AS (SELECT s.scenario, w.job, c.elapsed, w.seconds, c.elapsed <= w.seconds AS met, label, display
-       FROM (SELECT DISTINCT user_id % 7 AS scenario FROM events) s CROSS JOIN w
+       FROM (SELECT DISTINCT user_id AS scenario FROM events) s CROSS JOIN w
        LEFT JOIN c ON c.scenario = s.scenario AND c.job = w.job)"""
 
 
 def report(spark, d):
-    scenarios = views.table(spark, d, "events").select((F.col("user_id") % 7).alias("scenario"))
+    scenarios = views.table(spark, d, "events").select(F.col("user_id").alias("scenario"))
     return T.slo_report(completions(spark, d), scenarios)
 
 
@@ -214,13 +214,13 @@ def slo_report(spark, d):
     sql(
         """SELECT f.scenario, count(elapsed)::BIGINT AS finished, count(*) FILTER (met)::BIGINT AS met,
              round(any_value(f.completion), 8) AS completion
-           FROM (SELECT user_id % 7 AS scenario, count(*) FILTER (event_type = 'purchase') / count(*) * 100 AS completion
+           FROM (SELECT user_id AS scenario, count(*) FILTER (event_type = 'purchase') / count(*) * 100 AS completion
                  FROM events GROUP BY 1) f LEFT JOIN r ON r.scenario = f.scenario GROUP BY f.scenario""",
         ctes=REPORT,
     ),
 )
 def slo_rate(spark, d):
-    final = views.table(spark, d, "events").groupBy((F.col("user_id") % 7).alias("scenario")).agg(
+    final = views.table(spark, d, "events").groupBy(F.col("user_id").alias("scenario")).agg(
         F.count_if(F.col("event_type") == "purchase").alias("completed"), F.count(F.lit(1)).alias("total")
     )
     return rounded(T.slo_rate(report(spark, d), final), "completion")

@@ -489,13 +489,25 @@ def _columns(labels: dict) -> dict:
     return {name: make() if callable(make) else make for name, make in labels.items()}
 
 
+def _curves(spec: D.Panel, labels: dict) -> list[str]:
+    """The labels that tell a panel's curves apart."""
+    return list(labels) if spec.each else list(spec.by)
+
+
+def _named(rows, spec: D.Panel, labels: dict):
+    """A curve per series has the series' labels as columns."""
+    if not spec.each:
+        return rows
+    return rows.withColumns({name: F.get_json_object("series", f"$.{name}") for name in labels}).drop("series")
+
+
 def _rate_query(name, dashboard, panel, labels: dict, sql_labels: dict, where: str = "true"):
     spec = D.PANELS[dashboard][panel]
 
-    @query(name, rate_sql(sql_labels, list(spec.by), where))
+    @query(name, rate_sql(sql_labels, _curves(spec, sql_labels), where))
     def build(spark, d):
         rows = counter(spark, d, spec.metric, _columns(labels))
-        return rounded(D.panel(rows, dashboard, panel, **OPTIONS), "rate")
+        return rounded(_named(D.panel(rows, dashboard, panel, **OPTIONS), spec, labels), "rate")
 
     return build
 
@@ -503,9 +515,9 @@ def _rate_query(name, dashboard, panel, labels: dict, sql_labels: dict, where: s
 def _last_query(name, dashboard, panel, labels: dict, sql_labels: dict):
     spec = D.PANELS[dashboard][panel]
 
-    @query(name, last_sql(sql_labels, list(spec.by)))
+    @query(name, last_sql(sql_labels, _curves(spec, sql_labels)))
     def build(spark, d):
-        return D.panel(counter(spark, d, spec.metric, _columns(labels)), dashboard, panel, step=STEP)
+        return _named(D.panel(counter(spark, d, spec.metric, _columns(labels)), dashboard, panel, step=STEP), spec, labels)
 
     return build
 
@@ -535,7 +547,7 @@ _last_query(
 _rate_query("dashboard_cancellations", "d6", "cancellations", {"phase": U3}, {"phase": U3_SQL})
 _rate_query("dashboard_prompt_tokens", "d7", "prompt", {"model": U3}, {"model": U3_SQL})
 _rate_query("dashboard_generation_tokens", "d7", "generation", {"model": "event_type"}, {"model": "event_type"})
-_last_query("dashboard_limit", "d8", "limit", {"endpoint": U3}, {"endpoint": U3_SQL})
+_last_query("dashboard_limit", "d8", "limit", {"endpoint": U3, "pod": "event_type"}, {"endpoint": U3_SQL, "pod": "event_type"})
 _rate_query(
     "dashboard_limit_decreases",
     "d8",
@@ -546,9 +558,9 @@ _rate_query(
 _rate_query("dashboard_limit_increases", "d8", "increases", {"endpoint": U3}, {"endpoint": U3_SQL})
 _rate_query("dashboard_orphans_rate", "d9", "recovered_rate", {"action": "event_type"}, {"action": "event_type"})
 _last_query("dashboard_orphans_total", "d9", "recovered_total", {"action": "event_type"}, {"action": "event_type"})
-_rate_query("dashboard_reconciler_errors", "d9", "errors", {}, {})
-_rate_query("dashboard_conflicts", "d9", "conflicts", {}, {})
-_rate_query("dashboard_cleanups", "d9", "cleanups", {}, {})
+_rate_query("dashboard_reconciler_errors", "d9", "errors", {"pod": U3}, {"pod": U3_SQL})
+_rate_query("dashboard_conflicts", "d9", "conflicts", {"pod": U3}, {"pod": U3_SQL})
+_rate_query("dashboard_cleanups", "d9", "cleanups", {"pod": U3}, {"pod": U3_SQL})
 
 HTTP_LABELS = {
     "method": lambda: views.pick(F.col("user_id") % 2, "GET", "POST"),

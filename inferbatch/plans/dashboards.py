@@ -21,7 +21,8 @@ QUANTILES = (0.50, 0.95, 0.99)
 
 @dataclass(frozen=True)
 class Panel:
-    """`kind` is rate, quantile, last or ratio; `by` are the labels kept."""
+    """`kind` is rate, quantile, last or ratio; `by` are the labels kept. With `each`, a rate or a last value is a
+    curve per series, named by all its labels, instead of their sum."""
 
     kind: str
     metric: str
@@ -29,6 +30,11 @@ class Panel:
     where: dict[str, str] = field(default_factory=dict)
     quantiles: tuple[float, ...] = QUANTILES
     total: str = ""
+    each: bool = False
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.by, "series"] if self.each else list(self.by)
 
 
 # The panels and the metric names they read.
@@ -61,7 +67,7 @@ PANELS: dict[str, dict[str, Panel]] = {
         "generation": Panel("rate", "batch_request_generation_tokens_total", ("model",)),
     },
     "d8": {
-        "limit": Panel("last", "batch_processor_aimd_concurrency_limit", ("endpoint",)),
+        "limit": Panel("last", "batch_processor_aimd_concurrency_limit", ("endpoint",), each=True),
         "decreases": Panel("rate", "batch_processor_aimd_decreases_total", ("endpoint", "signal")),
         "increases": Panel("rate", "batch_processor_aimd_increases_total", ("endpoint",)),
     },
@@ -69,9 +75,9 @@ PANELS: dict[str, dict[str, Panel]] = {
         "recovered_rate": Panel("rate", "batch_reconciler_orphans_recovered_total", ("action",)),
         "recovered_total": Panel("last", "batch_reconciler_orphans_recovered_total", ("action",)),
         "cycle": Panel("quantile", "batch_reconciler_cycle_duration_seconds_bucket"),
-        "errors": Panel("rate", "batch_reconciler_errors_total"),
-        "conflicts": Panel("rate", "batch_reconciler_cas_conflicts_total"),
-        "cleanups": Panel("rate", "batch_reconciler_stale_cleanup_total"),
+        "errors": Panel("rate", "batch_reconciler_errors_total", each=True),
+        "conflicts": Panel("rate", "batch_reconciler_cas_conflicts_total", each=True),
+        "cleanups": Panel("rate", "batch_reconciler_stale_cleanup_total", each=True),
     },
     "d10": {
         "traffic": Panel("rate", "http_requests_total", ("method", "path", "status")),
@@ -104,7 +110,7 @@ def samples_of(samples: DataFrame, metric: str, by: tuple[str, ...] = (), where:
 
 def rate_panel(samples: DataFrame, panel: Panel, window: int = FIVE_MINUTES, step: int = FIVE_MINUTES) -> DataFrame:
     rows = samples_of(samples, panel.metric, panel.by, panel.where)
-    return O.counter_rate(rows, [*panel.by, "series"], list(panel.by), window, step)
+    return O.counter_rate(rows, [*panel.by, "series"], panel.keys, window, step)
 
 
 def quantile_panel(samples: DataFrame, panel: Panel, window: int = FIVE_MINUTES, step: int = FIVE_MINUTES) -> DataFrame:
@@ -115,12 +121,12 @@ def quantile_panel(samples: DataFrame, panel: Panel, window: int = FIVE_MINUTES,
 
 
 def last_panel(samples: DataFrame, panel: Panel, step: int = FIVE_MINUTES) -> DataFrame:
-    """Sum over series of the last sample in each step."""
+    """The last sample of each series in each step, or their sum."""
     rows = samples_of(samples, panel.metric, panel.by, panel.where)
     last = rows.groupBy(*panel.by, "series", O.step_end(step).alias("t")).agg(
         F.max_by("value", F.struct("ts", "seq")).alias("value")
     )
-    return last.groupBy(*panel.by, "t").agg(F.sum("value").alias("value"))
+    return last.groupBy(*panel.keys, "t").agg(F.sum("value").alias("value"))
 
 
 def ratio_panel(samples: DataFrame, panel: Panel, step: int = FIVE_MINUTES, floor: float | None = None) -> DataFrame:
