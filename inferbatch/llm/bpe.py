@@ -1,8 +1,9 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
 Long texts are cut before they are encoded, at places no match of the pattern can span: before a
-white-space run that follows another character. Each match is then encoded as in one whole call,
-and one call never sees more than a bounded piece of text. Decoding joins the raw bytes of the ids,
+white-space run that follows another character. Each match is then encoded as in one whole call.
+One call sees about `PIECE_CHARS` characters, and more only as far as no white space follows: a text
+without any is one call. Decoding joins the raw bytes of the ids,
 so ids that split a character give its bytes back unchanged.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; special tokens do not
