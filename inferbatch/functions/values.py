@@ -121,7 +121,7 @@ AIMD_INCREMENT = 1
 # Load-test jobs and their deadline windows in seconds.
 JOB_WINDOWS = [("job-a", "A", "30m", 1800), ("job-b", "B", "2h", 7200), ("job-c", "C", "24h", 86400)]
 
-# Words of the synthetic prompt.
+# Words of the synthetic prompt, kept as they are so that generated prompts have the known text.
 SYNTHETIC_WORDS = [
     "hello",
     "world",
