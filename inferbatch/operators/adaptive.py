@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..session import materialize
-from .order import MIN_ROWS, RANGE, with_range
+from ..session import lookup_table, materialize
+from .order import MIN_ROWS, RANGE, default_ranges, with_range
 
 SUCCESS = "success"
+# Rows of a range beyond which a trace is cut into more ranges than there are shuffle partitions:
+# as many ranges as partitions fall unevenly, several on one task.
+RANGE_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -213,6 +216,7 @@ def aimd_trace(
     start_limit, start_run = limits.start
     # Four passes read the signals; write the narrow rows once instead of rebuilding results.
     sig = materialize(sig, "signals").filter("signal IS NOT NULL")
+    ranges = ranges or max(default_ranges(sig), sig.count() // RANGE_ROWS)
     cut = with_range(sig, ["endpoint"], order, ranges, min_rows)
     kept = sig.columns
     placed_by = ["endpoint", RANGE]
@@ -259,6 +263,8 @@ def aimd_state(trace: DataFrame, order: list[str], limits: Limits = Limits(), st
     last = trace.groupBy("endpoint").agg(
         F.max_by("limit", key).alias("limit"), F.max(F.when(moved, key)).alias("__moved"), F.count(F.lit(1)).alias("__n")
     )
+    # One row per endpoint: broadcast, the trace stays where it is. Shuffled by endpoint, it would fill one task each.
+    last = lookup_table(last, "last-signals")
     tail = trace.join(last.select("endpoint", "__moved"), "endpoint").filter(
         F.col("__moved").isNull() | (key > F.col("__moved"))
     )

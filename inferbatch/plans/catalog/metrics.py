@@ -8,6 +8,7 @@ from ...functions import scalars as S
 from ...functions import values as V
 from ...operators import adaptive
 from ...operators import observe as O
+from ...session import materialize
 from .. import dashboards as D
 from .. import views
 from . import query
@@ -722,7 +723,8 @@ def aimd_trace(spark, d):
     sql('SELECT endpoint, st[1] AS "limit", st[2] AS run FROM a', "results", ctes=f"a AS ({AIMD})"),
 )
 def aimd_state(spark, d):
-    return adaptive.aimd_state(trace(spark, d), ORDER)
+    # The trace is read twice; written once, it is replayed once.
+    return adaptive.aimd_state(materialize(trace(spark, d), "trace"), ORDER)
 
 
 @query(

@@ -88,3 +88,33 @@ def test_decreases_count_at_the_floor(spark):
     got = {(r.kind, r.signal): r.events for r in A.aimd_signals(trace).collect()}
     assert got == {("decrease", "429"): 6, ("increase", None): 1}
     assert trace.agg(F.min("limit")).first()[0] == 5
+
+
+def test_state_does_not_shuffle_the_trace(spark):
+    trace = spark.range(3000).select(
+        F.concat(F.lit("e"), (F.col("id") % 3).cast("string")).alias("endpoint"),
+        (F.col("id") % 50).alias("ts"),
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 31 == 0, F.lit("429")).otherwise(F.lit("success")).alias("signal"),
+        F.lit(7).cast("long").alias("limit"),
+        F.lit(False).alias("raised"),
+    )
+    # Joins too large for a broadcast by size alone.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = A.aimd_state(trace, ORDER)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "rightHint=(strategy=broadcast)" in plan, plan
+
+
+def test_large_traces_have_more_ranges_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(A, "RANGE_ROWS", 50)
+    data = signals(1500, 9)
+    seen = []
+    cut = A.with_range
+    monkeypatch.setattr(A, "with_range", lambda df, g, o, ranges, least: seen.append(ranges) or cut(df, g, o, ranges, least))
+    trace = A.aimd_trace(spark.createDataFrame(data, SCHEMA), ORDER, min_rows=1)
+    want, _ = replay(data, A.Limits())
+    assert {r.id: (r.limit, r.raised) for r in trace.collect()} == want
+    assert seen == [30]
