@@ -40,15 +40,15 @@ def to_results(outcomes: DataFrame) -> DataFrame:
     c = F.col
     status = c("__status")
     empty = F.coalesce(c("body"), F.lit("")) == ""
+    # Steps of their own, not written out in every place: one long expression makes a method that stays interpreted.
     decoded = outcomes.withColumns(
         {"__json": is_json_object("body"), "__status": F.coalesce(c("status_code").cast("int"), F.lit(0))}
-    )
+    ).withColumn("__category", F.coalesce(c("error_category"), S.error_category(status)))
     no_answer = (status <= 0) & c("error_category").isNull()
     transport = (status <= 0) & c("error_category").isNotNull()
     dropped = (status != 200) & (F.coalesce(c("dropped_reason"), F.lit("")) == V.DROPPED_TTL_EXPIRED)
     failed_http = status != 200
     unparsable = ~empty & ~c("__json")
-    category = F.coalesce(c("error_category"), S.error_category(status))
     cases = [
         (no_answer, F.lit("SERVER_ERROR"), F.lit("inference returned no response")),
         (transport, c("error_category"), c("error_message")),
@@ -56,7 +56,7 @@ def to_results(outcomes: DataFrame) -> DataFrame:
         (~failed_http & unparsable, F.lit("PARSE_ERROR"), F.lit("response body could not be parsed")),
     ]
     http_body = (
-        F.when(empty, F.lit("{}")).when(c("__json"), c("body")).otherwise(_wrapped("body", S.error_type(category)))
+        F.when(empty, F.lit("{}")).when(c("__json"), c("body")).otherwise(_wrapped("body", S.error_type("__category")))
     )
     body = F.when(failed_http, http_body).when(~empty, c("body"))
     # Only a call that succeeded in the end tells of earlier retries; a failed one speaks for itself.
@@ -110,7 +110,11 @@ def _finish(
     """
     kept = [c for c in ("job_id", "request_id", "custom_id", "route_key", "endpoint", "ts") if c in df.columns]
     flag = F.lit(False) if retried is None else retried
-    staged = df.withColumns({"__code": _first_case(cases, 1), "__text": _first_case(cases, 2), "__body": body})
+    numbered = [(held, F.lit(i), F.lit(i)) for i, (held, _, _) in enumerate(cases)]
+    by_number = [(F.col("__case") == i, code, text) for i, (_, code, text) in enumerate(cases)]
+    staged = df.withColumn("__case", _first_case(numbered, 1)).withColumns(
+        {"__code": _first_case(by_number, 1), "__text": _first_case(by_number, 2), "__body": body}
+    )
     failed = F.col("__code").isNotNull()
     return staged.select(
         *kept,

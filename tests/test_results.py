@@ -1,6 +1,7 @@
 """Inference attempts, result building, files and audits."""
 
 import json
+import re
 import sys
 import uuid
 from collections import Counter
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from inferbatch.operators import infer as run
 from inferbatch.operators import plan
 from inferbatch.operators import results as res
-from inferbatch.plans import flow
+from inferbatch.plans import flow, views
+from inferbatch.plans.catalog import execution as catalog
 from inferbatch.schemas import JOB
 from inferbatch.sources import requests as src
 
