@@ -125,16 +125,17 @@ def result_lines(results: DataFrame) -> DataFrame:
     return results.select("job_id", F.col("error").isNotNull().alias("is_error"), line.alias("value"))
 
 
-def write_results(results: DataFrame, path: str, mode: str = "error") -> None:
+def write_results(results: DataFrame, path: str, mode: str = "error", placed: bool = False) -> None:
     """Output and error files below `path`, one folder per kind and job.
 
     A row with an error goes to the error files; everything else, other HTTP codes included,
     goes to the output files. A job without rows of a kind gets no folder of that kind.
+    `placed` says that the rows of a job lie together already, which saves moving every text.
     """
     lines = result_lines(results).withColumn("kind", F.when(F.col("is_error"), "error").otherwise("output"))
     # Rebalancing brings a job's lines together and splits a job too large for one task.
-    placed = lines.hint("rebalance", F.col("kind"), F.col("job_id"))
-    placed.select("kind", "job_id", "value").write.mode(mode).partitionBy("kind", "job_id").text(path)
+    together = lines if placed else lines.hint("rebalance", F.col("kind"), F.col("job_id"))
+    together.select("kind", "job_id", "value").write.mode(mode).partitionBy("kind", "job_id").text(path)
 
 
 def result_files(results: DataFrame) -> DataFrame:

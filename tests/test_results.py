@@ -54,6 +54,17 @@ def test_direct_results(spark):
         assert (r.response is None) == (r.error is not None)
 
 
+def test_results_of_line_items_are_compiled(spark):
+    """A method of more than 8,000 bytes of bytecode stays interpreted."""
+    types = {"l_orderkey": "long", "l_partkey": "long", "l_suppkey": "long", "l_linenumber": "int", "l_quantity": "double"}
+    items = spark.range(10).select(
+        *[F.col("id").cast(t).alias(n) for n, t in types.items()], F.lit("A").alias("l_returnflag"), F.lit("1995-01-01").cast("timestamp").alias("l_shipdate")
+    )
+    text = spark._jvm.PythonSQLUtils.explainString(res.to_results(views.outcomes_of(items))._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000, sizes
+
+
 def test_capacity_flag_counts_only_for_success(spark):
     df = outcomes(spark).withColumn("had_capacity_retry", F.lit(True))
     flagged = {int(r.request_id) for r in res.to_results(df).filter("had_capacity_retry").collect()}
@@ -97,6 +108,32 @@ def test_result_lines_keep_nulls_and_go_to_the_right_file(spark, tmp_path):
     assert f.output_rows + f.error_rows == len(CASES) and f.output_file_id.startswith("file_")
 
 
+def test_written_results_move_as_numbers(spark, tmp_path, monkeypatch):
+    """Line items and orders are joined and placed before any text is made of them."""
+    d = str(tmp_path)
+    items = [(i // 3, i, 7, i % 3, 2.0, "ANR"[i % 3]) for i in range(90)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").withColumn(
+        "l_shipdate", F.to_timestamp(F.lit("1995-01-01"))
+    ).write.parquet(f"{d}/lineitem.parquet")
+    orders = spark.range(29).select(F.col("id").alias("o_orderkey"), F.to_timestamp(F.concat(F.lit("1995-0"), (F.col("id") % 3 + 1).cast("string"), F.lit("-02"))).alias("o_orderdate"))
+    orders.write.parquet(f"{d}/orders.parquet")
+    got = []
+    write = src.write_results
+
+    def kept(rows, out, **how):
+        got.append((rows._jdf.queryExecution().optimizedPlan().toString(), how))
+        write(rows, out, **how)
+
+    monkeypatch.setattr(src, "write_results", kept)
+    written = catalog.write_results(spark, d).collect()
+    ((plan, how),) = got
+    assert how == {"placed": True}
+    below = plan[plan.index("RebalancePartitions") :]
+    assert "Join Inner" in below and "batch_req_" not in below, plan
+    assert sum(r["rows"] for r in written) == 87 and {r.job_id for r in written} == {f"month_1995-0{m}" for m in (1, 2, 3)}
+    assert all(r.malformed == 0 for r in written)
+
+
 def test_counts_and_codes(spark):
     results = res.to_results(outcomes(spark))
     (c,) = res.request_counts(results).collect()
