@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,8 +24,8 @@ from ..session import lookup_table, materialize
 from .order import MIN_ROWS, RANGE, default_ranges, with_range
 
 SUCCESS = "success"
-# Rows of a range beyond which a trace is cut into more ranges than there are shuffle partitions:
-# as many ranges as partitions fall unevenly, several on one task.
+# Rows of a task, about. A longer trace is cut into more ranges and tasks than there are shuffle
+# partitions, so what one task reads does not grow with the trace.
 RANGE_ROWS = 250_000
 
 
@@ -216,13 +217,16 @@ def aimd_trace(
     start_limit, start_run = limits.start
     # Four passes read the signals; write the narrow rows once instead of rebuilding results.
     sig = materialize(sig, "signals").filter("signal IS NOT NULL")
-    ranges = ranges or max(default_ranges(sig), sig.count() // RANGE_ROWS)
+    count = sig.count()
+    ranges = ranges or max(default_ranges(sig), count // RANGE_ROWS)
     cut = with_range(sig, ["endpoint"], order, ranges, min_rows)
     kept = sig.columns
     placed_by = ["endpoint", RANGE]
+    tasks = min(ranges, max(sig.sparkSession.sparkContext.defaultParallelism, ceil(count / RANGE_ROWS)))
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.repartition(*placed_by).sortWithinPartitions(*placed_by, *order)
+        # Ranges are dealt in turn: by hash, several of them fall on one task and none on others.
+        return df.repartitionById(tasks, RANGE).sortWithinPartitions(*placed_by, *order)
 
     # An endpoint inside one range needs no chaining. Each cut point lies in at most one
     # endpoint, so the endpoints that do are fewer than the ranges.

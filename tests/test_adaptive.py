@@ -1,6 +1,7 @@
 """The parallel replay of the adaptive limit against a plain loop."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,21 @@ def test_large_traces_have_more_ranges_than_partitions(spark, monkeypatch):
     want, _ = replay(data, A.Limits())
     assert {r.id: (r.limit, r.raised) for r in trace.collect()} == want
     assert seen == [30]
+
+
+@pytest.mark.parametrize("rows", [6000, 24000])
+def test_tasks_of_a_trace_are_even_and_bounded(spark, monkeypatch, rows):
+    monkeypatch.setattr(A, "RANGE_ROWS", 1000)
+    data = [(f"e{i % 3}", i // 7, f"r{i:06d}", "429" if i % 31 == 0 else "success") for i in range(rows)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    # As in a stream: partitions are not brought together afterwards.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        trace = A.aimd_trace(spark.createDataFrame(data, SCHEMA), ORDER, min_rows=1)
+        got = [(r.id, r.task, r.limit, r.raised) for r in trace.withColumn("task", F.spark_partition_id()).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    per_task = Counter(task for _, task, _, _ in got)
+    assert len(per_task) == max(spark.sparkContext.defaultParallelism, rows // 1000)
+    assert max(per_task.values()) < 2 * rows / len(per_task)
+    assert {ident: (limit, raised) for ident, _, limit, raised in got} == replay(data, A.Limits())[0]
